@@ -1,3 +1,6 @@
 """Queries of the redaction engine by name, and the SQL that says what they return."""
-QUERIES: dict = {}
-SQL: dict = {}
+from maskweave.plans import documents
+
+_MODULES = (documents,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
