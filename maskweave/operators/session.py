@@ -26,6 +26,7 @@ from maskweave.constants import LABEL_PATTERN
 from maskweave.functions import spans as S
 from maskweave.functions.labels import label, replace_keywords, replace_literals, unredact
 from maskweave.operators import stateless
+from maskweave.storage import stage
 
 
 def session_epochs(requests: DataFrame, profile: str, seq: str, config: str) -> DataFrame:
@@ -87,19 +88,22 @@ def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns:
     """Redact ``fragments`` (session, seq, text). ``spans``: personal data in ``text``.
 
     Returns the fragments with ``redacted_text``, and the dictionary (session, kind, original, label)."""
-    texts = first_texts(fragments).withColumn("spans", spans if spans is not None else S.no_spans())
+    # each text is searched once: later steps read what was found
+    texts = stage(first_texts(fragments).withColumn("spans", spans if spans is not None else S.no_spans()), "session-spans")
     pii = pii_dictionary(texts)
     texts = _pairs(texts, F.transform("spans", lambda s: s["text"]), pii, "pii")
     found = lambda s: F.element_at(F.filter("pii", lambda p: p["original"] == s["text"]), 1)["label"]
     texts = texts.withColumn("body", F.when(F.size("spans") > 0, S.splice(F.col("text"), F.col("spans"), found)).otherwise(F.col("text")))
-    texts = texts.withColumn("matches", stateless.matches(F.col("body"), patterns or []))
+    texts = stage(texts.select("session", "text", "first_seq", "body").withColumn("matches", stateless.matches(F.col("body"), patterns or [])), "session-matches")
     regex = regex_dictionary(texts)
     texts = _pairs(texts, F.col("matches"), regex, "regex")
     texts = texts.withColumn("body", F.when(F.size("regex") > 0, replace_literals(F.col("body"), _longest(F.col("regex")))).otherwise(F.col("body")))
     keyed = stateless.keyword_pairs(keywords or [])
     if keywords:
         texts = texts.withColumn("body", replace_keywords(F.col("body"), keyed))
+    texts = stage(texts.select("session", "text", "first_seq", "body"), "session-bodies")
     dictionary = pii.select("session", F.lit("PII").alias("kind"), "original", "label", "first_seq").unionByName(regex.select("session", F.lit("REGEX").alias("kind"), "original", "label", "first_seq"))
+    dictionary = stage(dictionary, "session-labels")
     known = known_originals(texts, dictionary, "body")
     texts = texts.join(known, ["session", "text"], "left")
     body = F.when(F.col("known").isNotNull(), replace_literals(F.col("body"), _longest(F.col("known")))).otherwise(F.col("body"))
