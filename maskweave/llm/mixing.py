@@ -98,8 +98,12 @@ def packed(sizes: DataFrame) -> DataFrame:
 
 
 def slots(sources: DataFrame) -> DataFrame:
-    """The mix: (shard, position, key, pass, block) for each slot."""
-    chunks = sources.where("n_slots > 0").withColumn("lo", F.explode(F.expr(f"sequence(0L, n_slots - 1, {_CHUNK}L)"))).repartition("key", "lo")
+    """The mix: (shard, position, key, pass, block) for each slot.
+
+    A few rows become many here, so their number of tasks is given: it would be
+    taken from the size of the few."""
+    n_tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = sources.where("n_slots > 0").withColumn("lo", F.explode(F.expr(f"sequence(0L, n_slots - 1, {_CHUNK}L)"))).repartition(n_tasks, "key", "lo")
     each = chunks.withColumn("k", F.explode(F.expr(f"sequence(lo, least(lo + {_CHUNK - 1}, n_slots - 1))")))
     turn = F.expr("k div n_blocks")
     position = shuffled(F.col("first_slot") + F.col("k"), F.col("all_slots"), 1)
@@ -122,7 +126,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = stage(targets(sizes), "mix-sources")
     times = slots(sources).groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
     rows = packed(sizes)
-    taken = pieces(rows).join(times, ["key", "block"], "left")
+    # slots come from a few rows, whose size says nothing of theirs: never broadcast them
+    taken = pieces(rows).join(times.hint("merge"), ["key", "block"], "left")
     taken = taken.groupBy("doc_id", "key", "size", "start").agg(F.sum(F.col("n_taken") * F.coalesce("times", F.lit(0))).alias("taken")).drop("start")
     out = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken")))
     side = sources.select("key", "source_size", "target")
@@ -139,7 +144,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes = stage(measured(held, "_row", "doc_id"), "mix-sizes")
     sources = stage(targets(sizes), "mix-sources")
     drawn = slots(sources).select("key", "pass", "block")
-    parts = pieces(packed(sizes)).join(drawn, ["key", "block"])
+    parts = pieces(packed(sizes)).join(drawn.hint("merge"), ["key", "block"])
     picks = parts.groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_taken"))).alias("_parts"), F.sum("n_taken").alias("_taken"), F.first("size").alias("_size"))
     joined = held.join(picks, "_row")
     some = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["first_word"] + 1).cast("int"), p["n_taken"].cast("int")))), " "))
