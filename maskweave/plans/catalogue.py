@@ -1,6 +1,6 @@
 """Queries of the redaction engine by name, and the SQL that says what they return."""
-from maskweave.plans import documents, sessions
+from maskweave.plans import documents, sessions, tables
 
-_MODULES = (documents, sessions)
+_MODULES = (documents, sessions, tables)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
