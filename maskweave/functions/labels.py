@@ -65,7 +65,7 @@ def replace_literals(text: Column, pairs: Column, protect: bool = True) -> Colum
     def step(pieces: Column, p: Column) -> Column:
         return _split_pieces(pieces, lambda x: (p["original"] != "") & F.contains(x, p["original"]), quoted(p["original"]), p["label"])
 
-    return F.array_join(fold(pairs, _pieces(text), step), "")
+    return F.when(text.isNotNull(), F.array_join(fold(pairs, _pieces(text), step), ""))
 
 
 def replace_keywords(text: Column, pairs: Column, protect: bool = True) -> Column:
@@ -77,7 +77,7 @@ def replace_keywords(text: Column, pairs: Column, protect: bool = True) -> Colum
         pattern = F.when(p["ci"], F.concat(F.lit("(?iu)"), quoted(p["original"]))).otherwise(quoted(p["original"]))
         return _split_pieces(pieces, lambda x: (p["original"] != "") & (p["ci"] | F.contains(x, p["original"])), pattern, p["label"])
 
-    return F.array_join(fold(pairs, _pieces(text), step), "")
+    return F.when(text.isNotNull(), F.array_join(fold(pairs, _pieces(text), step), ""))
 
 
 def unredact(text: Column, pairs: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,8 @@ def usable_patterns(spark: SparkSession, patterns: list[Pattern]) -> list[str]:
             try:
                 compile_("(?iu)" + p.pattern)
                 out.append(p.pattern)
-            except Exception as e:
-                if "PatternSyntaxException" not in str(e):
-                    raise
+            except IllegalArgumentException:  # a pattern that doesn't compile
+                continue
     return out
 
 

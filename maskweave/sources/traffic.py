@@ -21,7 +21,7 @@ def parsed_request(raw: Column) -> Column:
     entries = F.transform(named, lambda x: F.struct(F.substring_index(x, ":", 1).alias("name"), F.ltrim(F.substr(x, F.locate(":", x) + 1), F.lit(" \t")).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"]))
     headers = F.map_from_entries(last)
-    length = F.element_at(F.filter(entries, lambda e: F.lower(e["name"]) == "content-length"), 1)["value"].try_cast("long")
+    length = F.get(F.filter(entries, lambda e: F.lower(e["name"]) == "content-length"), F.lit(0))["value"].try_cast("long")
     body = F.substr(raw, end + 4)
     size = F.least(F.coalesce(length, F.lit(0)), F.lit(BODY_BYTES)).cast("int")
     return F.when((end > 0) & (end <= HEADER_BYTES), F.struct(
