@@ -80,38 +80,38 @@ def _block(key: Column, n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n_blocks))
 
 
-def bloom(listed: DataFrame, key: str = "url_key") -> tuple[DataFrame, int]:
-    """Rows (block, w0 .. w7) of the filter of ``listed``, and its number of blocks."""
+def bloom(listed: DataFrame, key: str = "_url_key") -> tuple[DataFrame, int]:
+    """Rows (_b, _w0 .. _w7) of the filter of ``listed``, and its number of blocks."""
     n = listed.count()
     n_blocks = 64
     while n_blocks < MAX_BLOCKS and n_blocks * 512 < n * BITS_PER_URL:
         n_blocks *= 2
     one = F.lit(1).cast("long")
-    words = [F.bit_or(F.call_function("shiftleft", one, b)).alias(f"w{i}") for i, b in enumerate(_bits(F.col(key)))]
-    return listed.groupBy(_block(F.col(key), n_blocks).alias("block")).agg(*words), n_blocks
+    words = [F.bit_or(F.call_function("shiftleft", one, b)).alias(f"_w{i}") for i, b in enumerate(_bits(F.col(key)))]
+    return listed.groupBy(_block(F.col(key), n_blocks).alias("_b")).agg(*words), n_blocks
 
 
-def may_be_listed(urls: DataFrame, filter_rows: DataFrame, n_blocks: int, key: str = "url_key") -> DataFrame:
+def may_be_listed(urls: DataFrame, filter_rows: DataFrame, n_blocks: int, key: str = "_url_key") -> DataFrame:
     """``urls`` with ``_maybe``. The filter's rows are at most MAX_BLOCKS, so they are broadcast."""
     one = F.lit(1).cast("long")
-    hit = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(F.call_function("shiftleft", one, b)) != 0 for i, b in enumerate(_bits(F.col(key)))])
-    out = urls.withColumn("_block", _block(F.col(key), n_blocks)).join(F.broadcast(filter_rows), F.col("_block") == F.col("block"), "left")
-    return out.withColumn("_maybe", F.coalesce(hit, F.lit(False)) & (F.col(key) != "")).drop("_block", "block", *[f"w{i}" for i in range(8)])
+    hit = reduce(lambda a, b: a & b, [F.col(f"_w{i}").bitwiseAND(F.call_function("shiftleft", one, b)) != 0 for i, b in enumerate(_bits(F.col(key)))])
+    out = urls.withColumn("_block", _block(F.col(key), n_blocks)).join(F.broadcast(filter_rows), F.col("_block") == F.col("_b"), "left")
+    return out.withColumn("_maybe", F.coalesce(hit, F.lit(False)) & (F.col(key) != "")).drop("_block", "_b", *[f"_w{i}" for i in range(8)])
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict. ``listed`` has one column of URLs."""
-    keys = listed.select(canonical(F.col(listed.columns[0])).alias("url_key")).where("url_key <> ''").distinct()
+    keys = listed.select(canonical(F.col(listed.columns[0])).alias("_url_key")).where("_url_key <> ''").distinct()
     filter_rows, n_blocks = bloom(keys)
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    seen = pages.withColumns({"host": host, "path": path, "url_key": canonical(F.col(url))})
+    seen = pages.withColumns({"host": host, "path": path, "_url_key": canonical(F.col(url))})
     seen = may_be_listed(seen, filter_rows, n_blocks)
     passed = seen.where(~F.col("_maybe")).withColumn("listed", F.lit(False))
     exact = keys.withColumn("listed", F.lit(True))
-    hits = seen.where("_maybe").join(exact, "url_key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    hits = seen.where("_maybe").join(exact, "_url_key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     name, verdict = by_rules(F.col("host"), F.col("path"), rules)
     out = passed.unionByName(hits).withColumns({"rule": name, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))})
-    return out.drop("_maybe", "url_key")
+    return out.drop("_maybe", "_url_key")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
