@@ -218,14 +218,14 @@ SQL = {
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws
   FROM documents
-), s AS (
+), s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
     ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM w
 ), e AS (
   SELECT doc_id, unnest(g) AS x FROM s
 ), p AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e AS a JOIN e AS b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL
-), l AS (
+), l AS MATERIALIZED (
   SELECT a, b FROM p JOIN s AS sa ON sa.doc_id = a JOIN s AS sb ON sb.doc_id = b WHERE 100 * n >= 80 * (len(sa.g) + len(sb.g) - n)
 ), r(id, dest) AS (
   SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM r JOIN l ON r.dest = l.a

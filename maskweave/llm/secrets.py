@@ -128,4 +128,38 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    """The same in SQL: places from what lies between matches, and the interval join as a join."""
+    quote = lambda r: "'" + r.pattern.replace("(?<![A-Za-z0-9+/])", "").replace("'", "''") + "'"  # noqa: E731  a longest run needs no look back
+    kinds = ", ".join(f"({i}, '{k}', {quote(r)})" for i, (k, r) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX, IDENTIFIER, RANDOM, ENDPOINT))))
+    near = lambda ids: f"EXISTS (SELECT 1 FROM s AS o WHERE o.rid = s.rid AND o.k IN ({ids}) AND o.b >= s.a - {SCOPE} AND o.a < s.b + {SCOPE})"
+    order = "string_agg(kind || ':' || CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR), ',' ORDER BY a, k, b)"
+    return f"""
+WITH t AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT rid, k, kind, re, regexp_extract_all(t, re) AS ms, regexp_split_to_array(t, re) AS gs FROM t, (VALUES {kinds}) AS kinds(k, kind, re)
+), i AS (
+  SELECT rid, k, kind, re, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM m
+), f AS (
+  SELECT rid, k, kind, re, ms[i] AS x, CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS a FROM i
+), g AS MATERIALIZED (
+  SELECT rid, k, kind, x, a, a + length(x) AS b FROM f
+  WHERE CASE k WHEN 0 THEN length(regexp_extract(x, re, 2)) >= 6 WHEN 1 THEN length(x) >= 20
+             WHEN 4 THEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]') ELSE true END
+), s AS MATERIALIZED (
+  SELECT * FROM g WHERE k <> 4 OR NOT EXISTS (SELECT 1 FROM g AS o WHERE o.rid = g.rid AND o.k < 3 AND o.a < g.b AND g.a < o.b)
+), l AS (
+  SELECT rid, k, kind, a, b FROM s
+  WHERE k < 3 OR (k = 3 AND {near('0, 2, 4')}) OR (k = 4 AND {near('1, 3')}) OR (k = 5 AND {near('1, 3')} AND {near('0, 2, 4')})
+), c AS (
+  SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         coalesce({order} FILTER (WHERE k < 3), '') AS base, {order} AS spans FROM l GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN c USING (rid)
+"""
+
+
+SQL = {"op4_secret_scan": _sql()}
 QUERIES = {"op4_secret_scan": op4_secret_scan}
