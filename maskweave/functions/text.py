@@ -156,3 +156,16 @@ def strip_leading_blank(body: Column) -> Column:
 def placeholder(kind: Column) -> Column:
     """``[REDACTED PRIVATE EMAIL]`` for private_email."""
     return F.concat(F.lit("[REDACTED "), F.replace(F.upper(kind), F.lit("_"), F.lit(" ")), F.lit("]"))
+
+
+def month_of(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM")
+
+
+def millis_of(ts: Column) -> Column:
+    return F.unix_millis(ts)
+
+
+def new_id() -> Column:
+    """A fresh random id for each row."""
+    return F.uuid()

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.operators import fragments as P
+from maskweave.operators import responses as R
 from maskweave.operators import sse
 from maskweave.storage import fresh_path
 
@@ -102,6 +103,24 @@ def stream_unredact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(spark, _turns(spark, sf_dir))
 
 
+def stream_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that stream, by path: chat and messages paths do, others don't."""
+    path = F.element_at(F.array(*map(F.lit, ("/v1/chat/completions", "/v1/messages?x", "/v1/responses"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    r = request_bodies(spark, sf_dir)
+    return r.select("conv_id", R.stream_eligible(F.lit("POST"), path, F.col("body")).alias("streams"))
+
+
+def response_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain, streamed and failed responses, each the way it goes back."""
+    t = _turns(spark, sf_dir)
+    label = "<<REDACTED_PII_0>>"
+    event = F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), F.lit(label), F.lit('"}}]}\n\n'))
+    kind = F.col("turn") % 3
+    body = F.when(kind == 0, F.concat(F.lit(" \n"), "role", F.lit(label))).otherwise(event)
+    rows = t.select("conv_id", "turn", F.when(kind == 2, 500).otherwise(200).alias("status"), F.when(kind == 0, "application/json").otherwise("Text/Event-Stream; charset=utf-8").alias("content_type"), body.alias("body"), F.create_map(F.lit(label), F.lit("Bob")).alias("pairs"))
+    return R.restored(rows, ["conv_id", "turn"])
+
+
 _FRAGMENTS = """
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS frag_seq, {} AS text
 FROM (SELECT conv_id, turn, unnest(CASE WHEN turn % 2 = 0 THEN [{{'k': 0, 't': text}}] ELSE [{{'k': 0, 't': text}}, {{'k': 1, 't': role}}, {{'k': 2, 't': 'f'}}] END, recursive := true) FROM conversations)
@@ -117,6 +136,10 @@ FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT *, CAST(greatest(1, ce
     "sse_redistribute": "SELECT conv_id, turn, CAST(4 AS BIGINT) AS n, text AS joined, least(length(text), greatest(5 * length(text) // 18, 1)) AS n_first FROM conversations",
     "sse_rebuild": "SELECT conv_id, turn, text AS content FROM conversations",
     "stream_unredact": "SELECT conv_id, turn, text AS content FROM conversations",
+    "stream_eligibility": "SELECT DISTINCT conv_id, conv_id % 3 < 2 AS streams FROM conversations",
+    "response_dispatch": """
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role || 'Bob' WHEN 1 THEN 'data: {"choices":[{"delta":{"content":"Bob"}}]}' || chr(10) || chr(10)
+  ELSE 'data: {"choices":[{"delta":{"content":"<<REDACTED_PII_0>>"}}]}' || chr(10) || chr(10) END AS body FROM conversations""",
     "event_type_normalise": "SELECT conv_id, turn, 'event: ' || role || chr(10) || 'data: {\"type\":\"' || role || '\"}' || chr(10) || chr(10) || 'data: plain' || chr(10) || chr(10) AS body FROM conversations",
 }
 QUERIES = {n: globals()[n] for n in SQL}
