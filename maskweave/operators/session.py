@@ -28,6 +28,10 @@ from maskweave.functions.labels import label, replace_keywords, replace_literals
 from maskweave.operators import stateless
 from maskweave.storage import stage
 
+#: Sessions with more pairs of texts and originals go by the originals' first GRAM characters.
+MOST_PAIRS, GRAM = 10_000_000, 4
+BROADCAST_SESSIONS = 100_000
+
 
 def session_epochs(requests: DataFrame, profile: str, seq: str, config: str) -> DataFrame:
     """``requests`` with ``epoch``: it counts up whenever a profile's configuration changes."""
@@ -78,7 +82,29 @@ def _longest(pairs: Column) -> Column:
 def known_originals(texts: DataFrame, dictionary: DataFrame, body: str) -> DataFrame:
     """(session, text, known): originals of the session that first appeared no later and occur in ``body``.
 
-    An equi-join on the session whose rows are cut down by the test at once."""
+    An equi-join on the session whose rows are cut down by the test at once. Sessions
+    with more than ``MOST_PAIRS`` pairs of texts and originals are joined on the first
+    characters of the originals too, which a text that holds one must hold."""
+    sizes = texts.groupBy("session").agg(F.count(F.lit(1)).alias("n")).join(dictionary.groupBy("session").agg(F.count(F.lit(1)).alias("m")), "session")
+    large = stage(sizes.where(F.col("n") * F.col("m") > MOST_PAIRS).select("session"), "large-sessions")
+    n_large = large.count()
+    if not n_large:
+        return _known(texts, dictionary, body)
+    side = F.broadcast(large) if n_large <= BROADCAST_SESSIONS else large
+    keyed = texts.withColumn("_key", F.unhex(F.sha1(F.col("text").cast("binary"))))
+    big, d = keyed.join(side, "session", "left_semi"), dictionary.join(side, "session", "left_semi")
+    width = F.least(F.length("original"), F.lit(GRAM))
+    widths = [w for (w,) in d.select(width).distinct().collect()]  # at most GRAM numbers
+    begins = lambda q: F.when(F.length(body) >= q, F.transform(F.sequence(F.lit(1), F.length(body) - (q - 1)), lambda i: F.substr(F.col(body), i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    grams = big.select("session", "_key", F.explode(F.array_distinct(F.flatten(F.array(*[begins(q) for q in widths])))).alias("gram"))
+    near = grams.join(d.select("session", "original", "label", "first_seq", F.left("original", width).alias("gram")).withColumnRenamed("first_seq", "_seen"), ["session", "gram"])
+    hit = (F.col("_seen") <= F.col("first_seq")) & F.contains(F.col(body), F.col("original"))
+    found = big.join(near.drop("gram"), ["session", "_key"]).where(hit).groupBy("session", "text").agg(F.collect_list(F.struct("original", "label")).alias("known"))
+    rest = _known(texts.join(side, "session", "left_anti"), dictionary, body)
+    return rest.unionByName(found)
+
+
+def _known(texts: DataFrame, dictionary: DataFrame, body: str) -> DataFrame:
     d = dictionary.select(F.col("session").alias("_s"), "original", "label", F.col("first_seq").alias("_seen"))
     hit = (F.col("session") == F.col("_s")) & (F.col("_seen") <= F.col("first_seq")) & F.contains(F.col(body), F.col("original"))
     return texts.join(d, hit).groupBy("session", "text").agg(F.collect_list(F.struct("original", "label")).alias("known"))

@@ -133,7 +133,9 @@ def _simulate(rows, patterns, email):
     return out
 
 
-def test_sessions_against_a_loop(spark):
+@pytest.mark.parametrize("most_pairs", [10_000_000, 40, 0])
+def test_sessions_against_a_loop(spark, monkeypatch, most_pairs):
+    monkeypatch.setattr(session, "MOST_PAIRS", most_pairs)
     rnd = random.Random(7)
     pieces = ["a1", "b22", "x@y.de", "zz@q.fr", "cat", "CAT", "dog", "a", "22", " ", "1"]
     rows = [(f"s{i % 5}", i, " ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 8)))) for i in range(60)]
