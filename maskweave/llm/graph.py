@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskweave.storage import shared_dir
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); component: the smallest node reachable.
@@ -11,6 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star by turns (Kiveris and others, 2014): each step
     hangs neighbours on the smallest one, with a map-side minimum per node, until
     every node hangs on its component's smallest. Each round is checkpointed."""
+    shared_dir(edges.sparkSession)  # where checkpoints go, if the session names no place
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
     state = None
     for _ in range(most_rounds):

@@ -107,11 +107,11 @@ def prefixes(reps: DataFrame) -> DataFrame:
     return cut.select("rep", "n", "shared", F.col("x.key").alias("key"))
 
 
-def _confirmed(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose keys (ka, kb) match often enough and whose sets (sa, sb) are similar enough."""
-    both = F.size(F.array_intersect("sa", "sb"))
-    enough = 100 * both >= SIMILAR * (F.size("sa") + F.size("sb") - both)
-    return pairs.where(F.size(F.array_intersect("ka", "kb")) >= T).where(enough).select("a", "b")
+def _measured(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the sizes of their sets (sa, sb) and of what they share; ``linked`` if that
+    is enough and their keys (ka, kb) match often enough."""
+    out = pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size(F.array_intersect("ka", "kb")) >= T).alias("meets"))
+    return out.withColumn("linked", F.col("meets") & (100 * F.col("both") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("both")))).drop("meets")
 
 
 def _stars(prefix: DataFrame) -> DataFrame:
@@ -129,26 +129,45 @@ def _mixed(posts: DataFrame) -> DataFrame:
     return posts.join(keys, "key")
 
 
-def _left_over(prefix: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can still be similar."""
+def _left_over(prefix: DataFrame, sets: DataFrame, comps: DataFrame, star: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can still be similar.
+
+    A document's own shingles, which no other one here has, can't be shared. With
+    them two bounds hold, one from sizes alone, and one for documents of the same
+    leader: of what either misses of the leader, and of what either has besides, the
+    smaller amount at most is common to both, and all else differs."""
     posts = prefix.select("rep", "key").join(comps.select(F.col("node").alias("rep"), F.col("component").alias("found")), "rep", "left")
     posts = stage(_mixed(posts.select("rep", "key", F.coalesce("found", "rep").alias("comp"))), "mixed")
-    # shingles that no other document here has can't be shared with any partner
-    texts = sets.select("rep", "shingles").join(posts.select("rep").distinct(), "rep").select("rep", F.monotonically_increasing_id().alias("row"), "shingles")
+    reps = posts.select("rep").distinct()
+    here = reps.unionByName(star.join(reps.withColumnRenamed("rep", "a"), "a").select(F.col("b").alias("rep"))).distinct()
+    texts = sets.select("rep", "shingles").join(here, "rep").select("rep", "shingles")
     texts = stage(texts, "left-over")
     alone = texts.select("rep", F.explode("shingles").alias("s")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
     alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
-    # a document of several texts counts with what its texts allow together
     bound = texts.groupBy("rep").agg(F.min(F.size("shingles")).alias("lo"), F.max(F.size("shingles")).alias("hi"), F.count(F.lit(1)).alias("n_texts"))
-    bound = bound.join(alone, "rep", "left").select("rep", "lo", "hi", F.when(F.col("n_texts") == 1, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+    # a document of several texts counts with what its texts allow together, and with no leader
+    single = F.col("n_texts") == 1
+    bound = bound.join(alone, "rep", "left").select("rep", "lo", "hi", F.when(single, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), single.alias("single"))
+    bound = stage(bound, "bounds")
+    lead = star.join(bound.where("single").select(F.col("rep").alias("b")), "b", "left_semi").select(F.col("a").alias("rep"), F.col("b").alias("leader"), (F.col("nb") - F.col("both")).alias("less"), (F.col("na") - F.col("both")).alias("more"))
+    bound = bound.join(lead.dropDuplicates(["rep"]), "rep", "left").withColumn("leader", F.when(F.col("single"), F.col("leader"))).drop("single")
     able = bound.where(100 * (F.col("hi") - F.col("own")) >= SIMILAR * F.col("lo"))
     posts = _mixed(posts.join(able, "rep"))
-    x = posts.select("key", *[F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "lo", "hi", "own")])
-    y = posts.select("key", *[F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "lo", "hi", "own")])
-    shared = F.least(F.col("x_hi") - F.col("x_own"), F.col("y_hi") - F.col("y_own"))
-    union = F.greatest(F.col("x_lo") + F.col("y_own"), F.col("y_lo") + F.col("x_own"))
-    can = (x["key"] == y["key"]) & (F.col("x_rep") < F.col("y_rep")) & (F.col("x_comp") != F.col("y_comp")) & (100 * shared >= SIMILAR * union)
-    return x.join(y, can).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+    keys = posts.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # of a prefix: a bounded list
+    posts = stage(posts.join(keys, "rep"), "able")
+    columns = ("rep", "comp", "lo", "hi", "own", "leader", "less", "more", "keys")
+    x = posts.select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = posts.select(F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    c = F.col
+    shared = F.least(c("x_hi") - c("x_own"), c("y_hi") - c("y_own"))
+    union = F.greatest(c("x_lo") + c("y_own"), c("y_lo") + c("x_own"))
+    by_size = 100 * shared >= SIMILAR * union
+    apart = F.abs(c("x_less") - c("y_less")) + c("x_more") + c("y_more") - 2 * F.least(c("x_more") - c("x_own"), c("y_more") - c("y_own"))
+    by_leader = F.coalesce((c("x_leader") != c("y_leader")) | ((100 + SIMILAR) * apart <= (100 - SIMILAR) * (c("x_hi") + c("y_hi"))), F.lit(True))
+    tried = F.coalesce((c("x_leader") == c("y_rep")) | (c("y_leader") == c("x_rep")), F.lit(False))
+    once = c("key") == F.array_min(F.array_intersect("x_keys", "y_keys"))  # a pair comes from the least of its keys alone
+    can = (c("key") == c("y_key")) & (c("x_rep") < c("y_rep")) & (c("x_comp") != c("y_comp")) & by_size & by_leader & ~tried & once
+    return x.join(y, can).select(c("x_rep").alias("a"), c("y_rep").alias("b")).distinct()
 
 
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -164,14 +183,15 @@ def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, width: int) -> D
     head = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("keys").alias("kb"))
     head = _with_few(head, stage(star.select(F.col("leader").alias("b")).distinct(), "leaders"), "b", "left_semi")
     one = sets.where("leader is not null").select(F.col("rep").alias("a"), F.col("leader").alias("b"), F.col("shingles").alias("sa"), F.col("keys").alias("ka"))
-    found = stage(_confirmed(one.join(head, "b")), "star-links")
-    pairs = stage(_left_over(prefix, sets, stage(components(found), "star-components")), "pairs")
+    tried = stage(_measured(one.join(head, "b")), "star-pairs")
+    found = tried.where("linked").select("a", "b")
+    pairs = stage(_left_over(prefix, sets, stage(components(found), "star-components"), tried), "pairs")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("keys").alias("ka"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("keys").alias("kb"))
     ends = pairs.select(F.col("a").alias("b")).union(pairs.select("b")).distinct()
     right = _with_few(right, stage(ends, "ends"), "b", "left_semi")
     left = left.join(pairs, "a")
-    return found.unionByName(_confirmed(left.join(right, "b")))
+    return found.unionByName(_measured(left.join(right, "b")).where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -216,7 +236,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 SQL = {
     "op10_near_duplicates": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS ws
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
