@@ -269,9 +269,9 @@ def repeated_spans(docs: DataFrame, size: int = LENGTH) -> DataFrame:
     live = stage(live, "anchors")
     rows = stage(found.join(_small(live, BROADCAST_ANCHORS), "anchor", "left_semi"), "live-segments")
     kinds = stage(rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "start", "stop")).alias("at")), "kinds")
-    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    several = stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "several")
     windows = F.col("d") * (size - GRAM + 1)
-    contested = kinds.join(several, "anchor").select(
+    contested = kinds.join(_small(several, BROADCAST_ANCHORS), "anchor").select(
         "anchor", "digest", "at.*",
         F.when(F.col("d") > HOT, F.pmod(F.xxhash64("digest"), F.ceil(F.col("d") / HOT))).otherwise(0).alias("salt"),
         F.when(F.col("d") > HOT, F.ceil(windows / BUCKET_WINDOWS)).otherwise(0).cast("int").alias("buckets"),
