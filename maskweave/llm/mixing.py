@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from maskweave.llm.common import let, table, words
 from maskweave.storage import stage
 
-BLOCK, SHARD_SLOTS, MAX_REPEATS, SEED = 256, 4096, 3, 20240229
+BLOCK, SHARD_SLOTS, MAX_REPEATS, SEED = 64, 16384, 3, 20240229
 ROUNDS = 20
 BROADCAST_SOURCES = 20_000
 _CHUNK = 1000
