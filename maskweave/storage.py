@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,21 +24,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths staged since each open scope began, innermost last.
+_scopes: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there,
     so a lost executor costs a re-read and never a re-computation."""
     path = fresh_path(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete what ``stage`` wrote for ``df``, once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
+def delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths that are staged meanwhile, in a list for whoever deletes them."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.pop()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is staged meanwhile is deleted at the end: nothing that outlives it may read it."""
+    with collected() as paths:
+        yield
+    delete(spark, paths)
