@@ -6,6 +6,9 @@ stage as Parquet in the shared folder and reads it again for the next.
 """
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from maskweave.llm.decontaminate import decontaminate_stage
@@ -13,14 +16,32 @@ from maskweave.llm.mixing import mix_stage
 from maskweave.llm.near_dup import near_dup_stage
 from maskweave.llm.quality import quality_stage
 from maskweave.llm.token_records import records_stage
-from maskweave.storage import stage
+from maskweave.storage import collected, delete, stage
+
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables of the stage that ran last. Its result has been written once the next begins, so they go then.
+_last: list[str] = []
+
+
+def _cleaning(step: Step) -> Step:
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, _last)
+        _last.clear()
+        with collected() as paths:
+            out = step(spark, docs, sf_dir)
+        _last.extend(paths)
+        return out
+
+    return run_step
+
 
 STAGES = [
-    ("quality rules", quality_stage),
-    ("MinHash near-dedup", near_dup_stage),
-    ("benchmark decontamination", decontaminate_stage),
-    ("mixing to target weights", mix_stage),
-    ("token records", records_stage),
+    ("quality rules", _cleaning(quality_stage)),
+    ("MinHash near-dedup", _cleaning(near_dup_stage)),
+    ("benchmark decontamination", _cleaning(decontaminate_stage)),
+    ("mixing to target weights", _cleaning(mix_stage)),
+    ("token records", _cleaning(records_stage)),
 ]
 #: Mixing draws by hash and the last stage tokenizes: neither is SQL. tests/llm holds the stages against brute force.
 ORACLE_SQL = None

@@ -26,7 +26,7 @@ from maskweave.storage import stage
 MASKS = ("11011001", "10101011", "11100101")
 SPAN = len(MASKS[0])
 WINDOW, MATCH = 20, 80
-SLOTS = 1 << 18
+SLOTS = 1 << 16
 #: Benchmark rows up to this many are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 400_000
 

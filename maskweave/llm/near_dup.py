@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from maskweave.llm.common import table
 from maskweave.llm.graph import components
 from maskweave.llm.shingles import MinHash, shingle_sets
-from maskweave.storage import stage
+from maskweave.storage import stage, temporary
 
 K, T = 64, 38
 SIMILAR = 80  # percent
@@ -203,8 +203,9 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     ties = sigs.where("digest is not null").select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep")
     several = sigs.where("digest is not null").groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).where("n > 1").select("doc_id")
     ties = ties.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = links(docs, sigs, classes, width).unionByName(ties)
-    comps = stage(components(edges), "components")
+    with temporary(docs.sparkSession):  # components are checkpointed: they read none of these tables later
+        found = components(links(docs, sigs, classes, width).unionByName(ties))
+    comps = stage(found, "components")
     rows = sigs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     rows = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = rows.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
