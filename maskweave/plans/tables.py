@@ -121,14 +121,13 @@ def preview_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trim_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.concat(F.lit(" \t\f"), F.substring("text", 1, 20), F.lit("\u000b\r\n "))
+    s = F.concat(F.lit(" \t\f"), F.col("text"), F.lit("\u000b\r\n "))
     return read(spark, sf_dir, "documents").select("doc_id", T.trim_ws(s).alias("trimmed"))
 
 
 def split_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the first 80 characters at blanks, without an empty tail."""
-    s = F.substring("text", 1, 80)
-    d = read(spark, sf_dir, "documents").select("doc_id", T.split_on(s, " ").alias("p"))
+    """Pieces at blanks, without an empty tail."""
+    d = read(spark, sf_dir, "documents").select("doc_id", T.split_on(F.col("text"), " ").alias("p"))
     return d.select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("joined"))
 
 

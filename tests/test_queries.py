@@ -48,3 +48,11 @@ def test_breakdown_counts_all_kinds(run):
     rolled = {(r.category, r.type): r.n for r in run("pii_category_rollup")}
     assert rolled[None, None] == sum(want.values()) and rolled["DIGITAL", None] == want["secret"] + want["private_url"]
     assert {t: n for (c, t), n in rolled.items() if t} == +want and all(t in PII_CATEGORIES[c] for c, t in rolled if t)
+
+
+def test_whole_texts_are_trimmed_and_split(run):
+    assert {r.doc_id: r.trimmed for r in run("trim_ws")} == {i: None if t is None else t.strip(" \t\n\r\f\v") for i, t in enumerate(TEXTS)}
+    for r in run("split_tail"):
+        pieces = (TEXTS[r.doc_id] or "").split(" ")
+        pieces = pieces[:-1] if pieces[-1] == "" else pieces
+        assert TEXTS[r.doc_id] is None or (r.n, r.joined) == (len(pieces), "|".join(pieces))
