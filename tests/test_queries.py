@@ -56,3 +56,8 @@ def test_whole_texts_are_trimmed_and_split(run):
         pieces = (TEXTS[r.doc_id] or "").split(" ")
         pieces = pieces[:-1] if pieces[-1] == "" else pieces
         assert TEXTS[r.doc_id] is None or (r.n, r.joined) == (len(pieces), "|".join(pieces))
+
+
+def test_whole_texts_are_sealed_and_opened(run):
+    rows = run("vault_roundtrip")
+    assert {r.doc_id: r.opened for r in rows} == dict(enumerate(TEXTS)) and all(r.locked for r in rows)
