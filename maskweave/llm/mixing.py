@@ -121,19 +121,24 @@ def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: the words that the mix takes of it, and how many of them each shard drew."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     sizes = stage(measured(docs, "doc_id"), "mix-sizes")
     sources = stage(targets(sizes), "mix-sources")
-    times = slots(sources).groupBy("key", "block").agg(F.count(F.lit(1)).alias("times"))
+    drawn = slots(sources).groupBy("key", "block").agg(F.collect_list("shard").alias("shards"))
     rows = packed(sizes)
     # slots come from a few rows, whose size says nothing of theirs: never broadcast them
-    taken = pieces(rows).join(times.hint("merge"), ["key", "block"], "left")
-    taken = taken.groupBy("doc_id", "key", "size", "start").agg(F.sum(F.col("n_taken") * F.coalesce("times", F.lit(0))).alias("taken")).drop("start")
-    out = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken")))
+    taken = pieces(rows).join(drawn.hint("merge"), ["key", "block"], "left").withColumn("shard", F.explode_outer("shards"))
+    document = ("doc_id", "key", "size", "start")
+    taken = taken.groupBy(*document, "shard").agg(F.sum(F.when(F.col("shard").isNull(), 0).otherwise(F.col("n_taken"))).alias("words"))
+    held = F.collect_list(F.when(F.col("shard").isNotNull(), F.struct("shard", "words")))
+    taken = taken.groupBy(*document).agg(F.sum("words").alias("taken"), F.array_sort(held).alias("shards")).drop("start")
+    none = F.array().cast("array<struct<shard:bigint,words:bigint>>")
+    out = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken"), none.alias("shards")))
     side = sources.select("key", "source_size", "target")
     out = out.join(F.broadcast(side) if sources.count() <= BROADCAST_SOURCES else side, "key")
     source = F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30))
-    return out.select("doc_id", source.alias("source"), "size", "source_size", "target", "taken")
+    return out.select("doc_id", source.alias("source"), "size", "source_size", "target", "taken", "shards")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

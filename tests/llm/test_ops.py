@@ -362,6 +362,30 @@ def test_mix(spark, tmp_path):
     assert words == +taken
 
 
+def test_shards_draw_by_chance(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    rnd = random.Random(12)
+    rows = [(i, sentence(rnd, rnd.randint(0, 900)), f"s{i % 3}") for i in range(300)] + [(900, None, "s1")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.op8_source_mix(spark, str(tmp_path)).collect()
+    drawn = Counter()
+    for r in out:
+        assert sum(x.words for x in r.shards) == r.taken and len({x.shard for x in r.shards}) == len(r.shards)
+        for x in r.shards:
+            drawn[r.source, x.shard] += x.words
+    n_slots = {r.key[1:]: r.n_slots for r in mixing.targets(mixing.measured(table(spark, rows), "doc_id")).collect()}
+    total = sum(n_slots.values())
+    full = range(total // 50)
+    assert len(full) > 30 and {k for _, k in drawn} == set(range(-(-total // 50)))
+    for k in full:  # short last blocks apart
+        assert 0 <= 50 * mixing.BLOCK - sum(drawn[s, k] for s in n_slots) <= 9 * mixing.BLOCK
+    for s, n in n_slots.items():  # counts without replacement: mean and variance of the hypergeometric distribution
+        mean = 50 * n / total
+        variance = mean * (1 - n / total) * (total - 50) / (total - 1)
+        spread = sum((drawn[s, k] / mixing.BLOCK - mean) ** 2 for k in full) / len(full)
+        assert 0.5 < spread / variance < 1.7
+
+
 def test_mix_of_nothing(spark, tmp_path):
     table(spark, [(1, "x", "s")]).where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert mixing.op8_source_mix(spark, str(tmp_path)).count() == 0
