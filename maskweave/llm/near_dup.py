@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import table
@@ -217,7 +218,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, by 5-word shingles at 0.8."""
+    """One document of each group, by 5-word shingles at 0.8; of an id with dissimilar texts, one row of each."""
     found = stage(near_duplicates(docs, width=5).select("doc_id", "kept"), "near-dups")
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
@@ -226,12 +227,16 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     n = again.count()
     if not n:
         return out
-    # rows that repeat an id are one document: the first of them by text stays
+    # where a kept id repeats, its texts are told apart: one row of each group of them stays
     side = F.broadcast(again) if n <= BROADCAST_IDS else again
     once = out.join(side, out["doc_id"] == F.col("_again"), "left_anti")
     rest = out.join(side, out["doc_id"] == F.col("_again"), "left_semi")
-    first = rest.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r"))
-    return once.unionByName(first.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_r.`{c}`").alias(c) for c in docs.columns]))
+    digest = F.sha1(F.col("text").cast("binary"))
+    equal = W.partitionBy("doc_id", digest).orderBy(*[c for c in docs.columns if c != "doc_id"])
+    rest = rest.withColumn("_place", F.row_number().over(equal)).where("_place = 1").drop("_place")
+    rest = stage(rest.orderBy("doc_id", "text").withColumn("_near_id", F.monotonically_increasing_id()), "repeated-ids")
+    kept = near_duplicates(rest.select(F.col("_near_id").alias("doc_id"), "text"), width=5).where("kept").select(F.col("doc_id").alias("_near_id"))
+    return once.unionByName(rest.join(kept, "_near_id", "left_semi").select(*docs.columns))
 
 
 SQL = {

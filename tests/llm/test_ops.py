@@ -437,6 +437,16 @@ def test_near_duplicates(spark):
     assert Counter(r.doc_id for r in left) == Counter([*roots, None]) and left[0].asDict().keys() == {"doc_id", "text", "digest"}
 
 
+def test_texts_that_share_an_id_stay(spark):
+    rnd = random.Random(13)
+    a, b, c = (sentence(rnd, 100, 5000) for _ in range(3))
+    rows = [(5, a, "s"), (5, b, "s"), (5, b, "t"), (5, b + " more", "s"), (6, a, "s"), (7, c, "s"), (None, c, "s"), (None, c, "s")]
+    out = near_dup.near_dup_stage(spark, table(spark, rows), "")
+    assert out.columns == table(spark, rows).columns
+    got = [(r.doc_id, r.text.removesuffix(" more")) for r in out.collect()]
+    assert Counter(got) == Counter([(5, a), (5, b), (7, c), (None, c), (None, c)])
+
+
 def test_links_between_copies_that_miss_the_leader(spark):
     """A chain: neighbours are linked, the ends are not; and what only the second step can find."""
     rnd = random.Random(13)
