@@ -105,14 +105,14 @@ def span_overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phone spans below and above the threshold: the weak rule falls to it."""
+    """Candidates of all kinds, and those above a threshold: the weak rules fall to it."""
     spans = F.col("spans")
-    d = docs(spark, sf_dir, "doc_id", "text").withColumn("spans", rules.candidates(F.col("text"), ("private_email", "private_date")))
+    d = docs(spark, sf_dir, "doc_id", "text").withColumn("spans", rules.candidates(F.col("text")))
     return d.select("doc_id", F.size(spans).cast("long").alias("n_all"), F.size(S.confident(spans, 0.95)).cast("long").alias("n_confident"))
 
 
 def redact_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir, "doc_id", "text").withColumn("spans", rules.candidates(F.col("text"), ("private_email",)))
+    d = docs(spark, sf_dir, "doc_id", "text").withColumn("spans", rules.detect(F.col("text")))
     return d.select("doc_id", S.redact_placeholders(F.col("text"), F.col("spans")).alias("redacted_text"))
 
 
@@ -131,7 +131,7 @@ def pii_category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was found in each document, in words."""
-    d = docs(spark, sf_dir, "doc_id", "text").withColumn("spans", rules.candidates(F.col("text"), ("private_email",)))
+    d = docs(spark, sf_dir, "doc_id", "text").withColumn("spans", rules.detect(F.col("text")))
     return d.select("doc_id", S.summary(F.col("spans")).alias("summary"), F.array_join(S.describe(F.col("spans")), "; ").alias("entities"))
 
 

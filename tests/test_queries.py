@@ -61,3 +61,18 @@ def test_whole_texts_are_trimmed_and_split(run):
 def test_whole_texts_are_sealed_and_opened(run):
     rows = run("vault_roundtrip")
     assert {r.doc_id: r.opened for r in rows} == dict(enumerate(TEXTS)) and all(r.locked for r in rows)
+
+
+def test_all_kinds_are_redacted_summarised_and_held_against_the_threshold(run):
+    redacted, summary, n = ({r.doc_id: r for r in run(q)} for q in ("redact_placeholder", "entity_summary", "span_threshold_filter"))
+    for i, t in enumerate(TEXTS):
+        spans = found(t)
+        assert (n[i].n_all, n[i].n_confident) == (len(spans), sum(s[3] >= 0.95 for s in spans))
+        spans = [s for s in merged(spans) if s[3] >= 0.9]
+        want = t
+        for kind, a, b, _ in reversed(spans):
+            want = f"{want[:a]}[REDACTED {kind.replace('_', ' ').upper()}]{want[b:]}"
+        assert redacted[i].redacted_text == want
+        assert summary[i].entities == "; ".join(f"{k}: {t[a:b]}" for k, a, b, _ in spans)
+        assert summary[i].summary == {0: "No sensitive data found", 1: "1 item redacted"}.get(len(spans), f"{len(spans)} items redacted")
+    assert "[REDACTED SECRET]" in redacted[1].redacted_text and n[0].n_all == 3
