@@ -117,7 +117,7 @@ def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preview_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), 500).alias("preview"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
 def trim_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
