@@ -2,13 +2,11 @@
 
 Each stage takes what its predecessor kept, as (spark, docs, sf_dir), and all
 but the last return the columns of documents. ``run`` writes the result of each
-stage as Parquet in the shared folder and reads it again for the next.
+stage as Parquet in the shared folder and reads it again for the next; what a
+stage has stored on its way goes once that result is written.
 """
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from maskweave.llm.decontaminate import decontaminate_stage
@@ -18,37 +16,24 @@ from maskweave.llm.quality import quality_stage
 from maskweave.llm.token_records import records_stage
 from maskweave.storage import collected, delete, stage
 
-Step = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Tables of the stage that ran last. Its result has been written once the next begins, so they go then.
-_last: list[str] = []
-
-
-def _cleaning(step: Step) -> Step:
-    @functools.wraps(step)
-    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, _last)
-        _last.clear()
-        with collected() as paths:
-            out = step(spark, docs, sf_dir)
-        _last.extend(paths)
-        return out
-
-    return run_step
-
-
 STAGES = [
-    ("quality rules", _cleaning(quality_stage)),
-    ("MinHash near-dedup", _cleaning(near_dup_stage)),
-    ("benchmark decontamination", _cleaning(decontaminate_stage)),
-    ("mixing to target weights", _cleaning(mix_stage)),
-    ("token records", _cleaning(records_stage)),
+    ("quality rules", quality_stage),
+    ("MinHash near-dedup", near_dup_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("mixing to target weights", mix_stage),
+    ("token records", records_stage),
 ]
 #: Mixing draws by hash and the last stage tokenizes: neither is SQL. tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name.replace(" ", "-"))
+        with collected() as used:
+            kept = f(spark, docs, sf_dir)
+        with collected() as written:
+            docs = stage(kept, name.replace(" ", "-"))
+        delete(spark, used + read)
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)

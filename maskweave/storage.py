@@ -1,4 +1,13 @@
-"""Where intermediate results live: the folder the cluster names in ``spark.checkpoint.dir``."""
+"""Where intermediate results live.
+
+Both ways of keeping a table write it to the folder the cluster names in
+``spark.checkpoint.dir`` and read it back, so the lineage ends there, and a lost
+executor costs a re-read and never a re-computation. ``stage`` writes a file for
+each task. ``compacted`` first keeps what many tasks make on the executors'
+disks, and writes it as files of about FILE_BYTES: Hadoop's local file system
+starts several processes for each file, and small tables of hundreds of files
+are slow to list and read.
+"""
 from __future__ import annotations
 
 import tempfile
@@ -6,16 +15,23 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FILE_BYTES, BROADCAST_BYTES = 16 << 20, 4 << 20
+_SILENT = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}  # the caller waits for the job: a marker file tells nothing
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the session names none, as in tests."""
+    """The shared folder; one of our own only where the session names none and the driver is the only machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="maskweave-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -34,10 +50,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**_SILENT).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of a stored table, as measured when it was stored; Catalyst's estimate for others."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def compacted(df: DataFrame, name: str) -> DataFrame:
+    """``df``, worked out by as many tasks as it has and written as few files."""
+    out = df.persist(StorageLevel.DISK_ONLY)
+    out.count()
+    written = stage(out.coalesce(max(1, -(-size_of(out) // FILE_BYTES))), name)
+    out.unpersist()
+    return written
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A side of a join, which has been stored: broadcast if its files are small, else as it is."""
+    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
@@ -56,6 +91,12 @@ def collected() -> Iterator[list[str]]:
         _scopes.pop()
 
 
+def handed_on(paths: list[str]) -> None:
+    """Paths that ``collected`` found become the scope's around."""
+    if _scopes:
+        _scopes[-1].extend(paths)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """What is staged meanwhile is deleted at the end: nothing that outlives it may read it."""
