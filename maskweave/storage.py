@@ -3,10 +3,10 @@
 Both ways of keeping a table write it to the folder the cluster names in
 ``spark.checkpoint.dir`` and read it back, so the lineage ends there, and a lost
 executor costs a re-read and never a re-computation. ``stage`` writes a file for
-each task. ``compacted`` first keeps what many tasks make on the executors'
-disks, and writes it as files of about FILE_BYTES: Hadoop's local file system
-starts several processes for each file, and small tables of hundreds of files
-are slow to list and read.
+each task. ``compacted`` is for what is made by joins and aggregates: a task
+takes several partitions where little is read. Hadoop's local file system starts
+a process or two for each file and folder that it makes, and small tables of
+hundreds of files are slow to list and read.
 """
 from __future__ import annotations
 
@@ -15,11 +15,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_BYTES, BROADCAST_BYTES = 16 << 20, 4 << 20
+FILE_BYTES, LEAST_BYTES, BROADCAST_BYTES = 16 << 20, 4 << 20, 4 << 20
 _SILENT = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}  # the caller waits for the job: a marker file tells nothing
 
 
@@ -50,27 +49,43 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.options(**_SILENT).parquet(path)
+    spark = df.sparkSession
+    if path.startswith("file:"):  # java.io makes the writer's folders without a process for each
+        spark._jvm.java.io.File(path.removeprefix("file:") + "/_temporary/0").mkdirs()
+    df.write.mode("append").options(**_SILENT).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes of a stored table, as measured when it was stored; Catalyst's estimate for others."""
+    """Bytes of a stored table, as its files have them; Catalyst's estimate for others."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def bytes_read(df: DataFrame) -> int:
+    """Bytes of all that ``df`` reads, by Catalyst's statistics of the leaves of its plan."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def in_few_files(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as what it reads fills files, and no more than it has:
+    one for little, then as many as there are cores, then one for each FILE_BYTES."""
+    n = bytes_read(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(-(-n // LEAST_BYTES), max(cores, -(-n // FILE_BYTES))))
+    return df.coalesce(n) if n < 1 << 20 else df
+
+
 def compacted(df: DataFrame, name: str) -> DataFrame:
-    """``df``, worked out by as many tasks as it has and written as few files."""
-    out = df.persist(StorageLevel.DISK_ONLY)
-    out.count()
-    written = stage(out.coalesce(max(1, -(-size_of(out) // FILE_BYTES))), name)
-    out.unpersist()
-    return written
+    """``stage`` with a bounded number of files: what is written must not be far more than what is read."""
+    return stage(in_few_files(df), name)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A side of a join, which has been stored: broadcast if its files are small, else as it is."""
-    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
+def few(df: DataFrame, width: int | None = None) -> DataFrame:
+    """A side of a join, which has been stored: broadcast if it is small, else as it is.
+    Small is by the bytes of its files, or for keys by their number and ``width``."""
+    n = size_of(df) if width is None else df.count() * (width + 32) // 4
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
