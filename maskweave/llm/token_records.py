@@ -7,8 +7,8 @@ checksum is CRC-32, as the standard library has it. Ids take two bytes where
 the vocabulary allows, else four. An index file beside each data file holds
 (doc_id, offset, tokens) triples, so a reader can take records in any order.
 
-Documents are range-partitioned and sorted by id, so files follow one another in
-ascending id. The tokenizer's normaliser and splitter never look across a space,
+Documents are range-partitioned and sorted by id, so files follow one another by
+the id of their first record; equal ids are in one file. The tokenizer's normaliser and splitter never look across a space,
 so a text's ids are those of its space-separated words; a bounded cache holds them.
 
 Cases: a null or empty text gives the end id alone; null ids come first; rows
@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import table
+from maskweave.llm.common import small_batches, table
 from maskweave.llm.files import PartFile, open_input, open_random
-from maskweave.storage import fresh_path, stage
+from maskweave.storage import compacted, fresh_path
 
 MASK_DELTA = 0xA282EAD8
 CACHED_WORDS = 400_000
+#: Texts that are Python strings at a time; and bytes of files that a task reads back.
+ROWS, READ_BYTES = 256, 16 << 20
 _HEAD, _SUM, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qQQ")
 #: doc_id of a null in the index
 NO_ID = -(1 << 63)
@@ -110,7 +112,7 @@ class WordEncoder(dict):
         self[""] = b""
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _whole(self, word: str) -> bytes:
         return self._pack(self._tok.encode(word, add_special_tokens=False).ids)
@@ -156,17 +158,18 @@ def encoder(path: str) -> WordEncoder:
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and write ``docs``; a row (part, uri, index_uri, token_bytes, n_docs, n_tokens) for each data file, staged."""
+    """Encode and write ``docs``; a row (first_id, uri, index_uri, token_bytes, n_docs, n_tokens) for each data file, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = index = None
         n_docs = n_tokens = 0
+        first = None
         words = encoder(tokenizer)
         end = np.array([end_id], words.dtype).tobytes()
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if out is None:
-                    out, index = PartFile(folder, ".rec"), PartFile(folder, ".idx")
+                    out, index, first = PartFile(folder, ".rec"), PartFile(folder, ".idx"), i
                 payload = words.encode(t or "") + end
                 n = len(payload) // words.dtype.itemsize
                 at = out.write(frame(payload))
@@ -175,20 +178,22 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         if out is not None:
             out.close()
             index.close()
-            yield pa.RecordBatch.from_pydict({"part": [out.part], "uri": [out.uri], "index_uri": [index.uri], "token_bytes": [words.dtype.itemsize], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=schema)
+            yield pa.RecordBatch.from_pydict({"first_id": [first], "uri": [out.uri], "index_uri": [index.uri], "token_bytes": [words.dtype.itemsize], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=schema)
 
-    schema = pa.schema([("part", pa.int64()), ("uri", pa.string()), ("index_uri", pa.string()), ("token_bytes", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+    schema = pa.schema([("first_id", pa.int64()), ("uri", pa.string()), ("index_uri", pa.string()), ("token_bytes", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(run, "part long, uri string, index_uri string, token_bytes int, n_docs long, n_tokens long"), "records")
+    with small_batches(docs.sparkSession):
+        return compacted(ordered.mapInArrow(run, "first_id long, uri string, index_uri string, token_bytes int, n_docs long, n_tokens long"), "records")
 
 
 def read_records(files: DataFrame) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32, uri, offset.
 
     Files are few (one for each written partition), so their running totals are
-    a window over one row for each file."""
-    starts = files.withColumn("first", F.coalesce(F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    n = max(1, files.count())
+    a window over one row for each file. Small files are read several to a task."""
+    starts = files.withColumn("first", F.coalesce(F.sum("n_tokens").over(W.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    n_bytes, n_files = files.agg(F.coalesce(F.sum(F.col("n_tokens") * F.col("token_bytes")), F.lit(0)), F.count(F.lit(1))).first()
+    n = max(1, min(n_files, -(-n_bytes // READ_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
