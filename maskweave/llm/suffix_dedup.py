@@ -32,14 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import table
+from maskweave.llm.common import small_batches, table
 from maskweave.llm.shingles import mix
 from maskweave.llm.suffix import permuted_prefixes, suffix_array
-from maskweave.storage import stage
+from maskweave.storage import compacted, few, stage
 
 LENGTH, GRAM = 400, 16
 HOT, SHARD_BYTES, BUCKET_WINDOWS = 2000, 3_000_000, 200_000
-BROADCAST_ROWS, BROADCAST_ANCHORS = 400_000, 1_000_000
 _SLICE = 1 << 20
 _U = np.uint64
 SEPARATOR = 0xFF  # in no UTF-8 text
@@ -242,10 +241,6 @@ def meet_bucket(rows: pa.Table, size: int) -> pa.Table:
 # -- the plan -------------------------------------------------------------------
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def _cut(docs: DataFrame) -> DataFrame:
     """(anchor, digest, shard, buckets, part) from ``docs`` (text, wanted)."""
 
@@ -264,28 +259,31 @@ def _cut(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, size: int = LENGTH) -> DataFrame:
     """(text_key, start, stop, runs) of the segments of ``docs`` (text_key, text) with repeated
     windows: runs of window places within the segment, start and stop by turns; null: all."""
-    found = stage(segment_rows(docs, size), "segments")
-    live = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    live = stage(live, "anchors")
-    rows = stage(found.join(_small(live, BROADCAST_ANCHORS), "anchor", "left_semi"), "live-segments")
-    kinds = stage(rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "start", "stop")).alias("at")), "kinds")
-    several = stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "several")
+    with small_batches(docs.sparkSession):
+        found = stage(segment_rows(docs, size), "segments")
+    live = compacted(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    # live anchors grow with the corpus: joined by shuffle at every size
+    rows = compacted(found.join(live, "anchor", "left_semi"), "live-segments")
+    kinds = compacted(rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "start", "stop")).alias("at")), "kinds")
+    several = compacted(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "several")
     windows = F.col("d") * (size - GRAM + 1)
-    contested = kinds.join(_small(several, BROADCAST_ANCHORS), "anchor").select(
+    contested = kinds.join(several, "anchor").select(
         "anchor", "digest", "at.*",
         F.when(F.col("d") > HOT, F.pmod(F.xxhash64("digest"), F.ceil(F.col("d") / HOT))).otherwise(0).alias("salt"),
         F.when(F.col("d") > HOT, F.ceil(windows / BUCKET_WINDOWS)).otherwise(0).cast("int").alias("buckets"),
     )
-    contested = stage(contested, "contested")
+    contested = compacted(contested, "contested")
     total = contested.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]
     n_shards = max(1, -(-total // SHARD_BYTES))
     # a hot anchor's parts have shards of their own, other anchors share theirs
     shard = F.when(F.col("buckets") > 0, F.xxhash64("anchor", "salt")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
     wanted = contested.withColumn("shard", shard).groupBy("text_key").agg(F.collect_list(F.struct("anchor", "digest", "shard", "buckets", "start", "stop")).alias("wanted"))
-    wanted = stage(wanted, "wanted-segments")
-    few = docs.join(_small(wanted.select("text_key")), "text_key", "left_semi")
-    parts = _cut(few.join(wanted, "text_key"))
-    verdicts = stage(parts.groupBy("shard").applyInArrow(lambda t: judge_shard(t, size), _VERDICT), "verdicts")
+    wanted = compacted(wanted, "wanted-segments")
+    # of equal texts one is cut, so a shard gets a segment once, whatever the number of copies
+    texts = docs.join(few(wanted.select("text_key"), 20), "text_key", "left_semi").dropDuplicates(["text_key"])
+    parts = _cut(texts.join(wanted, "text_key"))
+    with small_batches(docs.sparkSession):
+        verdicts = compacted(parts.groupBy("shard").applyInArrow(lambda t: judge_shard(t, size), _VERDICT), "verdicts")
     hot = verdicts.where("bucket is not null").groupBy("anchor", "bucket").applyInArrow(lambda t: meet_bucket(t, size), _VERDICT)
     partly = verdicts.where("runs is not null").unionByName(hot).groupBy("anchor", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     whole = kinds.where("n > 1").select("anchor", "digest", F.lit(None).cast("array<int>").alias("runs"))
@@ -317,7 +315,7 @@ def remove_repeats(docs: DataFrame, size: int = LENGTH, id_col: str = "doc_id",
     t = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.col(id_col).alias("doc_id"), t.alias("text"), F.unhex(F.sha1(t.cast("binary"))).alias("text_key"))
     spans = repeated_spans(docs.select("text_key", "text"), size)
-    per_text = stage(spans.distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "stop", "runs")).alias("spans")), "spans")
+    per_text = compacted(spans.distinct().groupBy("text_key").agg(F.collect_list(F.struct("start", "stop", "runs")).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", batch_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -335,7 +333,7 @@ def remove_repeats(docs: DataFrame, size: int = LENGTH, id_col: str = "doc_id",
     batch_type = pa.int64()
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     keys = per_text.select(F.col("text_key").alias("_key"), F.lit(True).alias("_hit"))
-    marked = docs.join(_small(keys), docs["text_key"] == F.col("_key"), "left").drop("_key")
+    marked = docs.join(few(keys, 20), docs["text_key"] == F.col("_key"), "left").drop("_key")
     same = marked.where("_hit is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     cut = marked.where("_hit").join(per_text, "text_key").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return same.unionByName(cut)
