@@ -2,8 +2,10 @@
 
 A seed is the hash of the words that a fixed mask picks from a window, so words
 at its gaps may differ. Seeds of the training texts are held against those of
-the benchmark, first by a bitmap of ``SLOTS`` bytes, whatever the benchmark's
-size, then by an exact join. Around each hit, item and text are laid side by
+the benchmark, first by a bitmap with ``BITS`` bits for each of its seeds, then
+by an exact join. The bitmap's words are rows, at most ``MAX_WORDS``, so they are
+broadcast; a benchmark too large for that only passes more to the exact join.
+Windows become rows within one generated loop, which ends in the bitmap's join. Around each hit, item and text are laid side by
 side over ``WINDOW`` words of the item (or all of a shorter one), and the
 overlap is verified if at least ``MATCH`` percent of the words agree.
 
@@ -13,36 +15,31 @@ Cases: null and empty texts and items have no words; items shorter than a mask
 are not searched; an item's words beyond the text's ends count as different;
 rows with the same id and text are one document, those with the same id and
 other texts are judged each; an empty table or benchmark finds nothing; the
-stage keeps columns of any name. Everything is JVM side.
+stage keeps columns of any name, also twice the same. Everything is JVM side.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import let, table, upto
-from maskweave.storage import stage
+from maskweave.llm.common import Positions, let, table, upto
+from maskweave.storage import compacted, few, in_few_files
 
 MASKS = ("11011001", "10101011", "11100101")
 SPAN = len(MASKS[0])
 WINDOW, MATCH = 20, 80
-SLOTS = 1 << 16
-#: Benchmark rows up to this many are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Bits of the bitmap for each seed, and the most 64-bit words that it has.
+BITS, MAX_WORDS = 32, 1 << 19
 
 
 def text_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def _seed(h: Column, i: Column, m: int) -> Column:
     return F.xxhash64(F.lit(m), *[F.get(h, i + o) for o, c in enumerate(MASKS[m]) if c == "1"])
 
 
-def _slot(seed: Column) -> Column:
-    return F.pmod(seed, F.lit(SLOTS)).cast("int")
-
-
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -60,50 +57,51 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item_key", F.explode(each).alias("s")).select("s.mask", "s.seed", "item_key", F.col("s.at").alias("item_at"))
 
 
-def bitmap(seeds: DataFrame) -> bytearray:
-    """A byte for each slot, 1 where a seed falls: at most SLOTS numbers come to the driver."""
-    out = bytearray(SLOTS)
-    for (slot,) in seeds.select(_slot(F.col("seed"))).distinct().collect():
-        out[slot] = 1
-    return out
+def bitmap(seeds: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (word, bits) of the bitmap's words that aren't zero, and the number of words, a power of two."""
+    n_words, n = 64, seeds.count()
+    while n_words < MAX_WORDS and 64 * n_words < BITS * n:
+        n_words *= 2
+    word, bit = _place(F.col("seed"), n_words)
+    return compacted(seeds.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")), "bitmap"), n_words
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _place(seed: Column, n_words: int) -> tuple[Column, Column]:
+    """The word and the bit of a seed."""
+    return F.shiftrightunsigned(seed, 6).bitwiseAND(F.lit(n_words - 1).cast("long")).cast("int"), seed.bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Verified overlaps: (doc_id, text_hash, item_id, matched, compared), the best for each text and item."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), text_words(F.col(item_text)).alias("words")).where(F.size("words") >= SPAN).distinct()
-    items = stage(items.withColumn("item_key", F.xxhash64("item_id", "words")).select("item_key", "item_id", "words"), "items")
-    seeds = stage(item_seeds(items), "item-seeds")
-    slots = F.lit(bytes(bitmap(seeds)))
-
-    def likely(h: Column, m: int) -> Column:
-        hit = lambda i: F.substring(slots, _slot(_seed(h, i, m)) + 1, F.lit(1)) == F.lit(b"\x01")
-        return F.transform(F.filter(_starts(h), hit), lambda i: F.struct(F.lit(m).alias("mask"), _seed(h, i, m).alias("seed"), i.alias("at")))
-
-    found = let(_hashes(text_words(F.col("text"))), lambda h: F.flatten(F.array(*[likely(h, m) for m in range(len(MASKS))])))
-    hits = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(found).alias("s")).select("doc_id", "text_hash", "s.mask", "s.seed", F.col("s.at").alias("at"))
-    hits = hits.join(_small(seeds), ["mask", "seed"])
+    items = compacted(items.withColumn("item_key", F.xxhash64("item_id", "words")).select("item_key", "item_id", "words"), "items")
+    seeds = compacted(item_seeds(items), "item-seeds")
+    words, n_words = bitmap(seeds)
+    at = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashes(text_words(F.col("text"))).alias("h"))
+    at = at.select("doc_id", "text_hash", "h", F.explode(_starts(F.col("h"))).alias("at"))
+    each = F.array(*[F.struct(F.lit(m).alias("mask"), _seed(F.col("h"), F.col("at"), m).alias("seed")) for m in range(len(MASKS))])
+    hits = at.select("doc_id", "text_hash", "at", F.explode(each).alias("s")).select("doc_id", "text_hash", "at", "s.mask", "s.seed")
+    word, bit = _place(F.col("seed"), n_words)
+    hits = hits.withColumn("word", word).join(F.broadcast(words), "word").where(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("word", "bits")
+    hits = hits.join(few(seeds), ["mask", "seed"])
     # a window of the item around the hit, the same for hits nearby
     length = items.select("item_key", F.size("words").alias("length"))
-    hits = hits.join(_small(length), "item_key")
+    hits = hits.join(few(length), "item_key")
     width = F.least(F.lit(WINDOW), F.col("length"))
     first = F.least(F.greatest(F.col("item_at") - F.floor((width - SPAN) / 2), F.lit(0)), F.col("length") - width).cast("int")
     spots = hits.select("doc_id", "text_hash", F.struct("item_key", first.alias("first"), (F.col("at") - F.col("item_at") + first).alias("begin"), width.alias("width")).alias("spot"))
-    spots = stage(spots.groupBy("doc_id", "text_hash").agg(F.collect_set("spot").alias("spots")), "spots")
+    spots = compacted(spots.groupBy("doc_id", "text_hash").agg(F.collect_set("spot").alias("spots")), "spots")
     # the texts with hits once more, cut to the windows
     side = spots.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     at = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    held = docs.join(_small(side), at)
+    held = docs.join(few(side), at)
     cut = let(
         text_words(F.col("text")),
         lambda w: F.transform("spots", lambda s: F.struct(s["item_key"].alias("item_key"), s["first"].alias("first"), F.transform(upto(s["width"]), lambda k: F.get(w, s["begin"] + k)).alias("part"))),
     )
     cuts = held.select("doc_id", F.col("_hash").alias("text_hash"), F.explode(cut).alias("c")).select("doc_id", "text_hash", "c.*")
-    sides = cuts.join(_small(items), "item_key")
+    sides = cuts.join(few(items), "item_key")
     same = F.size(F.filter(F.zip_with(F.col("part"), F.slice("words", F.col("first") + 1, F.size("part")), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     checked = sides.select("doc_id", "text_hash", "item_id", same.cast("long").alias("matched"), F.size("part").cast("long").alias("compared"))
     best = F.max(F.struct("matched", "compared")).alias("b")
@@ -118,8 +116,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified overlap."""
-    bad = stage(overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    return docs.join(_small(bad), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    held = Positions(docs)
+    doc_id, text = F.col(held["doc_id"]), F.col(held["text"])
+    found = overlaps(held.rows, table(spark, sf_dir, "benchmark"), held["doc_id"], held["text"])
+    bad = compacted(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    return in_few_files(held.back(held.rows.join(few(bad, 16), doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")))
 
 
 _SQL_SEEDS = " UNION ALL ".join(
