@@ -2,12 +2,17 @@
 
 The words of a source, document after document, are packed into blocks of
 ``BLOCK`` words. The mix is a row of slots, cut into output shards of
-``SHARD_SLOTS``. A source gets as many slots as its target asks for, and a
-pseudorandom permutation of all slots deals them to the shards: the counts of a
-shard are a multinomial draw given the totals, so totals stay at their targets.
-The k-th slot of a source takes block p(k mod N) of its N blocks, where p is
-another pseudorandom permutation for each pass over the source, so no block is
-taken twice before all have been. Blocks are joined to documents by index.
+``SHARD_SLOTS``. Each slot of a shard draws a source with the targets as
+weights, so a shard's source counts are a multinomial draw (by hash, so reruns
+agree). Drawn totals stray from their targets by about the square root of the
+slots; the slots that a source has drawn beyond its target, picked by a
+permutation, go to the sources that lack some, so totals end at their targets
+(to half a block) and all other draws stay.
+
+A source's slots are numbered through its shards. Slot q takes block p(q mod N)
+of the source's N blocks, where p is a pseudorandom permutation for each pass
+q div N over the source, so no block is taken twice before all have been. Blocks
+are joined to documents by index.
 
 The permutation is swap-or-not (Hoang, Morris and Rogaway, 2012), which needs no
 table and no sort and works for any number of slots.
@@ -18,8 +23,8 @@ task's. Everything is JVM side.
 
 Cases: a null text has no words; null sources are one source, the last; a
 source without words has target 0; documents without words are never taken;
-rows with the same id are packed each; an empty table gives an empty mix; input
-columns with other names are kept by the pipeline's stage and not read here.
+rows with the same id are packed each; an empty table gives an empty mix; the
+pipeline's stage keeps columns of any name, also twice the same.
 """
 from __future__ import annotations
 
@@ -27,13 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import let, table, words
-from maskweave.storage import stage
+from maskweave.llm.common import Positions, let, table, words
+from maskweave.storage import collected, compacted, delete, few, handed_on, in_few_files, stage
 
 BLOCK, SHARD_SLOTS, MAX_REPEATS, SEED = 64, 16384, 3, 20240229
 ROUNDS = 20
-BROADCAST_SOURCES = 20_000
-_CHUNK = 1000
+#: Cells of equal width over all targets; a cell holds the sources that reach into it.
+CELLS = 4096
 
 
 def shuffled(x: Column, n: Column, *key: Column | int) -> Column:
@@ -97,19 +102,41 @@ def packed(sizes: DataFrame) -> DataFrame:
     return rows.join(totals, ["key", "bucket"]).withColumn("start", F.col("start") + F.col("offset")).drop("offset", "bucket")
 
 
-def slots(sources: DataFrame) -> DataFrame:
-    """The mix: (shard, position, key, pass, block) for each slot.
+def draws(sources: DataFrame) -> DataFrame:
+    """(shard, key, n): the slots of each shard that draw each source."""
+    spark = sources.sparkSession
+    total = sources.agg(F.sum("n_slots")).first()[0] or 0
+    last = F.lit(max(1, total)).cast("long")
+    cell = lambda at: F.expr(f"({at} * {CELLS}L) div {max(1, total)}L").cast("int")
+    held = sources.where("n_slots > 0").select("key", F.col("first_slot").alias("lo"), (F.col("first_slot") + F.col("n_slots")).alias("hi"))
+    cells = compacted(held.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("(hi - 1)")))), "mix-cells")
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 22)
+    slot = spark.range(0, total, 1, n_tasks).select(F.expr(f"id div {SHARD_SLOTS}").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED + 2), "id"), last).alias("u")).withColumn("cell", cell("u"))
+    drawn = slot.join(few(cells), "cell").where("u >= lo AND u < hi")
+    return compacted(drawn.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n")), "mix-draws")
+
 
-    A few rows become many here, so their number of tasks is given: it would be
-    taken from the size of the few."""
+def slots(sources: DataFrame) -> DataFrame:
+    """The mix: (shard, key, pass, block) for each slot."""
+    drawn = draws(sources)
+    earlier = W.partitionBy("key").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    runs = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    totals = compacted(sources.join(drawn.groupBy("key").agg(F.sum("n").alias("drawn")), "key", "left").select("key", "n_blocks", "n_slots", F.coalesce("drawn", F.lit(0).cast("long")).alias("drawn")), "mix-totals")
+    # a few rows become many here, so their number of tasks is given: it would be taken from the size of the few
     n_tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = sources.where("n_slots > 0").withColumn("lo", F.explode(F.expr(f"sequence(0L, n_slots - 1, {_CHUNK}L)"))).repartition(n_tasks, "key", "lo")
-    each = chunks.withColumn("k", F.explode(F.expr(f"sequence(lo, least(lo + {_CHUNK - 1}, n_slots - 1))")))
-    turn = F.expr("k div n_blocks")
-    position = shuffled(F.col("first_slot") + F.col("k"), F.col("all_slots"), 1)
-    block = shuffled(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.col("key"), turn)
-    out = each.select("key", turn.alias("pass"), block.alias("block"), position.alias("position"))
-    return out.withColumn("shard", F.expr(f"position div {SHARD_SLOTS}"))
+    each = runs.join(few(totals), "key").repartition(n_tasks, "key", "shard").withColumn("k", F.explode(F.expr("sequence(first, first + n - 1)")))
+    q = F.when(F.col("drawn") > F.col("n_slots"), shuffled(F.col("k"), F.col("drawn"), 3, F.col("key"))).otherwise(F.col("k"))
+    each = stage(each.select("shard", "key", q.alias("q")), "mix-slots")
+    # what one source has drawn too often goes to those that lack it: about the root of all slots
+    numbered = lambda df, *by: df.withColumn("e", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*by)))
+    own = each.join(few(totals), "key")
+    over = numbered(own.where("q >= n_slots"), "shard", "key", "q").select("shard", "e")
+    lack = totals.where("n_slots > drawn").withColumn("q", F.explode(F.expr("sequence(drawn, n_slots - 1)")))
+    lack = numbered(lack, F.xxhash64("key", "q"), "key", "q")
+    columns = ("shard", "key", "q", "n_blocks")
+    out = own.where("q < n_slots").select(*columns).unionByName(over.join(lack, "e").select(*columns))
+    turn = F.expr("q div n_blocks")
+    return out.select("shard", "key", turn.alias("pass"), shuffled(F.col("q") % F.col("n_blocks"), F.col("n_blocks"), F.col("key"), turn).alias("block"))
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -124,7 +151,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: the words that the mix takes of it, and how many of them each shard drew."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     sizes = stage(measured(docs, "doc_id"), "mix-sizes")
-    sources = stage(targets(sizes), "mix-sources")
+    sources = compacted(targets(sizes), "mix-sources")
     drawn = slots(sources).groupBy("key", "block").agg(F.collect_list("shard").alias("shards"))
     rows = packed(sizes)
     # slots come from a few rows, whose size says nothing of theirs: never broadcast them
@@ -135,29 +162,39 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = taken.groupBy(*document).agg(F.sum("words").alias("taken"), F.array_sort(held).alias("shards")).drop("start")
     none = F.array().cast("array<struct<shard:bigint,words:bigint>>")
     out = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken"), none.alias("shards")))
-    side = sources.select("key", "source_size", "target")
-    out = out.join(F.broadcast(side) if sources.count() <= BROADCAST_SOURCES else side, "key")
+    out = out.join(few(sources.select("key", "source_size", "target")), "key")
     source = F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30))
     return out.select("doc_id", source.alias("source"), "size", "source_size", "target", "taken", "shards")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents: a row for each pass over a document that takes words
-    of it. A pass that takes all blocks of a document gives its text as it is,
-    one that takes some gives their words, joined by spaces."""
-    held = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    sizes = stage(measured(held, "_row", "doc_id"), "mix-sizes")
-    sources = stage(targets(sizes), "mix-sources")
-    drawn = slots(sources).select("key", "pass", "block")
-    parts = pieces(packed(sizes)).join(drawn.hint("merge"), ["key", "block"])
-    picks = parts.groupBy("_row", "pass").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_taken"))).alias("_parts"), F.sum("n_taken").alias("_taken"), F.first("size").alias("_size"))
-    joined = held.join(picks, "_row")
-    some = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(w, (p["first_word"] + 1).cast("int"), p["n_taken"].cast("int")))), " "))
-    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some)
-    out = joined.withColumn("text", text)
+    """The mixed documents: a row for each output shard and document, with the words
+    that the shard drew of it, by passes, joined by spaces; one that drew all of a
+    document once has its text as it is."""
+    given = Positions(docs)
+    doc_id, text = given["doc_id"], given["text"]
+    held = stage(given.rows.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    with collected() as scratch:
+        sizes = stage(measured(held, "row", F.col(doc_id).alias("doc_id"), text=text, source=given["source"]), "mix-sizes")
+        drawn = slots(compacted(targets(sizes), "mix-sources"))
+        parts = pieces(packed(sizes)).join(drawn.hint("merge"), ["key", "block"])
+        parts = parts.groupBy("row", "shard", "size").agg(F.array_sort(F.collect_list(F.struct("pass", "first_word", "n_taken"))).alias("parts"), F.sum("n_taken").alias("taken"), (F.min("pass") == F.max("pass")).alias("one_pass"))
+        whole = (F.col("taken") == F.col("size")) & F.col("one_pass")
+        picks = compacted(parts.groupBy("row").agg(F.collect_list(F.struct("shard", whole.alias("whole"), "parts")).alias("picks")), "mix-picks")
+    delete(spark, scratch[:-1])
+    handed_on(scratch[-1:])  # the picks are read with the result
+    joined = held.join(picks, "row")
+
+    def of(w: Column, pick: Column) -> Column:
+        some = F.flatten(F.transform(pick["parts"], lambda p: F.slice(w, (p["first_word"] + 1).cast("int"), p["n_taken"].cast("int"))))
+        return F.when(pick["whole"], F.col(text)).otherwise(F.array_join(some, " "))
+
+    mixed = let(words(F.col(text)), lambda w: F.transform("picks", lambda p: of(w, p)))
+    out = joined.withColumn("mixed", F.explode(mixed)).withColumn(text, F.col("mixed"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        at = given["n_chars"]
+        out = out.withColumn(at, F.length("mixed").cast(held.schema[at].dataType))
+    return in_few_files(given.back(out))
 
 
 QUERIES = {"op8_source_mix": op8_source_mix}
