@@ -28,7 +28,7 @@ sets reaches the limit.
 Cases: null and empty texts, and those without words, are linked with nothing;
 rows with the same id are one document of several texts; null ids are linked
 with nothing and have no component; an empty table gives an empty result; the
-stage keeps columns of any name.
+stage keeps columns of any name, also twice the same.
 """
 from __future__ import annotations
 
@@ -41,14 +41,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import table
+from maskweave.llm.common import Positions, small_batches, table
 from maskweave.llm.graph import components
 from maskweave.llm.shingles import MinHash, shingle_sets
-from maskweave.storage import stage, temporary
+from maskweave.storage import collected, compacted, delete, few, in_few_files, stage
 
 K, T = 64, 38
 SIMILAR = 80  # percent
-BROADCAST_IDS = 400_000
+#: A key with more than one in HOT_KEYS of the shared postings (so there are fewer than that) is dealt over SPLIT tasks.
+HOT_KEYS, SPLIT = 400, 32
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -75,7 +76,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 keys.append(hasher.keys(s) if held else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), _lists(keys)], names=["doc_id", "n_shingles", "digest", "keys"])
 
-    return stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>"), "signatures")
+    with small_batches(docs.sparkSession):
+        return compacted(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>"), "signatures")
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
@@ -90,22 +92,40 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, leader long, shingles array<long>, keys array<long>")
 
 
-def _with_few(rows: DataFrame, side: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A join whose side is broadcast only if it has been counted to be small."""
-    return rows.join(F.broadcast(side) if side.count() <= BROADCAST_IDS else side, on, how)
+def _often(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, df) of the keys that are shared, by a map-side count, and those of them that are hot: fewer than HOT_KEYS."""
+    often = compacted(posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "often")
+    total = often.agg(F.sum("df")).first()[0] or 0
+    return often, F.broadcast(often.where(F.col("df") * HOT_KEYS > total).select("key", F.lit(True).alias("hot")))
 
 
-def prefixes(reps: DataFrame) -> DataFrame:
-    """(rep, n, shared, key) for the keys that others share within each prefix of rarest keys.
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Postings with ``salt``: those of a hot key get one by their document."""
+    return rows.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SPLIT))).otherwise(F.lit(0).cast("long"))).drop("hot")
 
-    A key's frequency is a map-side count; the list that is sorted is one document's keys, K at most."""
+
+def _copied(side: DataFrame, hot: DataFrame) -> DataFrame:
+    """What is to meet them: a row for each salt of its key."""
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPLIT - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return side.join(hot, "key", "left").withColumn("salt", F.explode(salts)).drop("hot")
+
+
+def _by_key(rows: DataFrame, side: DataFrame, hot: DataFrame) -> DataFrame:
+    """Postings joined on their key with a side of a row for each key."""
+    return _dealt(rows, hot).join(_copied(side, hot), ["key", "salt"]).drop("salt")
+
+
+def prefixes(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, n, shared, key) for the keys that others share within each prefix of rarest keys; and the hot keys.
+
+    The list that is sorted is one document's keys, K at most."""
     posts = reps.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    often = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = posts.join(often, "key").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks"))
+    often, hot = _often(posts)
+    mine = _by_key(posts, often, hot).groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks"))
     # keys that nobody shares are the rarest: they use up the prefix first
     room = F.lit(K - T + 1) - (F.lit(K) - F.size("ks"))
     cut = mine.where(room > 0).select("rep", F.col("n_shingles").alias("n"), F.size("ks").alias("shared"), F.explode(F.slice("ks", 1, room)).alias("x"))
-    return cut.select("rep", "n", "shared", F.col("x.key").alias("key"))
+    return compacted(cut.select("rep", "n", "shared", F.col("x.key").alias("key")), "prefixes"), hot
 
 
 def _measured(pairs: DataFrame) -> DataFrame:
@@ -115,22 +135,22 @@ def _measured(pairs: DataFrame) -> DataFrame:
     return out.withColumn("linked", F.col("meets") & (100 * F.col("both") >= SIMILAR * (F.col("na") + F.col("nb") - F.col("both")))).drop("meets")
 
 
-def _stars(prefix: DataFrame) -> DataFrame:
+def _stars(prefix: DataFrame, hot: DataFrame) -> DataFrame:
     """(rep, leader): the leader that each document meets in most of its prefix keys."""
     best = F.max(F.struct("shared", (-F.col("rep")).alias("neg"))).alias("m")
     leaders = prefix.groupBy("key").agg(best, F.count(F.lit(1)).alias("held")).where("held > 1").select("key", (-F.col("m.neg")).alias("leader"))
-    met = prefix.join(leaders, "key").where("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("hits"))
+    met = _by_key(prefix, leaders, hot).where("rep <> leader").groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("hits"))
     most = F.max(F.struct("hits", (-F.col("leader")).alias("neg"))).alias("m")
-    return stage(met.groupBy("rep").agg(most).select("rep", (-F.col("m.neg")).alias("leader")), "stars")
+    return compacted(met.groupBy("rep").agg(most).select("rep", (-F.col("m.neg")).alias("leader")), "stars")
 
 
-def _mixed(posts: DataFrame) -> DataFrame:
+def _mixed(posts: DataFrame, hot: DataFrame) -> DataFrame:
     """Postings of the keys that hold several components."""
     keys = posts.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return posts.join(keys, "key")
+    return _by_key(posts, keys, hot)
 
 
-def _left_over(prefix: DataFrame, sets: DataFrame, comps: DataFrame, star: DataFrame) -> DataFrame:
+def _left_over(prefix: DataFrame, hot: DataFrame, sets: DataFrame, comps: DataFrame, star: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that can still be similar.
 
     A document's own shingles, which no other one here has, can't be shared. With
@@ -138,25 +158,25 @@ def _left_over(prefix: DataFrame, sets: DataFrame, comps: DataFrame, star: DataF
     leader: of what either misses of the leader, and of what either has besides, the
     smaller amount at most is common to both, and all else differs."""
     posts = prefix.select("rep", "key").join(comps.select(F.col("node").alias("rep"), F.col("component").alias("found")), "rep", "left")
-    posts = stage(_mixed(posts.select("rep", "key", F.coalesce("found", "rep").alias("comp"))), "mixed")
+    posts = compacted(_mixed(posts.select("rep", "key", F.coalesce("found", "rep").alias("comp")), hot), "mixed")
     reps = posts.select("rep").distinct()
     here = reps.unionByName(star.join(reps.withColumnRenamed("rep", "a"), "a").select(F.col("b").alias("rep"))).distinct()
-    texts = sets.select("rep", "shingles").join(here, "rep").select("rep", "shingles")
-    texts = stage(texts, "left-over")
+    texts = compacted(sets.select("rep", "shingles").join(here, "rep").select("rep", "shingles"), "left-over")
     alone = texts.select("rep", F.explode("shingles").alias("s")).distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
     alone = alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
     bound = texts.groupBy("rep").agg(F.min(F.size("shingles")).alias("lo"), F.max(F.size("shingles")).alias("hi"), F.count(F.lit(1)).alias("n_texts"))
     # a document of several texts counts with what its texts allow together, and with no leader
     single = F.col("n_texts") == 1
     bound = bound.join(alone, "rep", "left").select("rep", "lo", "hi", F.when(single, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"), single.alias("single"))
-    bound = stage(bound, "bounds")
+    bound = compacted(bound, "bounds")
     lead = star.join(bound.where("single").select(F.col("rep").alias("b")), "b", "left_semi").select(F.col("a").alias("rep"), F.col("b").alias("leader"), (F.col("nb") - F.col("both")).alias("less"), (F.col("na") - F.col("both")).alias("more"))
     bound = bound.join(lead.dropDuplicates(["rep"]), "rep", "left").withColumn("leader", F.when(F.col("single"), F.col("leader"))).drop("single")
     able = bound.where(100 * (F.col("hi") - F.col("own")) >= SIMILAR * F.col("lo"))
-    posts = _mixed(posts.join(able, "rep"))
+    posts = _mixed(posts.join(able, "rep"), hot)
     keys = posts.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # of a prefix: a bounded list
-    posts = stage(posts.join(keys, "rep"), "able")
+    posts = compacted(posts.join(keys, "rep"), "able")
     columns = ("rep", "comp", "lo", "hi", "own", "leader", "less", "more", "keys")
+    # the one join whose sides both have many rows for a key: Spark splits its large partitions
     x = posts.select("key", *[F.col(c).alias(f"x_{c}") for c in columns])
     y = posts.select(F.col("key").alias("y_key"), *[F.col(c).alias(f"y_{c}") for c in columns])
     c = F.col
@@ -172,25 +192,26 @@ def _left_over(prefix: DataFrame, sets: DataFrame, comps: DataFrame, star: DataF
 
 
 def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """Edges (a, b) between representatives, enough to connect all that is linked. Staged."""
+    """Edges (a, b) between representatives, enough to connect all that is linked."""
     on = [F.col("digest") == F.col("of"), F.col("doc_id") == F.col("rep")]
     reps = sigs.join(classes.withColumnRenamed("digest", "of").select("of", "rep"), on).dropDuplicates(["rep", "digest"])
-    prefix = stage(prefixes(reps.select("rep", "n_shingles", "keys")), "prefixes")
-    star = _stars(prefix)
+    prefix, hot = prefixes(reps.select("rep", "n_shingles", "keys"))
+    star = _stars(prefix, hot)
     # the sets of the documents that share a prefix key, made again from their texts
-    wanted = stage(prefix.select("rep").distinct().join(star, "rep", "left"), "wanted")
-    held = _with_few(docs.select(F.col("doc_id").alias("rep"), "text"), wanted, "rep")
-    sets = stage(shingle_table(held.select("rep", "leader", "text"), width), "sets")
+    wanted = compacted(prefix.select("rep").distinct().join(star, "rep", "left"), "wanted")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(few(wanted, 16), "rep")
+    with small_batches(docs.sparkSession):
+        sets = compacted(shingle_table(texts.select("rep", "leader", "text"), width), "sets")
     head = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("keys").alias("kb"))
-    head = _with_few(head, stage(star.select(F.col("leader").alias("b")).distinct(), "leaders"), "b", "left_semi")
+    head = head.join(few(compacted(star.select(F.col("leader").alias("b")).distinct(), "leaders"), 8), "b", "left_semi")
     one = sets.where("leader is not null").select(F.col("rep").alias("a"), F.col("leader").alias("b"), F.col("shingles").alias("sa"), F.col("keys").alias("ka"))
-    tried = stage(_measured(one.join(head, "b")), "star-pairs")
+    tried = compacted(_measured(one.join(head, "b")), "star-pairs")
     found = tried.where("linked").select("a", "b")
-    pairs = stage(_left_over(prefix, sets, stage(components(found), "star-components"), tried), "pairs")
+    pairs = compacted(_left_over(prefix, hot, sets, components(found), tried), "pairs")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("keys").alias("ka"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("keys").alias("kb"))
-    ends = pairs.select(F.col("a").alias("b")).union(pairs.select("b")).distinct()
-    right = _with_few(right, stage(ends, "ends"), "b", "left_semi")
+    ends = compacted(pairs.select(F.col("a").alias("b")).union(pairs.select("b")).distinct(), "ends")
+    right = right.join(few(ends, 8), "b", "left_semi")
     left = left.join(pairs, "a")
     return found.unionByName(_measured(left.join(right, "b")).where("linked").select("a", "b"))
 
@@ -199,14 +220,15 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """A row (doc_id, n_shingles, component_id, kept) for each of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = signatures(docs, width)
-    classes = stage(sigs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = compacted(sigs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # a document of several texts ties their classes together
     ties = sigs.where("digest is not null").select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep")
     several = sigs.where("digest is not null").groupBy("doc_id").agg(F.countDistinct("digest").alias("n")).where("n > 1").select("doc_id")
     ties = ties.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    with temporary(docs.sparkSession):  # components are checkpointed: they read none of these tables later
+    with collected() as scratch:
         found = components(links(docs, sigs, classes, width).unionByName(ties))
-    comps = stage(found, "components")
+    comps = compacted(found, "components")
+    delete(docs.sparkSession, scratch)
     rows = sigs.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     rows = rows.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = rows.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
@@ -217,26 +239,33 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, kept) by 5-word shingles, written; all other tables are gone."""
+    with collected() as scratch:
+        found = near_duplicates(docs, width=5).select("doc_id", "kept")
+    out = compacted(found, "near-dups")
+    delete(docs.sparkSession, scratch)
+    return out
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, by 5-word shingles at 0.8; of an id with dissimilar texts, one row of each."""
-    found = stage(near_duplicates(docs, width=5).select("doc_id", "kept"), "near-dups")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    out = docs.join(side, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again"))
-    n = again.count()
-    if not n:
-        return out
+    held_docs = Positions(docs)
+    rows, doc_id, text = held_docs.rows, held_docs["doc_id"], held_docs["text"]
+    found = _judged(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    gone = compacted(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    out = rows.join(few(gone, 8), F.col(doc_id) == F.col("gone"), "left_anti")
+    again = compacted(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "again")
+    if not again.count():
+        return in_few_files(held_docs.back(out))
     # where a kept id repeats, its texts are told apart: one row of each group of them stays
-    side = F.broadcast(again) if n <= BROADCAST_IDS else again
-    once = out.join(side, out["doc_id"] == F.col("_again"), "left_anti")
-    rest = out.join(side, out["doc_id"] == F.col("_again"), "left_semi")
-    digest = F.sha1(F.col("text").cast("binary"))
-    equal = W.partitionBy("doc_id", digest).orderBy(*[c for c in docs.columns if c != "doc_id"])
-    rest = rest.withColumn("_place", F.row_number().over(equal)).where("_place = 1").drop("_place")
-    rest = stage(rest.orderBy("doc_id", "text").withColumn("_near_id", F.monotonically_increasing_id()), "repeated-ids")
-    kept = near_duplicates(rest.select(F.col("_near_id").alias("doc_id"), "text"), width=5).where("kept").select(F.col("doc_id").alias("_near_id"))
-    return once.unionByName(rest.join(kept, "_near_id", "left_semi").select(*docs.columns))
+    once = out.join(few(again, 8), F.col(doc_id) == F.col("again"), "left_anti")
+    rest = out.join(few(again, 8), F.col(doc_id) == F.col("again"), "left_semi").withColumn("order", F.to_json(F.struct(*held_docs.inner)))
+    equal = W.partitionBy(doc_id, F.sha1(F.col(text).cast("binary"))).orderBy("order")
+    rest = rest.withColumn("place", F.row_number().over(equal)).where("place = 1").drop("place")
+    rest = stage(rest.orderBy(doc_id, "order").withColumn("near_id", F.monotonically_increasing_id()), "repeated-ids")
+    kept = _judged(rest.select(F.col("near_id").alias("doc_id"), F.col(text).alias("text"))).where("kept").select(F.col("doc_id").alias("near_id"))
+    return held_docs.back(once.unionByName(rest.join(kept, "near_id", "left_semi").select(*held_docs.inner)))
 
 
 SQL = {

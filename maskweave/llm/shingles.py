@@ -14,7 +14,7 @@ _IN_WORD = np.ones(256, bool)
 _IN_WORD[[9, 10, 11, 12, 13, 32]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SLICE = 1 << 21
+_SLICE = 1 << 18
 _rng = np.random.default_rng(20240501)
 _PLACES = _rng.integers(0, 1 << 63, 64, dtype=_U) * _U(2) + _U(1)
 _powers: dict[int, np.ndarray] = {}
@@ -80,7 +80,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
-    while i < len(texts):  # a few MB at a time, or one text
+    while i < len(texts):  # a slice at a time, or one text
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _SLICE, "right")) - 1)
         yield from _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
         i = j
