@@ -1,10 +1,13 @@
 """WARC archives with revisit records in place of repeated payloads.
 
-Headers (id, payload digest, length) are shuffled by digest, never payloads: the
-smallest id of each digest, found by a map-side minimum, is the original, and
-the others become revisit records that refer to it. Tasks then write archives,
-a gzip member for each record, with record ids, dates, digests and lengths of
-their own.
+Headers (id, payload digest, length) are shuffled by digest: the smallest id of
+each digest, found by a map-side minimum, is the original, and the others become
+revisit records that refer to it. While the list of revisits is small (in bytes)
+it is broadcast and payloads stay where they were read; a longer list is joined
+by id and digest, and payloads are shuffled once. Either join has one row of its
+small side for each key, so Spark may split a digest that millions share. Tasks
+then write archives, a gzip member for each record, with record ids, dates,
+digests and lengths of their own.
 
 Cases: a null payload is empty; equal empty payloads count as copies too; a null
 id is never an original unless nothing else is known of its digest, and then all
@@ -27,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import table
+from maskweave.llm.common import small_batches, table
 from maskweave.llm.files import PartFile, open_input
-from maskweave.storage import fresh_path, stage
+from maskweave.storage import compacted, few, fresh_path
 
-BROADCAST_REVISITS = 200_000
+#: Bytes of archives that a task reads back, when files are small.
+READ_BYTES = 8 << 20
 DATE = "2025-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 
@@ -98,15 +102,11 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write a record for each row under ``folder``. A row (uri, n_records, n_bytes) for each archive, staged."""
+    """Write a record for each row under ``folder``. A row (uri, n_records, n_bytes) for each archive."""
     html = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), html.alias("payload")).withColumns({"sha": F.sha1("payload"), "n_bytes": F.octet_length("payload")})
-    again = stage(revisits(rows, min_bytes), "revisits")
-    n = again.count()
-    if n == 0:
-        rows = rows.withColumn("original", F.lit(None).cast("long"))
-    else:
-        rows = rows.join(F.broadcast(again) if n <= BROADCAST_REVISITS else again, ["page_id", "sha"], "left")
+    again = compacted(revisits(rows, min_bytes), "revisits")
+    rows = rows.join(few(again, 56), ["page_id", "sha"], "left")
     rows = rows.select("page_id", "url", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "sha", "n_bytes", "original")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,8 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             out.close()
             yield pa.RecordBatch.from_pydict({"uri": [out.uri], "n_records": [n], "n_bytes": [out.size]})
 
-    return stage(rows.mapInArrow(run, "uri string, n_records long, n_bytes long"), "archives")
+    with small_batches(pages.sparkSession):
+        return compacted(rows.mapInArrow(run, "uri string, n_records long, n_bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -138,7 +139,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string())])
-    n = max(1, archives.count())
+    n_bytes, n_files = archives.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    n = max(1, min(n_files, -(-n_bytes // READ_BYTES)))
     return archives.select("uri").repartition(n).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string")
 
 
