@@ -9,7 +9,8 @@ documents with it.
 
 Cases: a null or empty text has no words and fails; a null host gets no host
 verdict; repeated rows are judged each; an empty table gives an empty result;
-columns of the input that clash with the measures are replaced by them.
+``measure`` replaces input columns that clash with the measures, the pipeline's
+stage keeps columns of any name.
 Everything is JVM side: no Python runs on the executors.
 """
 from __future__ import annotations
@@ -17,14 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import let, table, upto, words
-from maskweave.storage import stage
+from maskweave.llm.common import Positions, let, table, upto, words
+from maskweave.storage import compacted, few, in_few_files, stage
 
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("short", "repeats", "symbols", "dup_lines")
-#: Hosts up to this many are sent to every executor; more are joined by shuffle.
-BROADCAST_HOSTS = 50_000
 #: Positions take the low bits of a sort key; longer texts sort whole windows.
 POSITION_BITS = 24
 
@@ -91,7 +90,7 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
         measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
         .agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(f"fails_{r}").cast("long")).alias(f"n_{r}") for r in RULES])
     )
-    hosts = stage(hosts, "hosts")
+    hosts = compacted(hosts, "hosts")
     moments = []
     for r in RULES:  # one row of moments comes to the driver, whatever the number of hosts
         rate = F.col(f"n_{r}") / F.col("n_docs")
@@ -117,13 +116,8 @@ def prior(mean: float | None, square: float | None) -> tuple[float, float]:
 def judge(measured: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
     """``measured`` with ``host_rejected`` and ``kept``. ``measured`` is read twice: stage it first."""
     worst = F.greatest(*[F.col(f"rate_{r}") for r in RULES])
-    bad = host_rates(measured, host).where(worst > host_limit).select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    n = bad.count()
-    if n == 0:
-        out = measured.withColumn("host_rejected", F.lit(False))
-    else:
-        side = F.broadcast(bad) if n <= BROADCAST_HOSTS else bad
-        out = measured.join(side, measured[host] == F.col("_host"), "left").withColumn("host_rejected", F.coalesce("_bad", F.lit(False))).drop("_host", "_bad")
+    bad = compacted(host_rates(measured, host).where(worst > host_limit).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "bad-hosts")
+    out = measured.join(few(bad), measured[host] == F.col("_host"), "left").withColumn("host_rejected", F.coalesce("_bad", F.lit(False))).drop("_host", "_bad")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
@@ -134,8 +128,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, with the columns they came with."""
-    return judge(stage(measure(docs), "quality")).where("kept").select(*docs.columns)
+    """Documents that pass, with the columns they came with, of whatever names."""
+    held = Positions(docs)
+    measured = stage(measure(held.rows, held["text"]), "quality")
+    return in_few_files(held.back(judge(measured, held["source"]).where("kept")))
 
 
 SQL = {
