@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.llm.common import table
+from maskweave.llm.common import Positions, table
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -34,6 +34,8 @@ RULES = (
 )
 MAX_BLOCKS = 1 << 18
 BITS_PER_URL = 16
+#: Columns of the result; they replace input columns of these names.
+FOUND = ("host", "path", "listed", "rule", "verdict")
 #: Odd multipliers, one for each word of a block.
 SALTS = tuple(0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 63) | 1 for i in range(8))
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
@@ -103,15 +105,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RUL
     """``pages`` with host, path, rule, listed and verdict. ``listed`` has one column of URLs."""
     keys = listed.select(canonical(F.col(listed.columns[0])).alias("_url_key")).where("_url_key <> ''").distinct()
     filter_rows, n_blocks = bloom(keys)
-    host, path = host_of(F.col(url)), path_of(F.col(url))
-    seen = pages.withColumns({"host": host, "path": path, "_url_key": canonical(F.col(url))})
+    held = Positions(pages)
+    url = F.col(held[url])
+    seen = held.rows.withColumns({"host": host_of(url), "path": path_of(url), "_url_key": canonical(url)})
     seen = may_be_listed(seen, filter_rows, n_blocks)
     passed = seen.where(~F.col("_maybe")).withColumn("listed", F.lit(False))
     exact = keys.withColumn("listed", F.lit(True))
     hits = seen.where("_maybe").join(exact, "_url_key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     name, verdict = by_rules(F.col("host"), F.col("path"), rules)
     out = passed.unionByName(hits).withColumns({"rule": name, "verdict": F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))})
-    return out.drop("_maybe", "_url_key")
+    kept = [(n, i) for n, i in zip(held.names, held.inner) if n.lower() not in FOUND]
+    return out.select(*[i for _, i in kept], *FOUND).toDF(*[n for n, _ in kept], *FOUND)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

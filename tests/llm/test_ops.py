@@ -3,14 +3,17 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from maskweave.llm import decontaminate, files, mixing, near_dup, quality, secrets, suffix, suffix_dedup, token_counts, token_records, url_filter, warc
+from maskweave.llm import decontaminate, files, mixing, near_dup, quality, secrets, shingles, suffix, suffix_dedup, token_counts, token_records, url_filter, warc
 from maskweave.llm.graph import components
 from maskweave.llm.token_records import tokenizer_path
 from maskweave.storage import fresh_path
@@ -386,6 +389,69 @@ def test_shards_draw_by_chance(spark, tmp_path, monkeypatch):
         assert 0.5 < spread / variance < 1.7
 
 
+def hashed(*values):
+    """Spark's xxhash64 of (type, value) pairs."""
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack({"i": "<i", "l": "<q"}[kind], v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_shuffled(x, n, *key):
+    for r in range(1, mixing.ROUNDS + 1):
+        other = (hashed(("i", mixing.SEED), ("i", r), *key) % n - x) % n
+        if hashed(("i", mixing.SEED + 1), ("i", r), ("l", max(x, other)), *key) & 1:
+            x = other
+    return x
+
+
+def plain_mix(rows):
+    """(doc_id, source, size, taken, shards) of each row, slot by slot."""
+    docs = [(i, s, len(WORDS.findall(t or "")), hashed(("s", t))) for i, t, s in rows]
+    total = Counter()
+    for _, s, n, _ in docs:
+        total[s] += n
+    target, key = plain_targets(dict(total)), lambda s: "n" if s is None else "s" + s
+    blocks = {s: -(-n // mixing.BLOCK) for s, n in total.items()}
+    want = {s: min(int(target[s] * blocks[s] / n + 0.5), 3 * blocks[s]) if n else 0 for s, n in total.items()}
+    order = sorted(want, key=key)
+    line = [s for s in order for _ in range(want[s])]
+    drawn = {s: [] for s in want}
+    for slot in range(len(line)):
+        drawn[line[hashed(("i", mixing.SEED + 2), ("l", slot)) % len(line)]].append(slot // mixing.SHARD_SLOTS)
+    slots, over = [], []
+    for s, shards in drawn.items():
+        for k, shard in enumerate(shards):
+            q = plain_shuffled(k, len(shards), ("i", 3), ("s", key(s))) if len(shards) > want[s] else k
+            (slots if q < want[s] else over).append((shard, key(s), q))
+    lack = sorted(((hashed(("s", key(s)), ("l", q)), key(s), q) for s in want for q in range(len(drawn[s]), want[s])))
+    assert len(lack) == len(over) > 0
+    slots += [(shard, k, q) for (shard, _, _), (_, k, q) in zip(sorted(over), lack)]
+    took = {}
+    for shard, k, q in slots:
+        n = blocks[None if k == "n" else k[1:]]
+        took.setdefault((k, plain_shuffled(q % n, n, ("s", k), ("l", q // n))), []).append(shard)
+    n_buckets = max(1, round(len(rows) ** 0.5))
+    at, out = Counter(), Counter()
+    for i, s, n, h in sorted(docs, key=lambda d: (hashed(("l", d[0]), ("l", d[3])) % n_buckets, d[0], d[3], d[2])):
+        shards = Counter()
+        for word in range(at[s], at[s] + n):
+            shards.update(took.get((key(s), word // mixing.BLOCK), ()))
+        at[s] += n
+        out[i, s, n, sum(shards.values()), tuple(sorted(shards.items()))] += 1
+    return out
+
+
+def test_mix_slot_by_slot(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 40)
+    rnd = random.Random(15)
+    rows = [(i, sentence(rnd, rnd.randint(0, 500)), f"s{min(i % 7, 4)}") for i in range(150)] + [(900, None, "s1"), (901, "", None), (902, sentence(rnd, 1500), None), (5, "again again", "s2"), (5, "again again", "s2"), (903, "x", "tiny")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter((r.doc_id, r.source, r.size, r.taken, tuple((x.shard, x.words) for x in r.shards)) for r in mixing.op8_source_mix(spark, str(tmp_path)).collect())
+    assert got == plain_mix(rows)
+
+
 def test_mix_of_nothing(spark, tmp_path):
     table(spark, [(1, "x", "s")]).where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert mixing.op8_source_mix(spark, str(tmp_path)).count() == 0
@@ -471,3 +537,66 @@ def test_components(spark):
             at[a] = at[b] = m
     assert got == {x: c for x, c in at.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# -- names of the input -----------------------------------------------------------
+
+
+CLASHING = ("_id", "_hash", "_w", "_l", "_row", "row", "pass", "gone", "_gone", "_b", "n_words", "kept", "size", "key", "mixed", "picks", "host", "text_hash", "h", "at", "in_0", "doc_id", "order")
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns named as the operators' own, maps, and two of one name come back as they were."""
+    rnd = random.Random(16)
+    rows = [(i, sentence(rnd, 200, 5000), f"s{i % 2}") for i in range(12)] + [(50, "short", "s0"), (51, None, None)]
+    rows += [(3, rows[3][1], "s1"), (60, rows[4][1], "s0"), (5, sentence(rnd, 90, 5000), "s0")]
+    docs = table(spark, rows).select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("source", F.lit("-"))).alias(c) for c in CLASHING], F.create_map(F.lit("a"), F.col("lang")).alias("m"))
+    spark.createDataFrame([(1, sentence(rnd, 20, 5000))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for f in (quality.quality_stage, near_dup.near_dup_stage, decontaminate.decontaminate_stage, mixing.mix_stage):
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, f
+        found = out.collect()
+        assert len(found) >= 10
+        for r in found:
+            assert [x for x in r[5:-1]] == [f"{c}:{r[3] or '-'}" for c in CLASHING] and r[-1] == {"a": "en"}, f
+    pages = spark.createDataFrame([(1, "http://a/b", "mine", "b", "w")], "page_id long, url string, Host string, _b string, _w0 string")
+    out = url_filter.filter_urls(pages, pages.select("url"))
+    assert out.columns == ["page_id", "url", "_b", "_w0", *url_filter.FOUND] and list(out.first()) == [1, "http://a/b", "b", "w", "a", "/b", True, None, "block"]
+
+
+def test_tables_of_nothing(spark, tmp_path):
+    none = table(spark, [(1, "x", "s")]).where("false")
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert secrets.scan(none).count() == 0 and token_counts.count_tokens(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
+    for f in (quality.quality_stage, near_dup.near_dup_stage, decontaminate.decontaminate_stage, mixing.mix_stage, token_records.records_stage):
+        assert f(spark, none, str(tmp_path)).count() == 0
+
+
+def test_copies_meet_a_shard_once(spark, monkeypatch):
+    """3,000 copies of a text and one near copy: a segment is one row of its shard."""
+    rnd = random.Random(17)
+    base = sentence(rnd, 300, 5000)
+    near = base.replace(base.split()[150], "other")
+    df = spark.createDataFrame([(i, base) for i in range(3000)] + [(9000, near)], "doc_id long, text string").repartition(4)
+    docs = df.select(F.col("text"), F.unhex(F.sha1("text")).alias("text_key"))
+    parts, cut = [], suffix_dedup._cut
+    monkeypatch.setattr(suffix_dedup, "_cut", lambda x: parts.append(cut(x)) or parts[-1])
+    suffix_dedup.repeated_spans(docs, 400)
+    rows = [(r.anchor, r.digest) for r in parts[0].select("anchor", "digest").collect()]
+    assert 0 < len(rows) == len(set(rows)) < 40
+
+
+def test_texts_longer_than_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_SLICE", 1000)
+    rnd = random.Random(18)
+    a = sentence(rnd, 900)
+    texts = [a, a[300:3000], sentence(rnd, 400) + a[1500:2600], sentence(rnd, 700)]
+    for size in (64, 400):
+        bounds = np.cumsum([0, *(len(t) for t in texts)])
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        seen = [p for t, lo, hi, _ in suffix_dedup.segments(data, bounds, size) for p in [(t, i) for i in range(lo, hi - size + 1)]]
+        assert sorted(seen) == [(t, i) for t, x in enumerate(texts) for i in range(len(x) - size + 1)]
+    monkeypatch.setattr(shingles, "_SLICE", 1000)
+    sets = [len(s) for s in shingles.shingle_sets(pa.array(texts), 4)]
+    assert sets == [len({tuple(w[k : k + 4]) for k in range(len(w) - 3)}) for w in (t.split() for t in texts)]
