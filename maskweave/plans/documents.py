@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskweave.constants import CHUNK_OVERLAP, PII_CATEGORIES
 from maskweave.functions import spans as S
+from maskweave.functions.core import sql_string
 from maskweave.operators import rules, stateless
 from maskweave.operators.chunks import owned_chunks
 
@@ -142,9 +143,24 @@ def token_chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = next(p for k, p, _ in rules.RULES if k == "private_email")
-_D = next(p for k, p, _ in rules.RULES if k == "private_date")
-_KINDS = {k: p for k, p, _ in rules.RULES if k in ("private_email", "account_number", "private_url", "private_date")}
-_BREAKDOWN = " UNION ALL ".join(f"SELECT '{k}' AS type, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for k, p in _KINDS.items())
+#: All spans of the rules by document: place, end, rule, kind, text and confidence (32 bits), in the order of the merge.
+_SPANS = "WITH g AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS r, '{k}' AS ty, CAST({c} AS FLOAT) AS c, regexp_extract_all(text, {sql_string(p)}) AS ms, regexp_split_to_array(text, {sql_string(p)}) AS gs FROM documents" for i, (k, p, c) in enumerate(rules.RULES)
+) + """), i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM g),
+p AS (SELECT doc_id, r, ty, c, ms[i] AS t, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i),
+s AS (SELECT doc_id, {'a': a, 'nb': -(a + length(t)), 'r': r, 'b': a + length(t), 'ty': ty, 't': t, 'c': c} AS x FROM p)"""
+
+
+def _merged(spans: str) -> str:
+    """The merge over a sorted list of spans, one after another."""
+    meets = "coalesce(list_position(list_transform(acc, lambda k: x[1].a < k.b AND x[1].b > k.a), true), 0)"
+    return f"""list_reduce(list_transform({spans}, lambda s: [s]), lambda acc, x: CASE WHEN {meets} = 0 THEN list_concat(acc, x)
+      ELSE list_transform(acc, lambda k, i: CASE WHEN i = {meets} AND x[1].b - x[1].a > k.b - k.a THEN x[1] ELSE k END) END)"""
+
+
+_FOUND = _SPANS + f""", m AS (SELECT doc_id, {_merged("list(x ORDER BY x.a, x.nb, x.r)")} AS m FROM s GROUP BY doc_id),
+f AS (SELECT d.doc_id, text, list_filter(coalesce(m, []), lambda k: k.c >= CAST(0.9 AS FLOAT)) AS ss FROM documents AS d LEFT JOIN m USING (doc_id))"""
+_BREAKDOWN = _SPANS + f", m AS (SELECT x.ty AS ty, {_merged('list(x ORDER BY x.a, x.nb, x.r)')} AS m FROM s GROUP BY doc_id, x.ty), n AS (SELECT ty AS type, CAST(sum(len(m)) AS BIGINT) AS n FROM m GROUP BY ty)"
 _CATEGORIES = ", ".join(f"('{c}', '{t}')" for c, ts in PII_CATEGORIES.items() for t in ts)
 _CASED = sorted(CASED, key=lambda k: -len(k))
 _UNCASED = sorted(UNCASED, key=lambda k: -len(k))
@@ -169,18 +185,22 @@ s AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM p),
 q AS (SELECT doc_id, ms[i] AS matched, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start_at FROM s)
 SELECT doc_id, 'private_email' AS type, matched, start_at, start_at + length(matched) AS end_at FROM q
 """,
-    "span_threshold_filter": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_E}')) + len(regexp_extract_all(text, '{_D}')) AS BIGINT) AS n_all, CAST(len(regexp_extract_all(text, '{_E}')) AS BIGINT) AS n_confident FROM documents",
-    "redact_placeholder": f"SELECT doc_id, regexp_replace(text, '{_E}', '[REDACTED PRIVATE EMAIL]', 'g') AS redacted_text FROM documents",
-    "pii_type_breakdown": f"SELECT type, CAST(sum(n) AS BIGINT) AS n FROM ({_BREAKDOWN}) GROUP BY type HAVING sum(n) > 0",
-    "pii_category_rollup": f"""
-SELECT category, type, CAST(sum(n) AS BIGINT) AS n FROM (SELECT type, sum(n) AS n FROM ({_BREAKDOWN}) GROUP BY type HAVING sum(n) > 0) JOIN (VALUES {_CATEGORIES}) AS c(category, type) USING (type)
-GROUP BY ROLLUP (category, type)
-""",
-    "entity_summary": f"""
-SELECT doc_id, CASE len(ms) WHEN 0 THEN 'No sensitive data found' WHEN 1 THEN '1 item redacted' ELSE CAST(len(ms) AS VARCHAR) || ' items redacted' END AS summary,
-       array_to_string(list_transform(ms, lambda m: 'private_email: ' || m), '; ') AS entities
-FROM (SELECT doc_id, regexp_extract_all(text, '{_E}') AS ms FROM documents)
+    "rule_detect_all": _FOUND + " SELECT doc_id, k.ty AS type, k.t AS matched, k.a AS start_at FROM (SELECT doc_id, unnest(ss) AS k FROM f)",
+    "span_overlap_merge": f"""
+WITH d AS (SELECT doc_id, n_chars % 7 + 2 AS n, n_chars % 5 AS k FROM documents),
+s AS (SELECT doc_id, list_sort([{{'a': 0, 'nb': -n, 'r': 0, 'b': n, 'c': CAST(0.95 AS FLOAT)}}, {{'a': k, 'nb': -(k + n + 1), 'r': 1, 'b': k + n + 1, 'c': CAST(0.5 AS FLOAT)}}, {{'a': k + n, 'nb': -(k + 2 * n), 'r': 2, 'b': k + 2 * n, 'c': CAST(0.99 AS FLOAT)}}]) AS ss FROM d),
+m AS (SELECT doc_id, {_merged("ss")} AS m FROM s)
+SELECT doc_id, CAST(len(m) AS BIGINT) AS n_kept, CAST(m[1].b AS BIGINT) AS first_end, CAST(len(list_filter(m, lambda k: k.c >= CAST(0.9 AS FLOAT))) AS BIGINT) AS n_confident FROM m
 """,
+    "span_threshold_filter": _SPANS + ", n AS (SELECT doc_id, count(*) AS a, count(*) FILTER (WHERE x.c >= CAST(0.95 AS FLOAT)) AS b FROM s GROUP BY doc_id) SELECT doc_id, coalesce(a, 0) AS n_all, coalesce(b, 0) AS n_confident FROM documents LEFT JOIN n USING (doc_id)",
+    "redact_placeholder": _FOUND + """
+SELECT doc_id, list_reduce(list_concat([{'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 't': text}], list_transform(list_reverse_sort(ss), lambda k: {'a': k.a, 'b': k.b, 't': '[REDACTED ' || replace(upper(k.ty), '_', ' ') || ']'})),
+  lambda acc, x: {'a': x.a, 'b': x.b, 't': substr(acc.t, 1, x.a) || x.t || substr(acc.t, x.b + 1)}).t AS redacted_text FROM f""",
+    "pii_type_breakdown": _BREAKDOWN + " SELECT type, n FROM n",
+    "pii_category_rollup": _BREAKDOWN + f" SELECT category, type, CAST(sum(n) AS BIGINT) AS n FROM n JOIN (VALUES {_CATEGORIES}) AS c(category, type) USING (type) GROUP BY ROLLUP (category, type)",
+    "entity_summary": _FOUND + """
+SELECT doc_id, CASE len(ss) WHEN 0 THEN 'No sensitive data found' WHEN 1 THEN '1 item redacted' ELSE CAST(len(ss) AS VARCHAR) || ' items redacted' END AS summary,
+       array_to_string(list_transform(ss, lambda k: k.ty || ': ' || k.t), '; ') AS entities FROM f""",
     "token_chunk_ranges": f"""
 WITH c AS (SELECT doc_id, n_chars, unnest(range(0, greatest(1, CAST(ceil(greatest(n_chars - {CHUNK_OVERLAP}, 1) / {1000 - CHUNK_OVERLAP}.0) AS BIGINT)))) AS chunk FROM documents WHERE n_chars > 0)
 SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(chunk * {1000 - CHUNK_OVERLAP} AS BIGINT) AS start_at, CAST(least(n_chars, chunk * {1000 - CHUNK_OVERLAP} + 1000) AS BIGINT) AS end_at,

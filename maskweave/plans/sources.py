@@ -63,6 +63,6 @@ SQL = {
     "settings_migrate": f"SELECT * FROM (VALUES {_ROWS}) AS s(id, corrupt, value)",
     "profile_parse": "SELECT * FROM (VALUES ('a', 'k', 8080::BIGINT, true, 1::BIGINT, true), ('b', '', 9000, false, 0, false)) AS p(id, api_key, port, enabled, n_keywords, first_cs)",
     "request_parse": "SELECT conv_id, turn, 'POST' AS method, '/v1/chat?x=1' AS path, 'HTTP/1.1' AS version, role AS x_role, '{\"t\":\"' || role || '\"}' AS body FROM conversations",
-    "vault_roundtrip": "SELECT doc_id, substr(text, 1, 40) AS opened, true AS locked FROM documents",
+    "vault_roundtrip": "SELECT doc_id, text AS opened, true AS locked FROM documents",
 }
 QUERIES = {n: globals()[n] for n in SQL}

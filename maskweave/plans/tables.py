@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.constants import RTL_LANGUAGES, UPDATE_CHANNEL, UPDATE_FILE
+from maskweave.constants import PREVIEW_CHARS, RTL_LANGUAGES, UPDATE_CHANNEL, UPDATE_FILE
 from maskweave.functions import text as T
 from maskweave.operators import profiles, report, session
 
@@ -224,11 +224,11 @@ FROM (SELECT page_id, lower(split_part(split_part(url, '?', 1) || ['/V1/messages
 SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END AS size
 FROM (SELECT doc_id, n_chars * n_chars * (doc_id + 1) AS n FROM documents)""",
     "log_summary": "SELECT event_id, 'POST ' || event_type || CASE WHEN event_id % 3 > 0 THEN ' | PII ' || CAST(event_id % 3 AS VARCHAR) ELSE '' END || CASE WHEN event_id % 2 > 0 THEN ' | Regex 1' ELSE '' END AS summary FROM events",
-    "preview_truncate": "SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...[truncated]' ELSE text END AS preview FROM documents",
-    "trim_ws": "SELECT doc_id, trim(substr(text, 1, 20), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS trimmed FROM documents",
+    "preview_truncate": f"SELECT doc_id, CASE WHEN length(text) > {PREVIEW_CHARS} THEN substr(text, 1, {PREVIEW_CHARS}) || '...[truncated]' ELSE text END AS preview FROM documents",
+    "trim_ws": "SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS trimmed FROM documents",
     "split_tail": """
 SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p, '|') AS joined
-FROM (SELECT doc_id, CASE WHEN q[-1] = '' THEN q[1:len(q) - 1] ELSE q END AS p FROM (SELECT doc_id, string_split(substr(text, 1, 80), ' ') AS q FROM documents))""",
+FROM (SELECT doc_id, CASE WHEN q[-1] = '' THEN q[1:len(q) - 1] ELSE q END AS p FROM (SELECT doc_id, string_split(text, ' ') AS q FROM documents))""",
     "message_format": "SELECT doc_id, source || ' of ' || lang || ' in ' || source AS message FROM documents",
     "semver_newer": "SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false), (4, true), (5, false), (6, false), (7, false), (8, true)) AS v(id, newer)",
     "latest_release": "SELECT '1.10.0' AS version, 'c' AS file_name",
