@@ -74,7 +74,7 @@ def bioes_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield s.map(found)
 
     e = _sequences(spark, sf_dir).select("seq_id", F.explode(spans(F.transform("rows", lambda r: r["x"]))).alias("e"))
-    return e.select("seq_id", "e.type", F.col("e.text").alias("matched"), F.col("e.start").cast("long").alias("start_at"))
+    return e.select("seq_id", "e.type", F.col("e.text").alias("matched"), F.col("e.start").cast("long").alias("start_at"), F.round(F.col("e.confidence").cast("double"), 4).alias("confidence"))
 
 
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,36 @@ def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "c.n_pieces", "c.n_bytes", "c.n_merged")
 
 
+def _path_sql() -> str:
+    """Best paths as SQL, a step of all sequences for each token: p (seq_id, t, class) and names."""
+    names = D.class_names()
+    step = D.transitions(names)
+    allowed = ", ".join(f"({a}, {b})" for a in range(len(names)) for b in range(len(names)) if step[a, b] == 0)
+    starts = ", ".join(str(i) for i, n in enumerate(names) if n[0] in "OBS")
+    sql = f"""
+WITH e AS (SELECT vec_id // {ROW} AS seq_id, row_number() OVER (PARTITION BY vec_id // {ROW} ORDER BY vec_id) - 1 AS t, CAST(embedding[1:{N_CLASSES}] AS FLOAT[]) AS x FROM embeddings),
+l AS MATERIALIZED (SELECT seq_id, t, i - 1 AS c, x[i] AS v FROM (SELECT *, unnest(range(1, {N_CLASSES + 1})) AS i FROM e)),
+k(a, c) AS (VALUES {allowed}),
+names(c, edge, type) AS (VALUES {", ".join(f"({i}, '{n[0]}', '{n[2:]}')" for i, n in enumerate(names))}),
+s0 AS MATERIALIZED (SELECT seq_id, c, v AS score, [c] AS path FROM l WHERE t = 0 AND c IN ({starts}))"""
+    for t in range(1, ROW):  # of equal scores the lowest class before
+        sql += f""",
+s{t} AS MATERIALIZED (SELECT seq_id, c, b.score, list_append(b.path, c) AS path FROM (
+  SELECT s.seq_id, l.c, max({{'score': CAST(s.score + l.v AS FLOAT), 'before': -s.c, 'path': s.path}}) AS b FROM s{t - 1} AS s JOIN k ON k.a = s.c JOIN l ON l.seq_id = s.seq_id AND l.c = k.c AND l.t = {t} GROUP BY s.seq_id, l.c))"""
+    every = " UNION ALL ".join(f"SELECT seq_id, {t} AS t, c, score, path FROM s{t}" for t in range(ROW))
+    return sql + f""",
+b AS (SELECT seq_id, max({{'t': t, 'score': score, 'c': -c, 'path': path}}).path AS path FROM ({every}) GROUP BY seq_id),
+p AS (SELECT seq_id, unnest(range(0, len(path))) AS t, unnest(path) AS c FROM b)"""
+
+
 SQL = {
+    "viterbi_decode": _path_sql() + " SELECT seq_id, t AS token, CAST(c AS BIGINT) AS class FROM p",
+    "bioes_entities": _path_sql() + f""",
+q AS (SELECT l.seq_id, l.t, CAST(exp(CAST(max(v) FILTER (WHERE l.c = p.c) AS DOUBLE) - max(v)) / sum(exp(CAST(v AS DOUBLE) - m)) AS DOUBLE) AS prob, any_value(p.c) AS c
+      FROM (SELECT *, max(v) OVER (PARTITION BY seq_id, t) AS m FROM l) AS l JOIN p ON p.seq_id = l.seq_id AND p.t = l.t GROUP BY l.seq_id, l.t),
+n AS (SELECT q.*, edge, type, sum(CASE WHEN edge IN ('B', 'S') THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY t) AS entity FROM q JOIN names USING (c))
+SELECT seq_id, type, substr('{" ".join("abcdefghij")}', CAST(2 * min(t) + 1 AS BIGINT), CAST(2 * (max(t) - min(t)) + 1 AS BIGINT)) AS matched, 2 * min(t) AS start_at, round(avg(prob), 4) AS confidence
+FROM n WHERE edge <> 'O' GROUP BY seq_id, type, entity""",
     "softmax_assigned_prob": f"""
 WITH e AS (SELECT vec_id, embedding[1:{N_CLASSES}] AS x FROM embeddings), m AS (SELECT *, list_max(x) AS top FROM e)
 SELECT vec_id, CAST(list_position(x, top) - 1 AS BIGINT) AS class, round(1 / list_sum(list_transform(x, lambda v: exp(v::DOUBLE - top::DOUBLE))), 6) AS prob FROM m""",
