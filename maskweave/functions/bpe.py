@@ -4,6 +4,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
+
 
 @lru_cache(1)
 def byte_letters() -> dict[int, str]:
@@ -43,34 +45,50 @@ def split_spaces(text: str) -> list[tuple[str, int]]:
 
 
 class Bpe:
-    """``vocab``: piece to id. ``merges``: pairs in order of rank."""
+    """``vocab``: piece to id. ``merges``: pairs in order of rank. Words up to 64 bytes are remembered, up to ``remembered`` of them."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], remembered: int = 100_000):
         self.vocab = vocab
         self.ranks = {pair: i for i, pair in enumerate(merges)}
-        self._words: dict[str, list[str]] = {}
+        self._words: dict[str, tuple[list[int], list[str], np.ndarray]] = {}
+        self._remembered = remembered
 
     def merge(self, word: str) -> list[str]:
         """A byte-mapped word merged pair by pair: the least rank first, the leftmost of equal ones."""
-        if word in self._words:
-            return self._words[word]
-        parts = list(word)
+        parts, none = list(word), len(self.ranks)
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, len(self.ranks)), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.ranks):
+            ranks = [self.ranks.get(p, none) for p in zip(parts, parts[1:])]
+            rank = min(ranks)
+            if rank == none:
                 break
-            parts[at : at + 2] = ["".join(parts[at : at + 2])]
-        if len(self._words) < 100_000:
-            self._words[word] = parts
+            at = ranks.index(rank)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _word(self, raw: str) -> tuple[list[int], list[str], np.ndarray]:
+        """Ids, pieces and their lengths in bytes of a piece of text."""
+        found = self._words.get(raw)
+        if found is None:
+            letters = byte_letters()
+            parts = self.merge("".join(letters[b] for b in raw.encode()))
+            found = [self.vocab.get(p, 0) for p in parts], parts, np.array([len(p) for p in parts], np.int64)
+            if len(raw) <= 64:
+                if len(self._words) >= self._remembered:
+                    self._words.clear()
+                self._words[raw] = found
+        return found
+
+    def lengths(self, text: str | None) -> np.ndarray:
+        """The pieces' lengths in bytes, in order; none for null."""
+        found = [self._word(raw)[2] for raw, _ in split_spaces(text or "")]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
     def encode(self, text: str) -> list[Piece]:
         """Pieces with byte places in the UTF-8 text; unknown pieces have id 0."""
-        letters = byte_letters()
         out, at = [], 0
-        for piece, _ in split_spaces(text):
-            for part in self.merge("".join(letters[b] for b in piece.encode())):
-                out.append(Piece(self.vocab.get(part, 0), part, at, at + len(part)))
+        for raw, _ in split_spaces(text):
+            for i, part in zip(*self._word(raw)[:2]):
+                out.append(Piece(i, part, at, at + len(part)))
                 at += len(part)
         return out
 

@@ -78,9 +78,9 @@ def splice(text: Column, spans: Column, replacement) -> Column:
     return fold(from_the_right(spans), text, lambda t, s: F.overlay(t, replacement(s), s["start"] + 1, s["end"] - s["start"]))
 
 
-def redact_placeholders(text: Column, spans: Column) -> Column:
-    """Irreversible redaction: ``[REDACTED TYPE]`` in place of each span."""
-    return splice(text, valid(spans, F.length(text)), lambda s: placeholder(s["type"]))
+def redact_placeholders(text: Column, spans: Column, template: str | None = None) -> Column:
+    """Irreversible redaction: ``[REDACTED TYPE]``, or a template as it is, in place of each span."""
+    return splice(text, valid(spans, F.length(text)), lambda s: placeholder(s["type"]) if template is None else F.lit(template))
 
 
 def describe(spans: Column) -> Column:

@@ -40,6 +40,19 @@ def format_size(n: Column) -> Column:
     return F.format_string("%.1f %s", n / F.pow(F.lit(1024.0), power), unit)
 
 
+def format_float(x: Column, digits: int = 1, comma: bool = False) -> Column:
+    """A number with so many decimals, and a decimal comma where the language has one."""
+    out = F.format_string(f"%.{digits}f", x.cast("double"))
+    return F.replace(out, F.lit("."), F.lit(",")) if comma else out
+
+
+def parse_float(s: Column, comma: bool = False) -> Column:
+    """The number that a text starts with, else 0. With ``comma`` points count as commas, and commas are decimal."""
+    plain = F.replace(s, F.lit(","), F.lit(".")) if comma else s
+    number = F.regexp_extract(plain, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return F.coalesce(F.nullif(number, F.lit("")).cast("double"), F.lit(0.0))
+
+
 def format_message(template: Column, *args: Column) -> Column:
     """``{0}``, ``{1}`` ... replaced in order, so later arguments reach into earlier ones as well."""
     for i, a in enumerate(args):

@@ -6,10 +6,11 @@ from an ONNX file, if there is one."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.constants import CHUNK_OVERLAP, CHUNK_TOKENS, PII_TYPES
@@ -58,6 +59,21 @@ def detect(docs: DataFrame, make_bpe: Callable[[], B.Bpe], make_score: Callable[
     return docs.withColumn(name, run(text))
 
 
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs that this thread starts meanwhile can be ended by ``cancel``."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End the jobs under a tag."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def onnx_score(path: str, threads: int = 4) -> Callable[[], Score]:
     """A factory of scores by an ONNX model with ``input_ids`` and ``attention_mask``."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.constants import DEFAULT_PORT, DEFAULT_THRESHOLD
+from maskweave.constants import DEFAULT_PORT, DEFAULT_THRESHOLD, TRIMMED
 
 PROFILE = """id string, alias string, upstream_url string, api_key string, port int, use_openai_model boolean, protocol_mode string,
 enabled_pii_types array<string>, pii_confidence_threshold float, regex_patterns array<struct<pattern:string,enabled:boolean>>,
@@ -46,8 +46,16 @@ def bind(requests: DataFrame, profiles: DataFrame, key: str = "port") -> DataFra
     return requests.join(F.broadcast(first), key, "left").select(*requests.columns, "_p.*")
 
 
+def broken_patterns(profiles: DataFrame) -> list[str]:
+    """Patterns of profiles that don't compile. Profiles are configuration: their distinct patterns come to the driver."""
+    from maskweave.operators.stateless import Pattern, usable_patterns
+
+    every = [p for (p,) in profiles.select(F.explode("regex_patterns.pattern")).distinct().collect() if p and p.strip(TRIMMED)]
+    return sorted({*every} - {*usable_patterns(profiles.sparkSession, [Pattern(p) for p in every])})
+
+
 def problems(profiles: DataFrame) -> DataFrame:
-    """(id, error) for each rule that a profile breaks."""
+    """(id, error) for each rule that a profile breaks; patterns are tried where there is a column of them."""
     shared = profiles.groupBy("port").agg(F.count(F.lit(1)).alias("n_on_port"))
     p = profiles.join(shared, "port")
     checks = {
@@ -57,6 +65,9 @@ def problems(profiles: DataFrame) -> DataFrame:
         "upstream is not http": (F.coalesce("upstream_url", F.lit("")) != "") & ~F.lower("upstream_url").rlike("^https?://"),
         "threshold out of range": ~F.col("threshold").between(0, 1),
     }
+    if "regex_patterns" in profiles.columns:
+        broken = broken_patterns(profiles)
+        checks["pattern does not compile"] = F.exists("regex_patterns.pattern", lambda x: x.isin(broken)) if broken else F.lit(False)
     errors = F.filter(F.array(*[F.when(bad, error) for error, bad in checks.items()]), lambda e: e.isNotNull())
     return p.select("id", F.explode(errors).alias("error"))
 

@@ -1,7 +1,7 @@
 """Rings, logs and statistics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,6 +42,26 @@ def masked_log(logs: DataFrame, show_sensitive: bool) -> DataFrame:
     return logs.withColumn("details", F.when(client, omitted).otherwise(F.col("details")))
 
 
+def logged(logs: DataFrame, enabled: bool, show_sensitive: bool) -> DataFrame:
+    """What a log keeps under its two switches; without logging nothing is kept, sensitive values least of all."""
+    return masked_log(logs, show_sensitive and enabled).where(F.lit(enabled))
+
+
+def match_listing(labels: DataFrame, types: DataFrame, default: str = "") -> DataFrame:
+    """``labels`` (session, kind, original, label) with the type of their originals by ``types``
+    (original, type) and their place in their session: spans, patterns, keywords, each by label text."""
+    kinds = F.array_position(F.array(F.lit("PII"), F.lit("REGEX"), F.lit("KEYWORD")), F.col("kind"))
+    out = labels.join(types.groupBy("original").agg(F.min("type").alias("type")), "original", "left")
+    place = F.row_number().over(W.partitionBy("session").orderBy(kinds, "label"))
+    return out.select("session", "kind", "label", "original", F.coalesce("type", F.lit(default)).alias("type"), place.cast("long").alias("place"))
+
+
+def observed(df: DataFrame, name: str, text: str) -> tuple[DataFrame, Observation]:
+    """``df`` with metrics of the step that it stands for: rows and bytes, read once an action has run."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n_bytes")), seen
+
+
 def type_breakdown(found: DataFrame, key: list[str], kind: str) -> DataFrame:
     """A map of kind to count for each key."""
     per = found.groupBy(*key, kind).agg(F.count(F.lit(1)).alias("n"))

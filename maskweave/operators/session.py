@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskweave.constants import LABEL_PATTERN
+from maskweave.constants import DEFAULT_THRESHOLD, LABEL_PATTERN
 from maskweave.functions import spans as S
 from maskweave.functions.labels import label, replace_keywords, replace_literals, unredact
 from maskweave.operators import stateless
@@ -141,6 +141,25 @@ def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns:
     return out, dictionary
 
 
+def redact_for_profile(fragments: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame]:
+    """``redact_sessions`` by a profile's switches; a stage that is off is not in the plan."""
+    from maskweave.operators import rules
+
+    types = tuple(profile.get("enabled_pii_types") or ()) if profile.get("use_openai_model", True) else ()
+    spans = rules.detect(F.col("text"), types, profile.get("pii_confidence_threshold", DEFAULT_THRESHOLD)) if types else None
+    patterns = stateless.usable_patterns(fragments.sparkSession, [stateless.Pattern(p["pattern"], p.get("enabled", True)) for p in profile.get("regex_patterns") or ()])
+    keywords = stateless.usable_keywords([stateless.Keyword(k["text"], k.get("case_sensitive", True), k.get("enabled", True)) for k in profile.get("keywords") or ()])
+    return redact_sessions(fragments, spans, patterns, keywords)
+
+
+def profile_totals(redacted: DataFrame, n_keywords: int) -> DataFrame:
+    """Requests and labels of each session: distinct ones by request, summed; every keyword counts in every request."""
+    n = redacted.groupBy("session").agg(F.count(F.lit(1)).alias("n_requests"))
+    per = request_counts(redacted, ["session", "seq"]).where("kind <> 'KEYWORD'").groupBy("session").pivot("kind", ["PII", "REGEX"]).agg(F.sum("n_labels"))
+    zero = F.lit(0).cast("long")
+    return n.join(per, "session", "left").select("session", "n_requests", F.coalesce("PII", zero).alias("n_pii"), F.coalesce("REGEX", zero).alias("n_regex"), (F.col("n_requests") * n_keywords).alias("n_keyword"))
+
+
 def restore_sessions(redacted: DataFrame, dictionary: DataFrame, body: str = "redacted_text") -> DataFrame:
     """``redacted`` with ``restored_text``: the labels in each text are looked up by a hash join, not tried one by one."""
     keyed = redacted.withColumn("_row", F.monotonically_increasing_id())

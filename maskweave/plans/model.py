@@ -84,8 +84,8 @@ def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = small_bpe()
         for s in batches:
-            rows = [bpe.encode(t) for t in s]
-            yield pd.DataFrame({"n_pieces": [len(r) for r in rows], "n_bytes": [r[-1].byte_end if r else 0 for r in rows], "n_merged": [sum(len(p.text) > 1 for p in r) for r in rows]})
+            lengths = [bpe.lengths(t) for t in s]
+            yield pd.DataFrame({"n_pieces": [len(x) for x in lengths], "n_bytes": [int(x.sum()) for x in lengths], "n_merged": [int((x > 1).sum()) for x in lengths]})
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", count("text").alias("c"))
     return d.select("doc_id", "c.n_pieces", "c.n_bytes", "c.n_merged")
@@ -113,7 +113,20 @@ b AS (SELECT seq_id, max({{'t': t, 'score': score, 'c': -c, 'path': path}}).path
 p AS (SELECT seq_id, unnest(range(0, len(path))) AS t, unnest(path) AS c FROM b)"""
 
 
+def _bpe_sql() -> str:
+    """The merges one after another: none makes a pair of lower rank. Only one pair is of two bytes of one character."""
+    text = "regexp_replace(text, '(?s)(.)', chr(1) || '\\1' || chr(2), 'g')"
+    for a, b in (m for m in MERGES if m != ("Ã", "©")):
+        a, b = a.replace("Ġ", " "), b.replace("Ġ", " ")
+        text = f"replace({text}, chr(1) || '{a}' || chr(2) || chr(1) || '{b}' || chr(2), chr(1) || '{a + b}' || chr(2))"
+    return f"""
+WITH m AS (SELECT doc_id, text, {text} AS r, length(text) - length(replace(text, 'é', '')) AS e FROM documents)
+SELECT doc_id, CAST(length(r) - length(replace(r, chr(2), '')) + strlen(text) - length(text) - e AS BIGINT) AS n_pieces, CAST(strlen(text) AS BIGINT) AS n_bytes,
+       CAST(len(regexp_extract_all(r, chr(1) || '[^' || chr(2) || ']{{2,}}' || chr(2))) + e AS BIGINT) AS n_merged FROM m"""
+
+
 SQL = {
+    "bpe_encode": _bpe_sql(),
     "viterbi_decode": _path_sql() + " SELECT seq_id, t AS token, CAST(c AS BIGINT) AS class FROM p",
     "bioes_entities": _path_sql() + f""",
 q AS (SELECT l.seq_id, l.t, CAST(exp(CAST(max(v) FILTER (WHERE l.c = p.c) AS DOUBLE) - max(v)) / sum(exp(CAST(v AS DOUBLE) - m)) AS DOUBLE) AS prob, any_value(p.c) AS c

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.functions.core import sql_string
-from maskweave.operators import rules, session, stateless
+from maskweave.operators import report, rules, session, stateless
 
 WORDS = r"th[a-f]+ing|Er[a-d]+sh"
 KEYWORDS = (("thble", False), ("blere", True))
@@ -77,6 +77,18 @@ def request_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.request_counts(_all(spark, sf_dir)[0], ["session", "seq"]).select("session", F.col("seq").alias("doc_id"), "kind", "n_labels")
 
 
+def profile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and labels of all classes for each profile (source)."""
+    out, _ = session.redact_sessions(fragments(spark, sf_dir), rules.candidates(F.col("text"), ("private_email",)), [_CARD], list(KEYWORDS))
+    return session.profile_totals(out, len(KEYWORDS)).withColumnRenamed("session", "profile")
+
+
+def match_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of each session by label text, with the kind of what they stand for."""
+    found = fragments(spark, sf_dir).select(F.explode(rules.candidates(F.col("text"), ("private_email",))).alias("s")).select(F.col("s.text").alias("original"), "s.type")
+    return report.match_listing(_plain(spark, sf_dir)[1], found, "unknown").select("session", "label", "original", "type", "place")
+
+
 _F = """
 WITH f AS (SELECT source AS session, text, min(doc_id) AS first_seq FROM documents GROUP BY ALL),
 m AS (SELECT session, first_seq, text, list_distinct(list_concat(regexp_extract_all(text, {email}), regexp_extract_all(text, {card}))) AS ms FROM f),
@@ -94,9 +106,11 @@ d AS (SELECT session, original, min({{'s': first_seq, 'a': -place}}) AS x FROM q
 SELECT session, original, row_number() OVER (PARTITION BY session ORDER BY x, original) - 1 AS n, x.s AS first_doc FROM d
 """,
     "forward_propagation": _F + "SELECT m.session, length(m.text) AS n_text, count(*) AS n_known FROM m JOIN n ON m.session = n.session AND n.first_doc <= m.first_seq AND contains(m.text, n.original) GROUP BY m.session, m.text, m.first_seq",
+    "match_listing": _F + f"SELECT session, label, original, CASE WHEN regexp_full_match(original, {sql_string(_EMAIL)}) THEN 'private_email' ELSE 'unknown' END AS type, row_number() OVER (PARTITION BY session ORDER BY label) AS place FROM (SELECT *, '<<REDACTED_REGEX_' || CAST(n AS VARCHAR) || '>>' AS label FROM n)",
+    "profile_totals": f"SELECT source AS profile, count(*) AS n_requests, CAST(coalesce(sum(len(list_distinct(regexp_extract_all(text, {sql_string(_EMAIL)})))), 0) AS BIGINT) AS n_pii, CAST(coalesce(sum(len(list_distinct(regexp_extract_all(text, {sql_string(_CARD)})))), 0) AS BIGINT) AS n_regex, {len(KEYWORDS)} * count(*) AS n_keyword FROM documents GROUP BY source",
     "fragment_cache_first": "SELECT doc_id, source AS session, min(doc_id) OVER (PARTITION BY source, text) AS first_doc FROM documents",
     "unredact_roundtrip": "SELECT doc_id, text AS restored_text FROM documents",
     "profile_stats": _F + """, r AS (SELECT m.session, m.text, count(DISTINCT n.original) AS k FROM m JOIN n ON m.session = n.session AND list_contains(m.ms, n.original) GROUP BY ALL)
 SELECT source AS profile, count(*) AS n_requests, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_regex FROM documents LEFT JOIN r ON source = r.session AND documents.text = r.text GROUP BY source""",
 }
-QUERIES = {f.__name__: f for f in (session_label_numbering, pii_label_numbering, session_redact, forward_propagation, fragment_cache_first, unredact_roundtrip, profile_stats, request_label_counts)}
+QUERIES = {f.__name__: f for f in (session_label_numbering, pii_label_numbering, session_redact, forward_propagation, fragment_cache_first, unredact_roundtrip, profile_stats, profile_totals, match_listing, request_label_counts)}

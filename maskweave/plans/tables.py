@@ -85,8 +85,9 @@ def profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 80, "https://x", 0.9), ("b", 8081, "", 0.5), ("c", 8081, "ftp://x", 1.5), ("d", 9000, "HTTP://ok", 0.0)]
-    return profiles.problems(spark.createDataFrame(rows, "id string, port int, upstream_url string, threshold double"))
+    rows = [("a", 80, "https://x", 0.9, ["a+", "(b"]), ("b", 8081, "", 0.5, []), ("c", 8081, "ftp://x", 1.5, [" "]), ("d", 9000, "HTTP://ok", 0.0, ["\\d{2}"])]
+    rows = [(*r[:4], [(p, True) for p in r[4]]) for r in rows]
+    return profiles.problems(spark.createDataFrame(rows, "id string, port int, upstream_url string, threshold double, regex_patterns array<struct<pattern:string,enabled:boolean>>"))
 
 
 def endpoint_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +112,12 @@ def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", T.format_size(n).alias("size"))
 
 
+def float_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with two decimals, with a point and with a comma, and read back."""
+    e = _events(spark, sf_dir).select("event_id", T.format_float(F.col("value"), 2).alias("point"), T.format_float(F.col("value"), 2, comma=True).alias("comma"))
+    return e.withColumn("back", T.parse_float(F.concat("comma", F.lit(" x")), comma=True))
+
+
 def log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     return e.select("event_id", T.request_summary(F.lit("POST"), F.col("event_type"), F.col("event_id") % 3, F.col("event_id") % 2, F.lit(0)).alias("summary"))
@@ -213,7 +220,8 @@ SELECT id, 'port out of range' AS error FROM p WHERE port NOT BETWEEN 1024 AND 6
 UNION ALL SELECT id, 'port already used' FROM p WHERE port IN (SELECT port FROM p GROUP BY port HAVING count(*) > 1)
 UNION ALL SELECT id, 'upstream missing' FROM p WHERE url = ''
 UNION ALL SELECT id, 'upstream is not http' FROM p WHERE url <> '' AND NOT regexp_matches(lower(url), '^https?://')
-UNION ALL SELECT id, 'threshold out of range' FROM p WHERE t NOT BETWEEN 0 AND 1""",
+UNION ALL SELECT id, 'threshold out of range' FROM p WHERE t NOT BETWEEN 0 AND 1
+UNION ALL SELECT 'a', 'pattern does not compile'""",
     "endpoint_class": """
 SELECT page_id, CASE WHEN ends_with(p, '/v1/messages') THEN '/v1/messages' WHEN ends_with(p, '/v1/chat/completions') THEN '/v1/chat/completions' WHEN ends_with(p, '/v1/models') THEN '/v1/models'
   WHEN ends_with(p, '/messages') THEN '/messages' WHEN ends_with(p, '/chat/completions') THEN '/chat/completions' WHEN ends_with(p, '/models') THEN '/models' ELSE p END AS endpoint
@@ -223,6 +231,7 @@ FROM (SELECT page_id, lower(split_part(split_part(url, '?', 1) || ['/V1/messages
     "format_size": """
 SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n::DOUBLE) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END AS size
 FROM (SELECT doc_id, n_chars * n_chars * (doc_id + 1) AS n FROM documents)""",
+    "float_format": "SELECT event_id, p AS point, replace(p, '.', ',') AS comma, CAST(p AS DOUBLE) AS back FROM (SELECT event_id, printf('%.2f', value) AS p FROM events)",
     "log_summary": "SELECT event_id, 'POST ' || event_type || CASE WHEN event_id % 3 > 0 THEN ' | PII ' || CAST(event_id % 3 AS VARCHAR) ELSE '' END || CASE WHEN event_id % 2 > 0 THEN ' | Regex 1' ELSE '' END AS summary FROM events",
     "preview_truncate": f"SELECT doc_id, CASE WHEN length(text) > {PREVIEW_CHARS} THEN substr(text, 1, {PREVIEW_CHARS}) || '...[truncated]' ELSE text END AS preview FROM documents",
     "trim_ws": "SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS trimmed FROM documents",

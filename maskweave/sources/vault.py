@@ -43,14 +43,25 @@ def new_data_key() -> bytes:
     return os.urandom(KEY_BYTES)
 
 
+def _cipher(spark: SparkSession, mode: int, key: bytes, iv: bytes):
+    """The driver's own cipher, so that neither key shows up in a plan. ``mode``: 1 seals, 2 opens."""
+    crypto = spark._jvm.javax.crypto
+    out = crypto.Cipher.getInstance("AES/GCM/NoPadding")
+    out.init(mode, crypto.spec.SecretKeySpec(key, "AES"), crypto.spec.GCMParameterSpec(8 * TAG_BYTES, iv))
+    return out
+
+
 def wrap(spark: SparkSession, data_key: bytes, password: str, salt: bytes | None = None) -> tuple[bytes, bytes]:
     """(salt, wrapped data key)."""
-    salt = salt or os.urandom(16)
-    row = spark.range(1).select(F.aes_encrypt(F.lit(data_key), F.lit(password_key(password, salt)), F.lit("GCM"))).first()
-    return salt, bytes(row[0])
+    salt, iv = salt or os.urandom(16), os.urandom(IV_BYTES)
+    return salt, iv + bytes(_cipher(spark, 1, password_key(password, salt), iv).doFinal(data_key))
 
 
 def unwrap(spark: SparkSession, wrapped: bytes, password: str, salt: bytes) -> bytes | None:
     """The data key; None for a wrong password."""
-    row = spark.range(1).select(F.try_aes_decrypt(F.lit(wrapped), F.lit(password_key(password, salt)), F.lit("GCM"))).first()
-    return None if row[0] is None else bytes(row[0])
+    try:
+        return bytes(_cipher(spark, 2, password_key(password, salt), wrapped[:IV_BYTES]).doFinal(wrapped[IV_BYTES:]))
+    except Exception as e:  # of the JVM: the tag doesn't fit
+        if "AEADBadTagException" in str(e):
+            return None
+        raise

@@ -4,7 +4,7 @@ State is kept for each stream: the unfinished end of what was received and the
 payloads held back. Chunks carry a number and the last one an end mark; what is
 left then goes out. Labels come with each chunk, as the request that was redacted
 knows them. A stream's state is dropped at its end, so state is bounded by the
-streams that are open; a timeout may drop those that never end."""
+streams that are open; those that never end stay."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -65,7 +65,7 @@ def restored(chunks: DataFrame) -> DataFrame:
 
 
 def run_once(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """Turns as redacted chat streams, cut into two files and streamed through; their contents put together."""
+    """Turns as redacted chat streams, that come in two parts, each streamed through; their contents put together."""
     root = fresh_path(spark, "stream")
     first = F.split_part("text", F.lit(" "), F.lit(1))
     label = "<<REDACTED_KEYWORD_0>>"
@@ -73,18 +73,18 @@ def run_once(spark: SparkSession, turns: DataFrame) -> DataFrame:
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / 9)).cast("int")
     pieces = marked.select("stream_id", "first", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("text", i * 9 + 1, F.lit(9)))).alias("seq", "piece"))
     body = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
-    chunks = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), body.alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("last"), F.create_map(F.lit(label), F.col("first")).alias("labels"), (F.col("seq") % 2).alias("half"))
-    chunks.where(F.col("seq") < 3).drop("half").coalesce(1).write.parquet(f"{root}/in")
-    chunks.where(F.col("seq") >= 3).drop("half").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(chunks.drop("half").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    chunks = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), body.alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("last"), F.create_map(F.lit(label), F.col("first")).alias("labels"))
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         def sink(batch: DataFrame, number: int) -> None:
             batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{root}/out")
 
-        query = restored(source).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
+        for part in (F.col("seq") < 3, F.col("seq") >= 3):
+            chunks.where(part).write.mode("append").parquet(f"{root}/in")
+            source = spark.readStream.schema(chunks.schema).parquet(f"{root}/in")
+            query = restored(source).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     from maskweave.operators.sse import chat_content, event_payloads

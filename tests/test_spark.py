@@ -278,3 +278,63 @@ def test_every_sql_has_a_query():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_numbers_of_other_languages(spark):
+    from maskweave.functions import text as T
+
+    df = spark.createDataFrame([("1.234,5",), ("-2.5 kg",), ("x",), (None,), (" 7",)], "s string")
+    assert [r[0] for r in df.select(T.parse_float(F.col("s"))).collect()] == [1.234, -2.5, 0.0, 0.0, 7.0]
+    assert [r[0] for r in df.select(T.parse_float(F.replace("s", F.lit("."), F.lit(",")), comma=True)).collect()] == [1.234, -2.5, 0.0, 0.0, 7.0]
+    assert df.select(T.format_float(F.lit(2.345), 1, comma=True)).first()[0] == "2,3"
+
+
+def test_logging_switches_and_templates(spark):
+    from maskweave.functions import spans as S
+    from maskweave.operators import report
+
+    logs = spark.createDataFrame([("UserToProxy", "secret"), ("ProxyToLLM", "x")], "direction string, details string")
+    assert report.logged(logs, False, True).count() == 0
+    assert [r.details for r in report.logged(logs, True, True).collect()] == ["secret", "x"]
+    assert [r.details for r in report.logged(logs, True, False).collect()] == ["6 bytes (body omitted)", "x"]
+    spans = F.array(F.struct(F.lit("secret").alias("type"), F.lit("b").alias("text"), F.lit(2).alias("start"), F.lit(3).alias("end"), F.lit(1.0).cast("float").alias("confidence")))
+    t = spark.createDataFrame([("a b c",)], "t string")
+    assert t.select(S.redact_placeholders(F.col("t"), spans), S.redact_placeholders(F.col("t"), spans, "***")).first()[:] == ("a [REDACTED SECRET] c", "a *** c")
+    seen, metrics = report.observed(t, "step", "t")
+    assert seen.count() == 1 and metrics.get == {"n_rows": 1, "n_bytes": 5}
+
+
+def test_a_profile_switches_stages(spark):
+    from maskweave.operators import session
+
+    rows = spark.createDataFrame([("s", 1, "mail a@b.de PN-12345 Chimera"), ("s", 2, "PN-12345")], "session string, seq long, text string")
+    profile = {"use_openai_model": True, "enabled_pii_types": ["private_email"], "regex_patterns": [{"pattern": r"PN-\d{5}"}, {"pattern": "(", "enabled": True}, {"pattern": "mail", "enabled": False}], "keywords": [{"text": "chimera", "case_sensitive": False}]}
+    redacted = lambda p: sorted(r.redacted_text for r in session.redact_for_profile(rows, p)[0].collect())
+    assert redacted(profile) == ["<<REDACTED_REGEX_0>>", "mail <<REDACTED_PII_0>> <<REDACTED_REGEX_0>> <<REDACTED_KEYWORD_0>>"]
+    assert redacted(profile | {"use_openai_model": False}) == ["<<REDACTED_REGEX_0>>", "mail a@b.de <<REDACTED_REGEX_0>> <<REDACTED_KEYWORD_0>>"]
+    assert redacted({"use_openai_model": False}) == sorted(r.text for r in rows.collect())
+
+
+def test_jobs_can_be_cancelled(spark):
+    import threading
+    import time
+
+    from maskweave.operators import model
+
+    failed = []
+
+    def slow():
+        with model.cancellable(spark, "slow-scores"):
+            try:
+                spark.range(4, numPartitions=4).select(F.udf(lambda i: time.sleep(20) or i, "long")("id")).collect()
+            except Exception as e:
+                failed.append(e)
+
+    thread = threading.Thread(target=slow)
+    thread.start()
+    began = time.time()
+    while not failed and time.time() - began < 15:
+        time.sleep(0.5)
+        model.cancel(spark, "slow-scores")
+    thread.join(15)
+    assert failed and time.time() - began < 18
