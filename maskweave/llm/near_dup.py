@@ -42,6 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import Positions, small_batches, table
+from maskweave.llm.files import releasing
 from maskweave.llm.graph import components
 from maskweave.llm.shingles import MinHash, shingle_sets
 from maskweave.storage import collected, compacted, delete, few, in_few_files, stage
@@ -77,7 +78,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), _lists(keys)], names=["doc_id", "n_shingles", "digest", "keys"])
 
     with small_batches(docs.sparkSession):
-        return compacted(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>"), "signatures")
+        return compacted(docs.select("doc_id", "text").mapInArrow(releasing(run), "doc_id long, n_shingles long, digest binary, keys array<long>"), "signatures")
 
 
 def shingle_table(docs: DataFrame, width: int) -> DataFrame:
@@ -89,7 +90,7 @@ def shingle_table(docs: DataFrame, width: int) -> DataFrame:
             sets = list(shingle_sets(batch.column(2), width))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists([s.view(np.int64) for s in sets]), _lists([hasher.keys(s) for s in sets])], names=["rep", "leader", "shingles", "keys"])
 
-    return docs.mapInArrow(run, "rep long, leader long, shingles array<long>, keys array<long>")
+    return docs.mapInArrow(releasing(run), "rep long, leader long, shingles array<long>, keys array<long>")
 
 
 def _often(posts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import small_batches, table
-from maskweave.llm.files import PartFile, open_input, open_random
+from maskweave.llm.files import PartFile, open_input, open_random, releasing
 from maskweave.storage import compacted, fresh_path
 
 MASK_DELTA = 0xA282EAD8
@@ -183,7 +183,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     schema = pa.schema([("first_id", pa.int64()), ("uri", pa.string()), ("index_uri", pa.string()), ("token_bytes", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     with small_batches(docs.sparkSession):
-        return compacted(ordered.mapInArrow(run, "first_id long, uri string, index_uri string, token_bytes int, n_docs long, n_tokens long"), "records")
+        return compacted(ordered.mapInArrow(releasing(run), "first_id long, uri string, index_uri string, token_bytes int, n_docs long, n_tokens long"), "records")
 
 
 def read_records(files: DataFrame) -> DataFrame:
