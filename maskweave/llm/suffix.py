@@ -1,39 +1,38 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 The steps are those of SA-IS: suffixes are classed as larger or smaller than
-their right neighbour, the leftmost-smaller (LMS) substrings are sorted by
-inducing from unsorted ones, named, and the string of names is sorted by
-recursion; inducing once more from the sorted LMS suffixes gives the array.
-
-Inducing reads the array from one end, one entry after another. Here it goes a
-bucket (first character) at a time: what a bucket induces into others depends on
-finished entries only, and what it induces into itself is done in as many rounds
-as its longest run of equal characters, so each step is an array operation and
-all of them together are linear in the text.
-
-A string of names has too many characters for that where most names are unique;
-it is then sorted by doubling ranks, among names that aren't unique only.
+their right neighbour, the leftmost-smaller (LMS) substrings are sorted and
+named, the string of names is sorted by recursion, and the order of the LMS
+suffixes gives that of all.
+
+*Bytes.* LMS substrings are sorted by inducing from unsorted ones, and the array
+is induced from the sorted LMS suffixes. Inducing reads the array from one end,
+one entry after another; here it goes a bucket (first character) at a time: what a
+bucket induces into itself follows from the runs of equal characters in front of
+its entries, and what it induces into others from its finished entries, so each
+step is an array operation and all of them together are linear in the text.
+
+*Names.* A string of names has too many buckets for that. Its LMS substrings are
+sorted a character at a time, those only that are still alike; its suffixes take
+their places from the LMS suffix that comes next, which settles any two that are
+alike until there, with ranks doubled on the way to it. The recursion goes on until
+all names differ, at every size.
+
+A name met once settles the place of its suffix. The string that is sorted by
+recursion holds the names met twice or more, and after each run of them the name
+that ends it: two suffixes that begin alike differ there at the latest.
 """
 from __future__ import annotations
 
 import numpy as np
 
-#: Recursion goes on by induced sorting up to so many distinct names.
-MOST_BUCKETS = 1024
-
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one. The end is smaller than all."""
-    n = len(t)
-    at = np.full(n, n - 1, np.int64)
     differs = np.flatnonzero(t[:-1] != t[1:])
-    at[differs] = differs
-    mark = np.full(n, n - 1, np.int64)
-    mark[differs] = differs
-    nearest = np.minimum.accumulate(mark[::-1])[::-1]
-    small = np.zeros(n, bool)
-    inner = nearest < n - 1
-    small[inner] = t[nearest[inner]] < t[nearest[inner] + 1]
+    small = np.zeros(len(t), bool)
+    if len(differs):  # a run of equal characters goes by its last one
+        small[: differs[-1] + 1] = np.repeat(t[differs] < t[differs + 1], np.diff(differs, prepend=-1))
     return small
 
 
@@ -59,49 +58,46 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.nda
         held = np.bincount(grouped, minlength=k)
         sa[tails[grouped] - held[grouped] + _ranks_in_groups(grouped)] = lms[order]
     fill = heads.copy()
+    change = t[1:] != t[:-1]
+    begins = np.flatnonzero(np.concatenate([[True], change]))
+    before = (np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))).astype(np.int32)  # equal characters in front
+    # what an entry induces into other buckets; the last place stands for no entry (-1)
+    larger, smaller = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    larger[1:n], smaller[1:n] = change & ~small[:-1], change & small[:-1]
 
-    def put_large(at: np.ndarray, c: int) -> None:
-        j = at[at > 0] - 1
-        j = j[~small[j]]
-        if not len(j):
-            return
-        ch = t[j]
-        o = np.argsort(ch, kind="stable")
-        j, ch = j[o], ch[o].astype(np.int64)
-        sa[fill[ch] + _ranks_in_groups(ch)] = j
-        np.add.at(fill, *_counts(ch))
-
-    def put_small(at: np.ndarray) -> None:
-        j = at[at > 0] - 1
-        j = j[small[j]]
-        if not len(j):
-            return
+    def with_runs(at: np.ndarray) -> np.ndarray:
+        """A bucket's entries as read: those there, then what they induce into it, and so on along their runs."""
+        held = before[at]
+        if not held.any():
+            return at
+        rounds = _ranks_in_groups(np.repeat(np.arange(len(at)), held)) + 1
+        return np.concatenate([at, (np.repeat(at, held) - rounds)[_by_bucket(rounds)]])
+
+    def induced(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        j = at[which[at]] - 1
         ch = t[j]
         o = np.argsort(ch, kind="stable")
-        j, ch = j[o], ch[o].astype(np.int64)
-        sa[fill[ch] - 1 - _ranks_in_groups(ch)] = j
-        np.subtract.at(fill, *_counts(ch))
+        return j[o], ch[o].astype(np.int64)
 
+    sa[fill[t[n - 1]]] = n - 1  # the end induces the last suffix
+    fill[t[n - 1]] += 1
     used = np.flatnonzero(sizes)
-    put_large(np.array([n], np.int64), -1)  # the end induces the last suffix
     for c in used:
-        done = heads[c]
-        while done < fill[c]:
-            stop = fill[c]
-            put_large(sa[done:stop], c)
-            done = stop
-        if mid[c] < tails[c]:
-            rest = sa[mid[c] : tails[c]]
-            put_large(rest[rest >= 0], c)
+        sa[heads[c] : mid[c]] = with_runs(sa[heads[c] : fill[c]])
+        j, ch = induced(sa[heads[c] : tails[c]], larger)
+        if len(j):
+            sa[fill[ch] + _ranks_in_groups(ch)] = j
+            into, held = _counts(ch)
+            fill[into] += held
     # only the larger suffixes count from here on
     fill = tails.copy()
     for c in used[::-1]:
-        done = tails[c]
-        while fill[c] < done:
-            start = fill[c]
-            put_small(sa[start:done][::-1])
-            done = start
-        put_small(sa[heads[c] : mid[c]][::-1])
+        sa[mid[c] : tails[c]] = with_runs(sa[fill[c] : tails[c]][::-1])[::-1]
+        j, ch = induced(sa[heads[c] : tails[c]][::-1], smaller)
+        if len(j):
+            sa[fill[ch] - 1 - _ranks_in_groups(ch)] = j
+            into, held = _counts(ch)
+            fill[into] -= held
     return sa
 
 
@@ -142,57 +138,98 @@ def _equal(t: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> n
     return out
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    """A suffix array by doubled ranks; suffixes whose rank is unique are left alone."""
-    n = len(t)
-    order = np.argsort(t, kind="stable")
-    rank = np.empty(n, np.int64)
-    key = t[order]
+def _by_bucket(t: np.ndarray) -> np.ndarray:
+    """Places in the order of their characters, as they come; by radix where 16 bits hold them."""
+    return np.argsort(t.astype(np.uint16) if int(t.max()) < 1 << 16 else t, kind="stable")
+
+
+def _refined(order: np.ndarray, rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Sort the places ``tied`` of ``order`` by (rank, key) and split their ranks; the places still tied."""
+    at = order[tied]
+    both = rank[at] * (int(key.max()) + 1) + key
+    o = np.argsort(both)
+    at, both = at[o], both[o]
+    order[tied] = at
+    split = np.concatenate([[True], both[1:] != both[:-1]])
+    rank[at] = np.maximum.accumulate(np.where(split, tied, 0))
+    return tied[~(split & np.concatenate([split[1:], [True]]))]
+
+
+def _names_of_names(classed: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Names of the LMS substrings of a string of (name, class), and their number."""
+    m, n = len(lms), len(classed)
+    ended = np.append(classed + 1, 0)  # the end is smaller than all
+    length = np.diff(np.append(lms, n))
+    order, rank, tied = np.arange(m), np.zeros(m, np.int64), np.arange(m)
+    step = 0
+    while len(tied):
+        tied = _refined(order, rank, tied, ended[lms[order[tied]] + step])
+        tied = tied[length[order[tied]] > step]  # alike up to here, they end here together
+        step += 1
+    in_order = rank[order]
+    number = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
+    names = np.empty(m, np.int64)
+    names[order] = number
+    return names, int(number[-1]) + 1
+
+
+def _between(classed: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes of a string of (name, class) sorted, from its sorted LMS suffixes.
+
+    Suffixes alike up to an LMS suffix reach one at the same place, as their
+    classes are alike too; its place among those of its bucket decides."""
+    n = len(classed)
+    order = _by_bucket(classed)
+    key = classed[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
+    rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    settled = np.full(n, -1, np.int64)
+    if len(lms):
+        grouped = lms[_by_bucket(classed[lms])]
+        settled[grouped] = rank[grouped] + _ranks_in_groups(classed[grouped])
+    tied = np.flatnonzero(~(new & np.concatenate([new[1:], [True]])))
     h = 1
-    tied = _tied(order, new)
     while len(tied):
-        at = order[tied]  # places in the array whose suffixes are tied with a neighbour
-        far = at + h
-        both = rank[at] * (n + 1) + np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
-        o = np.argsort(both)
-        at, both = at[o], both[o]
-        order[tied] = at
-        split = np.concatenate([[True], both[1:] != both[:-1]])
-        rank[at] = np.maximum.accumulate(np.where(split, tied, 0))
-        alone = split & np.concatenate([split[1:], [True]])
-        tied = tied[~alone]
+        far = order[tied] + h
+        inside = np.minimum(far, n - 1)
+        known = np.where(settled[inside] >= 0, settled[inside], rank[inside]) + 1
+        tied = _refined(order, rank, tied, np.where(far < n, known, 0))
         h *= 2
     return order
 
 
-def _tied(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-    alone = new & np.concatenate([new[1:], [True]])
-    return np.flatnonzero(~alone)
+def _order_of_names(names: np.ndarray, number: int) -> np.ndarray:
+    """The suffixes of a string of names, sorted."""
+    order = _by_bucket(names)
+    again = np.bincount(names, minlength=number)[names] > 1
+    if not again.any():
+        return order
+    kept = np.flatnonzero(again | np.concatenate([[False], again[:-1]]))
+    t = names[kept]
+    small = _types(t)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    classed = 2 * t + small
+    if len(lms) > 1:
+        lms = lms[_order_of_names(*_names_of_names(classed, lms))]
+    inner = kept[_between(classed, lms)]
+    order[again[order]] = inner[again[inner]]
+    return order
 
 
-def suffix_array(t: np.ndarray, k: int = 256) -> np.ndarray:
-    """The suffix array of ``t``, whose characters are below ``k``."""
-    n = len(t)
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of bytes."""
+    n, k = len(t), 256
     if n < 2:
         return np.arange(n, dtype=np.int32)
-    if k > MOST_BUCKETS:
-        return _by_doubling(t)
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if not len(lms):
-        return _induce(t, small, lms, k)
     sa = _induce(t, small, lms, k)
+    if len(lms) < 2:
+        return sa
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    names, number = _name(t, lms, sa[is_lms[sa]])
-    if number == len(lms):
-        ordered = np.empty(number, np.int64)
-        ordered[names] = lms
-    else:
-        ordered = lms[suffix_array(names, number)]
-    return _induce(t, small, ordered, k)
+    return _induce(t, small, lms[_order_of_names(*_name(t, lms, sa[is_lms[sa]]))], k)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -271,6 +271,30 @@ def test_suffix_arrays():
                 assert prefix[i] == n
 
 
+@pytest.mark.parametrize("text", [b"a" * 3000, b"ab" * 2000, b"y" + b"ab" * 900 + b"x" + b"ab" * 900 + b"x", b"the quick brown fox; " * 200, b"cc" + b"abbbb" * 300 + b"a"])
+def test_suffix_arrays_of_runs_and_periods(text):
+    assert list(suffix.suffix_array(np.frombuffer(text, np.uint8))) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_suffix_arrays_recur_at_every_size(monkeypatch):
+    depth, sizes, order = 0, [], suffix._order_of_names
+
+    def seen(names, number):
+        nonlocal depth
+        depth += 1
+        sizes.append((depth, number))
+        out = order(names, number)
+        depth -= 1
+        return out
+
+    monkeypatch.setattr(suffix, "_order_of_names", seen)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(3000)]
+    text = " ".join(rnd.choices(words, k=12_000)).encode()
+    assert list(suffix.suffix_array(np.frombuffer(text, np.uint8))) == sorted(range(len(text)), key=lambda i: text[i:])
+    assert max(number for _, number in sizes) > 1024 and max(d for d, _ in sizes) > 2
+
+
 def plain_removal(texts, size):
     seen = Counter(b[i : i + size] for t in texts for b in [(t or "").encode()] for i in range(len(b) - size + 1))
     out = []
