@@ -62,50 +62,44 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.nda
     begins = np.flatnonzero(np.concatenate([[True], change]))
     before = (np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))).astype(np.int32)  # equal characters in front
     # what an entry induces into other buckets; the last place stands for no entry (-1)
-    larger, smaller = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    larger[1:n], smaller[1:n] = change & ~small[:-1], change & small[:-1]
+    larger, smaller, equal = (np.zeros(n + 1, bool) for _ in range(3))
+    larger[1:n], smaller[1:n], equal[1:n] = change & ~small[:-1], change & small[:-1], ~change
 
     def with_runs(at: np.ndarray) -> np.ndarray:
         """A bucket's entries as read: those there, then what they induce into it, and so on along their runs."""
-        held = before[at]
-        if not held.any():
+        first = at[equal[at]]
+        if not len(first):
             return at
-        rounds = _ranks_in_groups(np.repeat(np.arange(len(at)), held)) + 1
-        return np.concatenate([at, (np.repeat(at, held) - rounds)[_by_bucket(rounds)]])
+        held = before[first]
+        rounds = _ranks_in_groups(np.repeat(np.arange(len(first)), held)) + 1
+        return np.concatenate([at, (np.repeat(first, held) - rounds)[_by_bucket(rounds)]])
 
-    def induced(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def put(at: np.ndarray, which: np.ndarray, step: int) -> None:
         j = at[which[at]] - 1
+        if not len(j):
+            return
         ch = t[j]
         o = np.argsort(ch, kind="stable")
-        return j[o], ch[o].astype(np.int64)
+        ch = ch[o]
+        new = np.flatnonzero(np.concatenate([[True], ch[1:] != ch[:-1]]))
+        into, held = ch[new], np.diff(np.append(new, len(ch)))
+        sa[np.repeat(fill[into] - (step < 0) - step * new, held) + step * np.arange(len(j))] = j[o]
+        fill[into] += step * held
 
     sa[fill[t[n - 1]]] = n - 1  # the end induces the last suffix
     fill[t[n - 1]] += 1
     used = np.flatnonzero(sizes)
     for c in used:
         sa[heads[c] : mid[c]] = with_runs(sa[heads[c] : fill[c]])
-        j, ch = induced(sa[heads[c] : tails[c]], larger)
-        if len(j):
-            sa[fill[ch] + _ranks_in_groups(ch)] = j
-            into, held = _counts(ch)
-            fill[into] += held
+        put(sa[heads[c] : tails[c]], larger, 1)
     # only the larger suffixes count from here on
     fill = tails.copy()
     for c in used[::-1]:
         sa[mid[c] : tails[c]] = with_runs(sa[fill[c] : tails[c]][::-1])[::-1]
-        j, ch = induced(sa[heads[c] : tails[c]][::-1], smaller)
-        if len(j):
-            sa[fill[ch] - 1 - _ranks_in_groups(ch)] = j
-            into, held = _counts(ch)
-            fill[into] -= held
+        put(sa[heads[c] : tails[c]][::-1], smaller, -1)
     return sa
 
 
-def _counts(ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.concatenate([[True], ch[1:] != ch[:-1]]))
-    return ch[first], np.diff(np.append(first, len(ch)))
-
-
 def _name(t: np.ndarray, lms: np.ndarray, in_order: np.ndarray) -> tuple[np.ndarray, int]:
     """Names of the LMS substrings in text order, equal for equal ones, and their number."""
     n = len(t)
