@@ -1,7 +1,7 @@
 """Queries over conversations: as request bodies and as event streams."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.operators import fragments as P
@@ -88,6 +88,58 @@ def sse_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(_contents(sse.rebuilt_streams(streams, ["conv_id", "turn"])))
 
 
+def fragment_whole_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies without messages are one fragment each."""
+    t = _turns(spark, sf_dir)
+    bodies = t.select("conv_id", "turn", F.concat(F.lit('{"input":"'), "role", F.lit('","n":'), F.col("turn").cast("string"), F.lit("}")).alias("body"))
+    return P.exploded(bodies).select("conv_id", "turn", "frag_seq", "text")
+
+
+#: Where the events of each kind of stream hold their text.
+CHANNELS = {
+    "reasoning": "$.choices[0].delta.reasoning",
+    "details": "$.choices[0].delta.reasoning_details[0].text",
+    "tool": "$.choices[0].delta.tool_calls[0].function.arguments",
+    "block text": "$.delta.text",
+    "block json": "$.delta.partial_json",
+    "response delta": "$.delta",
+    "response text": "$.response.output[0].content[0].text",
+}
+
+
+def _channel_event(piece: Column, kind: Column) -> Column:
+    """An event with a piece of text in the channel of that number."""
+    choice = lambda delta: F.struct(F.array(F.struct(delta.alias("delta"))).alias("choices"))
+    block = lambda inner, name: F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit(inner).alias("type"), piece.alias(name)).alias("delta"))
+    call = F.struct(F.lit(0).alias("index"), F.struct(piece.alias("arguments")).alias("function"))
+    content = F.array(F.struct(piece.alias("text")))
+    events = (
+        choice(F.struct(piece.alias("reasoning"))),
+        choice(F.struct(F.array(F.struct(piece.alias("text"))).alias("reasoning_details"))),
+        choice(F.struct(F.array(call).alias("tool_calls"))),
+        block("text_delta", "text"),
+        block("input_json_delta", "partial_json"),
+        F.struct(F.lit("response.output_text.delta").alias("type"), F.lit("i").alias("item_id"), F.lit(0).alias("output_index"), piece.alias("delta")),
+        F.struct(F.lit("response.completed").alias("type"), F.struct(F.array(F.struct(content.alias("content"))).alias("output")).alias("response")),
+    )
+    return F.element_at(F.array(*map(F.to_json, events)), kind + 1)
+
+
+def channel_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels restored in every kind of channel; all but whole texts are split within the label."""
+    label, names = "<<REDACTED_PII_0>>", list(CHANNELS)
+    kind = ((F.col("conv_id") + F.col("turn")) % len(names)).cast("int")
+    t = _turns(spark, sf_dir).select("conv_id", "turn", "role", kind.alias("kind"), F.concat(F.lit(label + " "), F.coalesce("text", F.lit(""))).alias("full"))
+    pieces = F.when(F.col("kind") == len(names) - 1, F.array("full")).otherwise(F.array(F.substr("full", F.lit(1), F.lit(7)), F.substr("full", F.lit(8))))
+    event = lambda p: F.concat(F.lit("data: "), _channel_event(p, F.col("kind")), F.lit("\n\n"))
+    streams = t.select("conv_id", "turn", F.array_join(F.transform(pieces, event), "").alias("body"), F.create_map(F.lit(label), F.col("role")).alias("pairs"))
+    restored = sse.rebuilt_streams(streams, ["conv_id", "turn"])
+    number = ((F.col("conv_id") + F.col("turn")) % len(names)).cast("int")
+    held = lambda payload: F.element_at(F.array(*[F.get_json_object(payload, path) for path in CHANNELS.values()]), number + 1)
+    text = F.array_join(F.transform(sse.event_payloads(F.col("body")), held), "")
+    return restored.select("conv_id", "turn", F.element_at(F.array(*map(F.lit, names)), number + 1).alias("channel"), text.alias("text"))
+
+
 def event_type_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events get the line that names their type; the end marker goes."""
     t = _turns(spark, sf_dir)
@@ -128,6 +180,8 @@ FROM (SELECT conv_id, turn, unnest(CASE WHEN turn % 2 = 0 THEN [{{'k': 0, 't': t
 SQL = {
     "fragment_explode": _FRAGMENTS.format("t"),
     "fragment_reassemble": _FRAGMENTS.format("'x:' || t"),
+    "fragment_whole_body": "SELECT conv_id, turn, CAST(0 AS BIGINT) AS frag_seq, '{\"input\":\"' || role || '\",\"n\":' || turn || '}' AS text FROM conversations",
+    "channel_restore": f"SELECT conv_id, turn, {list(CHANNELS)}[(conv_id + turn) % {len(CHANNELS)} + 1] AS channel, role || ' ' || coalesce(text, '') AS text FROM conversations",
     "stream_flag": "SELECT DISTINCT conv_id, true AS stream FROM conversations",
     "sse_parse": """
 SELECT conv_id, turn, i AS event_idx, CASE WHEN i = n THEN '[DONE]' ELSE substr(text, i * 9 + 1, 9) END AS content
