@@ -105,6 +105,16 @@ def span_overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("m").cast("long").alias("n_kept"), F.element_at("m", 1)["end"].cast("long").alias("first_end"), F.size(S.confident(F.col("m"), 0.9)).cast("long").alias("n_confident"))
 
 
+def span_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four spans for each document, by type and by whether they lie within the text."""
+    n = F.col("n_chars").cast("int")
+    of = lambda kind, a, b: F.struct(F.lit(kind).alias("type"), F.lit("").alias("text"), a.alias("start"), b.alias("end"), F.lit(1.0).cast("float").alias("confidence"))
+    spans = F.array(of("secret", F.lit(0), n), of("private_email", F.lit(1), F.lit(3)), of("private_url", n - 1, n + 1), of("private_date", F.lit(50), F.lit(60)))
+    wanted = S.of_types(spans, ["secret", "private_url", "private_date"])
+    d = docs(spark, sf_dir, "doc_id", "n_chars")
+    return d.select("doc_id", F.size(wanted).cast("long").alias("n_wanted"), F.array_join(F.transform(S.valid(wanted, n), lambda s: s["type"]), ",").alias("valid"))
+
+
 def span_threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of all kinds, and those above a threshold: the weak rules fall to it."""
     spans = F.col("spans")
@@ -192,6 +202,8 @@ s AS (SELECT doc_id, list_sort([{{'a': 0, 'nb': -n, 'r': 0, 'b': n, 'c': CAST(0.
 m AS (SELECT doc_id, {_merged("ss")} AS m FROM s)
 SELECT doc_id, CAST(len(m) AS BIGINT) AS n_kept, CAST(m[1].b AS BIGINT) AS first_end, CAST(len(list_filter(m, lambda k: k.c >= CAST(0.9 AS FLOAT))) AS BIGINT) AS n_confident FROM m
 """,
+    "span_validity": """
+SELECT doc_id, CAST(3 AS BIGINT) AS n_wanted, CASE WHEN n_chars > 0 THEN 'secret' ELSE '' END || CASE WHEN n_chars >= 60 THEN ',private_date' ELSE '' END AS valid FROM documents""",
     "span_threshold_filter": _SPANS + ", n AS (SELECT doc_id, count(*) AS a, count(*) FILTER (WHERE x.c >= CAST(0.95 AS FLOAT)) AS b FROM s GROUP BY doc_id) SELECT doc_id, coalesce(a, 0) AS n_all, coalesce(b, 0) AS n_confident FROM documents LEFT JOIN n USING (doc_id)",
     "redact_placeholder": _FOUND + """
 SELECT doc_id, list_reduce(list_concat([{'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 't': text}], list_transform(list_reverse_sort(ss), lambda k: {'a': k.a, 'b': k.b, 't': '[REDACTED ' || replace(upper(k.ty), '_', ' ') || ']'})),
@@ -208,4 +220,4 @@ SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(chunk * {1000 - CHUNK_OVERLA
 FROM c
 """,
 }
-QUERIES = {f.__name__: f for f in (regex_redact_email, regex_redact_multi, regex_match_counts, keyword_redact_cs, keyword_redact_ci, keyword_label_dictionary, rule_detect_spans, rule_detect_all, span_overlap_merge, span_threshold_filter, redact_placeholder, pii_type_breakdown, pii_category_rollup, entity_summary, token_chunk_ranges)}
+QUERIES = {f.__name__: f for f in (regex_redact_email, regex_redact_multi, regex_match_counts, keyword_redact_cs, keyword_redact_ci, keyword_label_dictionary, rule_detect_spans, rule_detect_all, span_overlap_merge, span_validity, span_threshold_filter, redact_placeholder, pii_type_breakdown, pii_category_rollup, entity_summary, token_chunk_ranges)}

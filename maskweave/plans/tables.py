@@ -167,6 +167,13 @@ def path_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADERS = "map('Host', 'h', 'Authorization', 'Bearer dummy', 'X-Api-Key', 'k', 'Accept-Encoding', 'gzip', 'Content-Encoding', 'br', 'X-Id', CAST(event_id AS STRING))"
 
 
+def config_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different configurations of each alias, by the hash that names them."""
+    e = _events(spark, sf_dir).select("alias", "event_type", (F.col("event_id") % 7 == 0).alias("logs"))
+    named = e.select("alias", profiles.config_hash(["event_type", "logs"]).alias("config"))
+    return named.groupBy("alias").agg(F.count_distinct("config").alias("n_configs"))
+
+
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).select("event_id", F.expr(_HEADERS).alias("h"))
     names = lambda m: F.array_join(F.array_sort(F.map_keys(m)), ",")
@@ -242,6 +249,7 @@ FROM (SELECT doc_id, CASE WHEN q[-1] = '' THEN q[1:len(q) - 1] ELSE q END AS p F
     "semver_newer": "SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false), (4, true), (5, false), (6, false), (7, false), (8, true)) AS v(id, newer)",
     "latest_release": "SELECT '1.10.0' AS version, 'c' AS file_name",
     "path_concat": "SELECT * FROM (VALUES ('/api/v1', '/v1/chat/completions', '/api/v1/chat/completions'), ('/', '/v1/messages', '/v1/messages'), ('/api', '/v1/models', '/api/v1/models'), ('/v1', '/v1/v1/x', '/v1/v1/x'), ('/api/v1/', '/v1/chat', '/api/v1/chat'), ('', '/x', '/x'), ('/a/', '', '/a')) AS p(base, path, joined)",
+    "config_identity": f"SELECT alias, count(DISTINCT event_type || (event_id % 7 = 0)) AS n_configs FROM {_E} GROUP BY alias",
     "header_filter": "SELECT event_id, 'Authorization,Content-Encoding,X-Api-Key,X-Id' AS request_headers, 'Accept-Encoding,Authorization,Host,X-Api-Key,X-Id' AS response_headers FROM events",
     "credential_mask": "SELECT event_id, 'Bearer <REDACTED>' AS authorization, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '<REDACTED>' END AS x_api_key FROM events",
     "range_bounds": """
