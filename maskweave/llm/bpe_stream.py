@@ -98,12 +98,16 @@ class Merges:
         return self._scanned(list(letters)) if len(letters) <= SHORT else self._queued(letters)
 
     def _scanned(self, parts: list[str]) -> list[str]:
-        ranks, last = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            rank, at = min((ranks.get(pair, last), i) for i, pair in enumerate(zip(parts, parts[1:])))
-            if rank == last:
-                break
+        of, last = self.ranks.get, len(self.ranks)
+        ranks = [of(pair, last) for pair in zip(parts, parts[1:])]
+        while ranks and (rank := min(ranks)) < last:
+            at = ranks.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = of((parts[at - 1], parts[at]), last)
+            if at < len(ranks):
+                ranks[at] = of((parts[at], parts[at + 1]), last)
         return parts
 
     def _queued(self, letters: str) -> list[str]:
@@ -171,7 +175,7 @@ class Encoder(dict):
             raise ValueError(f"{path}: added tokens that take neighbours along")
         self.merges = Merges(m["vocab"], [tuple(p.split(" ")) if isinstance(p, str) else tuple(p) for p in m["merges"]])
         self.added = {t["content"]: np.uint32(t["id"]).tobytes() for t in d["added_tokens"]}
-        self._letters = byte_letters()
+        self._letters = dict(enumerate(byte_letters()))
         self._ids = {p: np.array([i], "<u4").tobytes() for p, i in m["vocab"].items()}
         self._block, self._limit = block, limit
         # the longest string first where several begin at one place, as the library matches them
@@ -188,7 +192,7 @@ class Encoder(dict):
         return ids
 
     def _lettered(self, piece: str) -> str:
-        return "".join(map(self._letters.__getitem__, piece.encode()))
+        return piece.encode().decode("latin-1").translate(self._letters)
 
     def _packed(self, parts: Iterable[str]) -> bytes:
         return b"".join(map(self._ids.__getitem__, parts))
