@@ -2,10 +2,12 @@
 
 Each document is measured, and each rule fails or holds for it. The failures of
 a host (the ``source`` column) are counted, and its failure rate of each rule is
-shrunk towards the rate of all hosts with a beta prior fitted by moments, so a
+shrunk towards the rate of all documents with a beta prior fitted to the hosts by
+moments of the beta-binomial: what chance alone scatters rates of small hosts is
+taken off first, so hosts of one document tell nothing of how hosts differ. A
 host with three bad documents is not judged like one with three million. A host
-whose shrunk rate of any rule passes ``host_limit`` is rejected, and its
-documents with it.
+whose rate of any rule passes ``host_limit``, shrunk and as it is, is rejected,
+and its documents with it.
 
 Cases: a null or empty text has no words and fails; a null host gets no host
 verdict; repeated rows are judged each; an empty table gives an empty result;
@@ -15,6 +17,9 @@ Everything is JVM side: no Python runs on the executors.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,8 @@ from maskweave.storage import compacted, few, in_few_files, stage
 SYMBOLS = "[#*$%&|<>]"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("short", "repeats", "symbols", "dup_lines")
+#: The prior weighs as much as so many documents: at least, at most.
+LEAST_STRENGTH, MOST_STRENGTH = 10, 10_000
 #: Positions take the low bits of a sort key; longer texts sort whole windows.
 POSITION_BITS = 24
 
@@ -91,32 +98,37 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(f"fails_{r}").cast("long")).alias(f"n_{r}") for r in RULES])
     )
     hosts = compacted(hosts, "hosts")
-    moments = []
-    for r in RULES:  # one row of moments comes to the driver, whatever the number of hosts
-        rate = F.col(f"n_{r}") / F.col("n_docs")
-        moments += [F.avg(rate).alias(f"m_{r}"), F.avg(rate * rate).alias(f"q_{r}")]
-    row = hosts.agg(*moments).first()
+    sums = [F.sum("n_docs").alias("docs"), F.count(F.lit(1)).alias("hosts")]
+    for r in RULES:  # one row of sums comes to the driver, whatever the number of hosts
+        sums += [F.sum(f"n_{r}").alias(f"x_{r}"), F.sum(F.col(f"n_{r}") * F.col(f"n_{r}") / F.col("n_docs")).alias(f"q_{r}")]
+    row = hosts.agg(*sums).first()
     shrunk = {}
     for r in RULES:
-        m, q = row[f"m_{r}"], row[f"q_{r}"]
-        strength, m = prior(m, q)
+        strength, m = prior(row["hosts"], row["docs"], row[f"x_{r}"], row[f"q_{r}"])
         shrunk[f"rate_{r}"] = (F.col(f"n_{r}") + F.lit(strength * m)) / (F.col("n_docs") + F.lit(strength))
+        shrunk[f"raw_{r}"] = F.col(f"n_{r}") / F.col("n_docs")
     return hosts.withColumns(shrunk)
 
 
-def prior(mean: float | None, square: float | None) -> tuple[float, float]:
-    """Strength (alpha + beta, held in 1 to 10,000) and mean of the beta prior with these moments."""
-    if mean is None:
-        return 1.0, 0.5
-    var = square - mean * mean
-    strength = mean * (1 - mean) / var - 1 if var > 1e-12 else 1e4
-    return min(1e4, max(1.0, strength)), mean
+def prior(hosts: int, docs: int | None, failures: int | None, square: float | None) -> tuple[float, float]:
+    """Strength (alpha + beta) and mean of the beta prior of hosts' failure rates.
+
+    ``square``: the sum of failures squared over documents of each host. With the mean m, hosts' rates
+    stray from it by m (1 - m) (hosts + rho (docs - hosts)) in the sum weighted by documents, of which the
+    first part is chance; rho is how much documents of a host are alike, and strength is 1 / rho - 1."""
+    if not docs:
+        return float(MOST_STRENGTH), 0.5
+    m = failures / docs
+    chance = m * (1 - m)
+    rho = ((square - docs * m * m) / chance - hosts) / (docs - hosts) if chance > 0 and docs > hosts else 0.0
+    strength = 1 / rho - 1 if rho * MOST_STRENGTH > 1 else MOST_STRENGTH
+    return float(min(MOST_STRENGTH, max(LEAST_STRENGTH, strength))), m
 
 
 def judge(measured: DataFrame, host: str = "source", host_limit: float = 0.5) -> DataFrame:
     """``measured`` with ``host_rejected`` and ``kept``. ``measured`` is read twice: stage it first."""
-    worst = F.greatest(*[F.col(f"rate_{r}") for r in RULES])
-    bad = compacted(host_rates(measured, host).where(worst > host_limit).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "bad-hosts")
+    worst = reduce(or_, [(F.col(f"rate_{r}") > host_limit) & (F.col(f"raw_{r}") > host_limit) for r in RULES])
+    bad = compacted(host_rates(measured, host).where(worst).select(F.col("host").alias("_host"), F.lit(True).alias("_bad")), "bad-hosts")
     out = measured.join(few(bad), measured[host] == F.col("_host"), "left").withColumn("host_rejected", F.coalesce("_bad", F.lit(False))).drop("_host", "_bad")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
@@ -124,7 +136,7 @@ def judge(measured: DataFrame, host: str = "source", host_limit: float = 0.5) ->
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     measured = stage(measure(docs).drop("text"), "quality")
-    return judge(measured).select("doc_id", *MEASURES, "base_failed", "host_rejected", "kept")
+    return judge(measured).select("doc_id", *MEASURES, "base_failed", "kept", "host_rejected")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -163,14 +175,16 @@ WITH w AS (
   SELECT source, k, count(*) AS n, sum(CAST(x AS INT)) AS bad
   FROM (SELECT source, unnest([1, 2, 3, 4]) AS k, unnest([f1, f2, f3, f4]) AS x FROM f WHERE source IS NOT NULL) GROUP BY source, k
 ), mom AS (
-  SELECT k, avg(bad / n) AS mu, avg((bad / n) * (bad / n)) AS q FROM long GROUP BY k
+  SELECT k, sum(bad) / sum(n) AS mu, sum(n) AS docs, count(*) AS hosts, sum(bad * bad / n) AS q FROM long GROUP BY k
+), rho AS (
+  SELECT k, mu, CASE WHEN mu > 0 AND mu < 1 AND docs > hosts THEN ((q - docs * mu * mu) / (mu * (1 - mu)) - hosts) / (docs - hosts) ELSE 0 END AS r FROM mom
 ), pri AS (
-  SELECT k, mu, CASE WHEN q - mu * mu > 1e-12 THEN least(1e4, greatest(1.0, mu * (1 - mu) / (q - mu * mu) - 1)) ELSE 1e4 END AS s FROM mom
+  SELECT k, mu, least(10000, greatest(10, CASE WHEN r * 10000 > 1 THEN 1 / r - 1 ELSE 10000 END)) AS s FROM rho
 ), bad AS (
-  SELECT DISTINCT source FROM long JOIN pri USING (k) WHERE (bad + s * mu) / (n + s) > 0.5
+  SELECT DISTINCT source FROM long JOIN pri USING (k) WHERE (bad + s * mu) / (n + s) > 0.5 AND bad / n > 0.5
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
-       bad.source IS NOT NULL AS host_rejected, NOT (f1 OR f2) AND bad.source IS NULL AS kept
+       NOT (f1 OR f2) AND bad.source IS NULL AS kept, bad.source IS NOT NULL AS host_rejected
 FROM f LEFT JOIN bad ON f.source = bad.source
 """,
 }

@@ -68,8 +68,25 @@ def test_hosts(spark):
     assert all(out[i].kept for i in range(30)) and not any(out[100 + i].kept for i in range(30)) and out[129].host_rejected
     assert out[201].kept and not out[202].kept and not out[201].host_rejected
     assert quality.judge(quality.measure(table(spark, [(1, "x", "s")]).where("false"))).count() == 0
-    strength, mean = quality.prior(0.2, 0.05)
-    assert mean == 0.2 and abs(strength - (0.16 / 0.01 - 1)) < 1e-9 and quality.prior(None, None) == (1.0, 0.5) and quality.prior(0.5, 0.25)[0] == 1e4
+    assert quality.prior(0, None, None, None) == (1e4, 0.5) and quality.prior(1000, 1000, 291, 291.0) == (1e4, 0.291)
+
+
+def test_hosts_of_one_document_are_not_judged_by_it(spark):
+    rows = [(i, None if i % 10 < 3 else sentence(random.Random(i), 60, 5000), f"h{i}") for i in range(300)]
+    out = quality.judge(quality.measure(table(spark, rows))).collect()
+    assert not any(r.host_rejected for r in out) and sum(r.kept for r in out) == 210
+    # the same rows beside hosts that do differ: the prior is weaker, and still no single document decides
+    rows += [(1000 + i, None if i < 100 else sentence(random.Random(i), 60, 5000), "bad" if i < 100 else "good") for i in range(200)]
+    out = quality.judge(quality.measure(table(spark, rows))).collect()
+    assert {r.source for r in out if r.host_rejected} == {"bad"}
+
+
+def test_the_prior_finds_how_hosts_differ():
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 60, 20_000)
+    x = rng.binomial(n, rng.beta(6, 24, len(n)))
+    strength, mean = quality.prior(len(n), int(n.sum()), int(x.sum()), float((x * x / n).sum()))
+    assert abs(mean - 0.2) < 0.01 and 25 < strength < 36
 
 
 # -- decontamination ------------------------------------------------------------
@@ -96,6 +113,17 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(df.where("false"), bench).count() == 0 and decontaminate.overlaps(df, bench.where("false")).count() == 0
 
 
+def test_items_and_texts_that_repeat_themselves(spark):
+    texts = [(i, "same " * 5000, "s") for i in range(4)] + [(9, "a b c " * 3000, "s"), (10, "other " * 5000, "s"), (11, "same " * 15 + "x y z p q", "s")]
+    items = spark.createDataFrame([(1, "same " * 400), (2, "a b c " * 100), (3, "same " * 9), (4, "same a b c " * 60)], "item_id long, text string")
+    seeds = decontaminate.item_seeds(items.select(F.col("item_id").alias("item_key"), decontaminate.text_words(F.col("text")).alias("words")))
+    windows = decontaminate.item_windows(seeds, items.select(F.col("item_id").alias("item_key"), decontaminate.text_words(F.col("text")).alias("words")))
+    assert windows.where("item_key = 1").count() == 3 * 13
+    got = {(r.doc_id, r.item_id): (r.matched, r.compared) for r in decontaminate.overlaps(table(spark, texts), items).collect()}
+    want = {(i, k): (n, n) for i in range(4) for k, n in ((1, 20), (3, 9))} | {(9, 2): (20, 20), (11, 3): (9, 9)}
+    assert got == want  # of the last text's twenty words fifteen agree with the first item at most
+
+
 def test_decontamination_against_the_definition(spark):
     rnd = random.Random(4)
     items = [(i, sentence(rnd, rnd.randint(6, 30), 12)) for i in range(6)]
