@@ -20,6 +20,7 @@ stage keeps columns of any name, also twice the same. Everything is JVM side.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import Positions, let, table, upto
@@ -28,6 +29,8 @@ from maskweave.storage import compacted, few, in_few_files
 MASKS = ("11011001", "10101011", "11100101")
 SPAN = len(MASKS[0])
 WINDOW, MATCH = 20, 80
+#: Bits of a place within a stretch of a text, whose hits are one row.
+STRETCH = 16
 #: Bits of the bitmap for each seed, and the most 64-bit words that it has.
 BITS, MAX_WORDS = 32, 1 << 19
 
@@ -57,6 +60,17 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item_key", F.explode(each).alias("s")).select("s.mask", "s.seed", "item_key", F.col("s.at").alias("item_at"))
 
 
+def item_windows(seeds: DataFrame, items: DataFrame) -> DataFrame:
+    """(mask, seed, item_key, first, width, shift): the window of its item around each seed, and where the seed is in it.
+
+    Windows of equal words are the first of them, so an item that repeats itself has as many rows
+    of a seed as there are different windows and places, however often it holds the seed."""
+    near = F.least(F.greatest(F.col("item_at") - F.floor((F.col("width") - SPAN) / 2), F.lit(0)), F.size("words") - F.col("width")).cast("int")
+    rows = seeds.join(few(items), "item_key").withColumn("width", F.least(F.lit(WINDOW), F.size("words"))).withColumn("near", near)
+    rows = rows.withColumn("first", F.min("near").over(W.partitionBy("item_key", F.slice("words", F.col("near") + 1, F.col("width")))))
+    return rows.select("mask", "seed", "item_key", "first", "width", (F.col("item_at") - F.col("near")).alias("shift")).distinct()
+
+
 def bitmap(seeds: DataFrame) -> tuple[DataFrame, int]:
     """Rows (word, bits) of the bitmap's words that aren't zero, and the number of words, a power of two."""
     n_words, n = 64, seeds.count()
@@ -76,7 +90,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), text_words(F.col(item_text)).alias("words")).where(F.size("words") >= SPAN).distinct()
     items = compacted(items.withColumn("item_key", F.xxhash64("item_id", "words")).select("item_key", "item_id", "words"), "items")
-    seeds = compacted(item_seeds(items), "item-seeds")
+    seeds = compacted(item_windows(item_seeds(items), items), "item-seeds")
     words, n_words = bitmap(seeds)
     at = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashes(text_words(F.col("text"))).alias("h"))
     at = at.select("doc_id", "text_hash", "h", F.explode(_starts(F.col("h"))).alias("at"))
@@ -85,13 +99,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     word, bit = _place(F.col("seed"), n_words)
     hits = hits.withColumn("word", word).join(F.broadcast(words), "word").where(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1).drop("word", "bits")
     hits = hits.join(few(seeds), ["mask", "seed"])
-    # a window of the item around the hit, the same for hits nearby
-    length = items.select("item_key", F.size("words").alias("length"))
-    hits = hits.join(few(length), "item_key")
-    width = F.least(F.lit(WINDOW), F.col("length"))
-    first = F.least(F.greatest(F.col("item_at") - F.floor((width - SPAN) / 2), F.lit(0)), F.col("length") - width).cast("int")
-    spots = hits.select("doc_id", "text_hash", F.struct("item_key", first.alias("first"), (F.col("at") - F.col("item_at") + first).alias("begin"), width.alias("width")).alias("spot"))
-    spots = compacted(spots.groupBy("doc_id", "text_hash").agg(F.collect_set("spot").alias("spots")), "spots")
+    # a stretch of places at a time, so a text that hits everywhere is several rows
+    begin = F.col("at") - F.col("shift")
+    spots = hits.select("doc_id", "text_hash", F.shiftright(begin, STRETCH).alias("stretch"), F.struct("item_key", "first", begin.alias("begin"), "width").alias("spot"))
+    spots = compacted(spots.groupBy("doc_id", "text_hash", "stretch").agg(F.collect_set("spot").alias("spots")).drop("stretch"), "spots")
     # the texts with hits once more, cut to the windows
     side = spots.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     at = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
