@@ -164,7 +164,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = taken.unionByName(rows.where("size = 0").select("doc_id", "key", "size", F.lit(0).cast("long").alias("taken"), none.alias("shards")))
     out = out.join(few(sources.select("key", "source_size", "target")), "key")
     source = F.when(F.col("key") != "n", F.substring("key", 2, 1 << 30))
-    return out.select("doc_id", source.alias("source"), "size", "source_size", "target", "taken", "shards")
+    return out.select("doc_id", "size", "source_size", "target", "taken", source.alias("source"), "shards")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
