@@ -1,8 +1,9 @@
 """Redaction of the fragments of sessions, with labels that stay the same within a session.
 
 A session's labels count up in order of first appearance, for each class. The
-matches of a fragment depend on that fragment alone, so the numbers are a window
-over first appearances and no fragment has to wait for another:
+matches of a fragment depend on that fragment alone, so the numbers are ranks of
+first appearances and no fragment has to wait for another. They are ranked in two
+levels (``ranks``), so a session may hold most of all originals:
 
 1. equal texts of a session are redacted once, as the first of them (``first_seq``);
 2. spans of personal data are found in the raw text and numbered by (first
@@ -19,13 +20,12 @@ fold over a fragment reads only the originals that occur in it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskweave.constants import DEFAULT_THRESHOLD, LABEL_PATTERN
 from maskweave.functions import spans as S
 from maskweave.functions.labels import label, replace_keywords, replace_literals, unredact
-from maskweave.operators import stateless
+from maskweave.operators import ranks, stateless
 from maskweave.storage import stage
 
 #: Sessions with more pairs of texts and originals go by the originals' first GRAM characters.
@@ -35,10 +35,9 @@ BROADCAST_SESSIONS = 100_000
 
 def session_epochs(requests: DataFrame, profile: str, seq: str, config: str) -> DataFrame:
     """``requests`` with ``epoch``: it counts up whenever a profile's configuration changes."""
-    w = W.partitionBy(profile).orderBy(seq)
-    changed = F.lag(config).over(w).eqNullSafe(F.col(config)) | (F.row_number().over(w) == 1)
-    flagged = requests.withColumn("_changed", F.when(changed, 0).otherwise(1))
-    return flagged.withColumn("epoch", F.sum("_changed").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_changed")
+    rows = ranks.previous(ranks.dealt(requests, [profile], [seq]), [profile], [seq], config, "_before")
+    changed = F.col("_before").isNotNull() & ~F.col("_before")[config].eqNullSafe(F.col(config))
+    return ranks.running(rows, [profile], [seq], changed.cast("long"), "epoch").drop("_before", ranks.RANGE)
 
 
 def first_texts(fragments: DataFrame) -> DataFrame:
@@ -51,8 +50,8 @@ def numbered(found: DataFrame, kind: str, *order: Column) -> DataFrame:
 
     ``order`` ranks originals within the fragment where they first appear."""
     first = found.groupBy("session", "original").agg(F.min(F.struct("first_seq", *order)).alias("first"))
-    n = F.row_number().over(W.partitionBy("session").orderBy("first", "original")) - 1
-    return first.select("session", "original", F.col("first.first_seq").alias("first_seq"), label(kind, n).alias("label"), n.cast("long").alias("n"))
+    rows = ranks.numbered(first, ["session"], ["first", "original"], "n")
+    return rows.select("session", "original", F.col("first.first_seq").alias("first_seq"), label(kind, F.col("n")).alias("label"), "n")
 
 
 def pii_dictionary(texts: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from maskweave.functions import labels as L
 from maskweave.functions import spans as S
 from maskweave.functions import text as T
-from maskweave.operators import fragments, profiles, report, rules, session, sse, stateless
+from maskweave.operators import fragments, profiles, ranks, report, rules, session, sse, stateless
 from maskweave.operators.chunks import owned_chunks
 from maskweave.sources import settings, traffic, vault
 from maskweave.streaming import holdback
@@ -338,3 +338,33 @@ def test_jobs_can_be_cancelled(spark):
         model.cancel(spark, "slow-scores")
     thread.join(15)
     assert failed and time.time() - began < 18
+
+
+def test_ranks_within_one_large_group(spark):
+    from pyspark.sql import Window as W
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 == 0, F.lit(None)).when(F.col("id") % 3 == 0, "b").otherwise("a").alias("g"), F.xxhash64("id").alias("o"), F.col("id") % 7)
+    kept = ranks.dealt(rows, ["g"], ["o"])
+    spread = {r.g: r.n for r in kept.groupBy("g").agg(F.countDistinct(ranks.RANGE).alias("n")).collect()}
+    assert spread["a"] >= 2 and sum(spread.values()) <= 4 + len(spread)  # the largest group uses the tasks that there are
+    want = {(r.g, r.o): r.n for r in rows.withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("o")) - 1).collect()}
+    got = ranks.numbered(rows, ["g"], ["o"], "n")
+    assert {(r.g, r.o): r.n for r in got.collect()} == want and len(want) == 3000
+    assert got.columns == rows.columns + ["n"]
+    seen = ranks.previous(kept, ["g"], ["o"], "o", "before").collect()
+    by = {}
+    for r in sorted(seen, key=lambda r: (r.g or "", r.o)):
+        assert (None if r.before is None else r.before.o) == by.get(r.g)
+        by[r.g] = r.o
+    assert ranks.numbered(rows.where("false"), ["g"], ["o"], "n").collect() == []
+
+
+def test_labels_of_one_session_that_holds_nearly_all(spark):
+    texts = spark.createDataFrame([("big", i, [f"o{(i * 7 + k) % 400}" for k in range(5)]) for i in range(200)] + [("small", 0, ["x", "y"])], "session string, first_seq long, matches array<string>")
+    got = {(r.session, r.original): r.n for r in session.regex_dictionary(texts).collect()}
+    first = {}
+    for i in range(200):
+        for o in {f"o{(i * 7 + k) % 400}" for k in range(5)}:
+            first.setdefault(o, (i, -len(o), o))
+    want = {("big", o): n for n, o in enumerate(sorted(first, key=first.get))}
+    assert got == want | {("small", "x"): 0, ("small", "y"): 1}
