@@ -19,6 +19,7 @@ fold over a fragment reads only the originals that occur in it.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +27,10 @@ from maskweave.constants import DEFAULT_THRESHOLD, LABEL_PATTERN
 from maskweave.functions import spans as S
 from maskweave.functions.labels import label, replace_keywords, replace_literals, unredact
 from maskweave.operators import ranks, stateless
-from maskweave.storage import stage
+from maskweave.storage import compacted, few, stage
 
-#: Sessions with more pairs of texts and originals go by the originals' first GRAM characters.
-MOST_PAIRS, GRAM = 10_000_000, 4
-BROADCAST_SESSIONS = 100_000
+#: Words of an automaton, and bytes of a session's texts that go past it in one task.
+ORIGINALS, SLICE_BYTES = 20_000, 32 << 20
 
 
 def session_epochs(requests: DataFrame, profile: str, seq: str, config: str) -> DataFrame:
@@ -74,39 +74,51 @@ def _pairs(texts: DataFrame, originals: Column, dictionary: DataFrame, name: str
     return texts.join(got, ["session", "text"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<original:string,label:string>>")))
 
 
-def _longest(pairs: Column) -> Column:
+def longest_pairs(pairs: Column) -> Column:
     return F.array_sort(pairs, lambda a, b: F.when(F.length(a["original"]) != F.length(b["original"]), F.length(b["original"]) - F.length(a["original"])).when(a["original"] < b["original"], -1).when(a["original"] > b["original"], 1).otherwise(0))
 
 
 def known_originals(texts: DataFrame, dictionary: DataFrame, body: str) -> DataFrame:
     """(session, text, known): originals of the session that first appeared no later and occur in ``body``.
 
-    An equi-join on the session whose rows are cut down by the test at once. Sessions
-    with more than ``MOST_PAIRS`` pairs of texts and originals are joined on the first
-    characters of the originals too, which a text that holds one must hold."""
-    sizes = texts.groupBy("session").agg(F.count(F.lit(1)).alias("n")).join(dictionary.groupBy("session").agg(F.count(F.lit(1)).alias("m")), "session")
-    large = stage(sizes.where(F.col("n") * F.col("m") > MOST_PAIRS).select("session"), "large-sessions")
-    n_large = large.count()
-    if not n_large:
-        return _known(texts, dictionary, body)
-    side = F.broadcast(large) if n_large <= BROADCAST_SESSIONS else large
-    keyed = texts.withColumn("_key", F.unhex(F.sha1(F.col("text").cast("binary"))))
-    big, d = keyed.join(side, "session", "left_semi"), dictionary.join(side, "session", "left_semi")
-    width = F.least(F.length("original"), F.lit(GRAM))
-    widths = [w for (w,) in d.select(width).distinct().collect()]  # at most GRAM numbers
-    begins = lambda q: F.when(F.length(body) >= q, F.transform(F.sequence(F.lit(1), F.length(body) - (q - 1)), lambda i: F.substr(F.col(body), i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-    grams = big.select("session", "_key", F.explode(F.array_distinct(F.flatten(F.array(*[begins(q) for q in widths])))).alias("gram"))
-    near = grams.join(d.select("session", "original", "label", "first_seq", F.left("original", width).alias("gram")).withColumnRenamed("first_seq", "_seen"), ["session", "gram"])
-    hit = (F.col("_seen") <= F.col("first_seq")) & F.contains(F.col(body), F.col("original"))
-    found = big.join(near.drop("gram"), ["session", "_key"]).where(hit).groupBy("session", "text").agg(F.collect_list(F.struct("original", "label")).alias("known"))
-    rest = _known(texts.join(side, "session", "left_anti"), dictionary, body)
-    return rest.unionByName(found)
-
-
-def _known(texts: DataFrame, dictionary: DataFrame, body: str) -> DataFrame:
-    d = dictionary.select(F.col("session").alias("_s"), "original", "label", F.col("first_seq").alias("_seen"))
-    hit = (F.col("session") == F.col("_s")) & (F.col("_seen") <= F.col("first_seq")) & F.contains(F.col(body), F.col("original"))
-    return texts.join(d, hit).groupBy("session", "text").agg(F.collect_list(F.struct("original", "label")).alias("known"))
+    A session's originals become automata of at most ``ORIGINALS`` words, and its texts go past each of
+    them in slices of about ``SLICE_BYTES``, so neither pairs of texts and originals nor a whole session
+    stand anywhere. Most sessions have one automaton and one slice."""
+    n_words = dictionary.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    n_bytes = texts.groupBy("session").agg(F.sum(F.octet_length(body)).alias("b"))
+    parts = n_words.join(n_bytes, "session").select("session", F.ceil(F.col("n") / ORIGINALS).cast("int").alias("chunks"), F.greatest(F.ceil(F.col("b") / SLICE_BYTES), F.lit(1)).cast("int").alias("slices"))
+    parts = compacted(parts, "session-parts")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = texts.join(few(parts), "session").where(F.col(body) != "").select("session", F.pmod(F.xxhash64("text"), "slices").cast("int").alias("slice"), each("chunks").alias("chunk"), "text", F.col(body).alias("_body"), F.col("first_seq").alias("_seq"))
+    words = dictionary.join(few(parts), "session").where("original <> ''").select("session", each("slices").alias("slice"), F.pmod(F.xxhash64("original"), "chunks").cast("int").alias("chunk"), "original", "label", F.col("first_seq").alias("_seen"))
+    key = ["session", "slice", "chunk"]
+    of = {f.name: f.dataType.simpleString() for f in texts.schema}
+    found = held.groupBy(*key).cogroup(words.groupBy(*key)).applyInArrow(_occurring, f"session {of['session']}, text string, known array<struct<original:string,label:string>>")
+    return found.groupBy("session", "text").agg(F.flatten(F.collect_list("known")).alias("known"))
+
+
+def _occurring(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+    """Texts of a slice with the words of an automaton that they hold."""
+    import ahocorasick
+
+    originals, labels, seen = (words[c].to_pylist() for c in ("original", "label", "_seen"))
+    at: dict[str, list[int]] = {}
+    for i, word in enumerate(originals):
+        at.setdefault(word, []).append(i)
+    automaton = ahocorasick.Automaton()
+    for word, places in at.items():
+        automaton.add_word(word, places)
+    automaton.make_automaton()
+    out: list[tuple[int, list[dict]]] = []
+    if at:
+        for row, (body, seq) in enumerate(zip(texts["_body"], texts["_seq"])):
+            found, first = {i for _, places in automaton.iter(body.as_py()) for i in places}, seq.as_py()
+            known = [{"original": originals[i], "label": labels[i]} for i in sorted(found) if seen[i] <= first]
+            if known:
+                out.append((row, known))
+    rows = texts.take(pa.array([row for row, _ in out], pa.int64()))
+    kind = pa.list_(pa.struct([("original", pa.string()), ("label", pa.string())]))
+    return pa.table({"session": rows["session"], "text": rows["text"], "known": pa.array([known for _, known in out], kind)})
 
 
 def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +134,7 @@ def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns:
     texts = stage(texts.select("session", "text", "first_seq", "body").withColumn("matches", stateless.matches(F.col("body"), patterns or [])), "session-matches")
     regex = regex_dictionary(texts)
     texts = _pairs(texts, F.col("matches"), regex, "regex")
-    texts = texts.withColumn("body", F.when(F.size("regex") > 0, replace_literals(F.col("body"), _longest(F.col("regex")))).otherwise(F.col("body")))
+    texts = texts.withColumn("body", F.when(F.size("regex") > 0, replace_literals(F.col("body"), longest_pairs(F.col("regex")))).otherwise(F.col("body")))
     keyed = stateless.keyword_pairs(keywords or [])
     if keywords:
         texts = texts.withColumn("body", replace_keywords(F.col("body"), keyed))
@@ -131,7 +143,7 @@ def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns:
     dictionary = stage(dictionary, "session-labels")
     known = known_originals(texts, dictionary, "body")
     texts = texts.join(known, ["session", "text"], "left")
-    body = F.when(F.col("known").isNotNull(), replace_literals(F.col("body"), _longest(F.col("known")))).otherwise(F.col("body"))
+    body = F.when(F.col("known").isNotNull(), replace_literals(F.col("body"), longest_pairs(F.col("known")))).otherwise(F.col("body"))
     out = fragments.join(texts.select("session", "text", body.alias("redacted_text")), ["session", "text"])
     if keywords:
         sessions = fragments.select("session").distinct()

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.functions.core import sql_string
+from maskweave.functions.labels import replace_literals
 from maskweave.operators import report, rules, session, stateless
 
 WORDS = r"th[a-f]+ing|Er[a-d]+sh"
@@ -44,11 +45,12 @@ def session_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forward_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an original that their session met before, and how many."""
+    """Texts that hold originals that their session has met by then, and the texts with their labels."""
     texts = session.first_texts(fragments(spark, sf_dir))
     dictionary = session.regex_dictionary(texts.withColumn("matches", stateless.matches(F.col("text"), [_EMAIL, _CARD])))
     known = session.known_originals(texts, dictionary, "text")
-    return known.select("session", F.length("text").cast("long").alias("n_text"), F.size("known").cast("long").alias("n_known"))
+    pairs = session.longest_pairs(F.col("known"))
+    return known.select("session", "text", F.size("known").cast("long").alias("n_known"), F.array_join(F.transform(pairs, lambda p: p["original"]), "\n").alias("originals"), replace_literals(F.col("text"), pairs).alias("redacted_text"))
 
 
 def fragment_cache_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +107,12 @@ q AS (SELECT session, first_seq, ms[i] AS original, list_sum(list_transform(gs[1
 d AS (SELECT session, original, min({{'s': first_seq, 'a': -place}}) AS x FROM q GROUP BY ALL)
 SELECT session, original, row_number() OVER (PARTITION BY session ORDER BY x, original) - 1 AS n, x.s AS first_doc FROM d
 """,
-    "forward_propagation": _F + "SELECT m.session, length(m.text) AS n_text, count(*) AS n_known FROM m JOIN n ON m.session = n.session AND n.first_doc <= m.first_seq AND contains(m.text, n.original) GROUP BY m.session, m.text, m.first_seq",
+    "forward_propagation": _F + """, k AS (
+  SELECT m.session, m.text, list({'o': n.original, 'l': '<<REDACTED_REGEX_' || CAST(n AS VARCHAR) || '>>'} ORDER BY length(n.original) DESC, n.original) AS ps
+  FROM m JOIN n ON m.session = n.session AND n.first_doc <= m.first_seq AND contains(m.text, n.original) GROUP BY m.session, m.text
+)
+SELECT session, text, len(ps) AS n_known, array_to_string(list_transform(ps, lambda p: p.o), chr(10)) AS originals,
+       list_reduce(list_prepend({'o': '', 'l': text}, ps), lambda a, p: {'o': '', 'l': replace(a.l, p.o, p.l)}).l AS redacted_text FROM k""",
     "match_listing": _F + f"SELECT session, label, original, CASE WHEN regexp_full_match(original, {sql_string(_EMAIL)}) THEN 'private_email' ELSE 'unknown' END AS type, row_number() OVER (PARTITION BY session ORDER BY label) AS place FROM (SELECT *, '<<REDACTED_REGEX_' || CAST(n AS VARCHAR) || '>>' AS label FROM n)",
     "profile_totals": f"SELECT source AS profile, count(*) AS n_requests, CAST(coalesce(sum(len(list_distinct(regexp_extract_all(text, {sql_string(_EMAIL)})))), 0) AS BIGINT) AS n_pii, CAST(coalesce(sum(len(list_distinct(regexp_extract_all(text, {sql_string(_CARD)})))), 0) AS BIGINT) AS n_regex, {len(KEYWORDS)} * count(*) AS n_keyword FROM documents GROUP BY source",
     "fragment_cache_first": "SELECT doc_id, source AS session, min(doc_id) OVER (PARTITION BY source, text) AS first_doc FROM documents",

@@ -133,9 +133,10 @@ def _simulate(rows, patterns, email):
     return out
 
 
-@pytest.mark.parametrize("most_pairs", [10_000_000, 40, 0])
-def test_sessions_against_a_loop(spark, monkeypatch, most_pairs):
-    monkeypatch.setattr(session, "MOST_PAIRS", most_pairs)
+@pytest.mark.parametrize(("originals", "slice_bytes"), [(session.ORIGINALS, session.SLICE_BYTES), (3, 60), (1, 1)])
+def test_sessions_against_a_loop(spark, monkeypatch, originals, slice_bytes):
+    monkeypatch.setattr(session, "ORIGINALS", originals)
+    monkeypatch.setattr(session, "SLICE_BYTES", slice_bytes)
     rnd = random.Random(7)
     pieces = ["a1", "b22", "x@y.de", "zz@q.fr", "cat", "CAT", "dog", "a", "22", " ", "1"]
     rows = [(f"s{i % 5}", i, " ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 8)))) for i in range(60)]
