@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.constants import CHUNK_OVERLAP, PII_CATEGORIES
+from maskweave.constants import CHUNK_OVERLAP, PII_CATEGORIES, PII_TYPES
 from maskweave.functions import spans as S
 from maskweave.functions.core import sql_string
 from maskweave.operators import rules, stateless
@@ -153,12 +153,16 @@ def token_chunk_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _E = next(p for k, p, _ in rules.RULES if k == "private_email")
-#: All spans of the rules by document: place, end, rule, kind, text and confidence (32 bits), in the order of the merge.
-_SPANS = "WITH g AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, {i} AS r, '{k}' AS ty, CAST({c} AS FLOAT) AS c, regexp_extract_all(text, {sql_string(p)}) AS ms, regexp_split_to_array(text, {sql_string(p)}) AS gs FROM documents" for i, (k, p, c) in enumerate(rules.RULES)
-) + """), i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM g),
+
+
+def spans_sql(types: tuple[str, ...] = PII_TYPES) -> str:
+    """All spans of the rules of some types by document: place, end, rule, kind, text and confidence (32 bits), in the order of the merge."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS r, '{k}' AS ty, CAST({c} AS FLOAT) AS c, regexp_extract_all(text, {sql_string(p)}) AS ms, regexp_split_to_array(text, {sql_string(p)}) AS gs FROM documents" for i, (k, p, c) in enumerate(rules.RULES) if k in types
+    )
+    return f"""WITH g AS ({found}), i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM g),
 p AS (SELECT doc_id, r, ty, c, ms[i] AS t, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i),
-s AS (SELECT doc_id, {'a': a, 'nb': -(a + length(t)), 'r': r, 'b': a + length(t), 'ty': ty, 't': t, 'c': c} AS x FROM p)"""
+s AS (SELECT doc_id, {{'a': a, 'nb': -(a + length(t)), 'r': r, 'b': a + length(t), 'ty': ty, 't': t, 'c': c}} AS x FROM p)"""
 
 
 def _merged(spans: str) -> str:
@@ -168,8 +172,13 @@ def _merged(spans: str) -> str:
       ELSE list_transform(acc, lambda k, i: CASE WHEN i = {meets} AND x[1].b - x[1].a > k.b - k.a THEN x[1] ELSE k END) END)"""
 
 
-_FOUND = _SPANS + f""", m AS (SELECT doc_id, {_merged("list(x ORDER BY x.a, x.nb, x.r)")} AS m FROM s GROUP BY doc_id),
+def found_sql(types: tuple[str, ...] = PII_TYPES) -> str:
+    """``f`` (doc_id, text, ss): the spans of each document, merged and held against the threshold."""
+    return spans_sql(types) + f""", m AS (SELECT doc_id, {_merged("list(x ORDER BY x.a, x.nb, x.r)")} AS m FROM s GROUP BY doc_id),
 f AS (SELECT d.doc_id, text, list_filter(coalesce(m, []), lambda k: k.c >= CAST(0.9 AS FLOAT)) AS ss FROM documents AS d LEFT JOIN m USING (doc_id))"""
+
+
+_SPANS, _FOUND = spans_sql(), found_sql()
 _BREAKDOWN = _SPANS + f", m AS (SELECT x.ty AS ty, {_merged('list(x ORDER BY x.a, x.nb, x.r)')} AS m FROM s GROUP BY doc_id, x.ty), n AS (SELECT ty AS type, CAST(sum(len(m)) AS BIGINT) AS n FROM m GROUP BY ty)"
 _CATEGORIES = ", ".join(f"('{c}', '{t}')" for c, ts in PII_CATEGORIES.items() for t in ts)
 _CASED = sorted(CASED, key=lambda k: -len(k))

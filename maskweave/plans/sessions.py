@@ -4,12 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskweave.constants import LABEL_PATTERN
 from maskweave.functions.core import sql_string
 from maskweave.functions.labels import replace_literals
 from maskweave.operators import report, rules, session, stateless
+from maskweave.plans.documents import found_sql
 
 WORDS = r"th[a-f]+ing|Er[a-d]+sh"
 KEYWORDS = (("thble", False), ("blere", True))
+TYPES = ("private_email", "account_number", "private_phone", "secret")
 _EMAIL = next(p for k, p, _ in rules.RULES if k == "private_email")
 _CARD = next(p for k, p, _ in rules.RULES if k == "account_number")
 
@@ -20,8 +23,7 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all(spark: SparkSession, sf_dir: str):
-    spans = rules.detect(F.col("text"), ("private_email", "account_number", "private_phone", "secret"))
-    return session.redact_sessions(fragments(spark, sf_dir), spans, [WORDS], list(KEYWORDS))
+    return session.redact_sessions(fragments(spark, sf_dir), rules.detect(F.col("text"), TYPES), [WORDS], list(KEYWORDS))
 
 
 def _plain(spark: SparkSession, sf_dir: str):
@@ -61,8 +63,7 @@ def fragment_cache_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unredact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted and restored: the texts as they were."""
-    spans = rules.detect(F.col("text"), ("private_email", "account_number", "private_phone", "secret"))
-    out, dictionary = session.redact_sessions(fragments(spark, sf_dir), spans, [WORDS], [(k, False) for k, _ in KEYWORDS])
+    out, dictionary = session.redact_sessions(fragments(spark, sf_dir), rules.detect(F.col("text"), TYPES), [WORDS], [(k, False) for k, _ in KEYWORDS])
     return session.restore_sessions(out, dictionary).select(F.col("seq").alias("doc_id"), "restored_text")
 
 
@@ -97,7 +98,40 @@ m AS (SELECT session, first_seq, text, list_distinct(list_concat(regexp_extract_
 d AS (SELECT session, original, min(first_seq) AS first_doc FROM (SELECT session, first_seq, unnest(ms) AS original FROM m) GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY first_doc, -length(original), original) - 1 AS n FROM d)
 """.format(email=sql_string("(?i)" + _EMAIL), card=sql_string("(?i)" + _CARD))
+
+
+def _in_turn(text: str, pairs: str) -> str:
+    """A text with the originals of a list of (o, l) replaced one after another."""
+    return f"list_reduce(list_prepend({{'o': '', 'l': {text}}}, {pairs}), lambda x, y: {{'o': '', 'l': replace(x.l, y.o, y.l)}}).l"
+
+
+_PAIRS = "coalesce(list({'o': original, 'l': label} ORDER BY length(original) DESC, original), [])"
+_BETWEEN = sql_string(LABEL_PATTERN)
+#: ``z``: each text of a session once, through all stages: spans from the right, patterns, keywords, what the session knows by then.
+_WHOLE = found_sql(TYPES) + f""",
+t0 AS (SELECT source AS session, d.text, min(d.doc_id) AS first_seq FROM documents AS d GROUP BY ALL),
+t1 AS (SELECT t0.session, t0.text, first_seq, ss FROM t0 JOIN f ON first_seq = doc_id),
+e1 AS (SELECT session, text, first_seq, unnest(ss) AS k FROM t1),
+d1 AS (SELECT session, k.t AS original, min({{'s': first_seq, 'a': -k.a}}) AS x FROM e1 GROUP BY ALL),
+n1 AS (SELECT session, original, x.s AS seen, '<<REDACTED_PII_' || CAST(row_number() OVER (PARTITION BY session ORDER BY x, original) - 1 AS VARCHAR) || '>>' AS label FROM d1),
+c1 AS (SELECT e1.session, e1.text, list({{'a': k.a, 'b': k.b, 'l': label}} ORDER BY k.a DESC) AS cs FROM e1 JOIN n1 ON e1.session = n1.session AND k.t = original GROUP BY e1.session, e1.text),
+t2 AS (SELECT session, text, first_seq, list_reduce(list_prepend({{'a': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'l': text}}, coalesce(cs, [])),
+  lambda x, y: {{'a': y.a, 'b': y.b, 'l': substr(x.l, 1, y.a) || y.l || substr(x.l, y.b + 1)}}).l AS body FROM t1 LEFT JOIN c1 USING (session, text)),
+m2 AS (SELECT *, list_distinct(flatten(list_transform(string_split_regex(body, {_BETWEEN}), lambda x: regexp_extract_all(x, {sql_string("(?i)" + WORDS)})))) AS ms FROM t2),
+e2 AS (SELECT session, text, first_seq, unnest(ms) AS original FROM m2),
+d2 AS (SELECT session, original, min(first_seq) AS seen FROM e2 GROUP BY ALL),
+n2 AS (SELECT session, original, seen, '<<REDACTED_REGEX_' || CAST(row_number() OVER (PARTITION BY session ORDER BY seen, -length(original), original) - 1 AS VARCHAR) || '>>' AS label FROM d2),
+c2 AS (SELECT e2.session, e2.text, {_PAIRS.replace("original", "e2.original")} AS ps FROM e2 JOIN n2 ON e2.session = n2.session AND e2.original = n2.original GROUP BY e2.session, e2.text),
+t3 AS (SELECT session, text, first_seq, {_in_turn("body", "coalesce(ps, [])")} AS body FROM t2 LEFT JOIN c2 USING (session, text)),
+t4 AS (SELECT session, text, first_seq, regexp_replace(replace(body, '{KEYWORDS[0][0]}', '<<REDACTED_KEYWORD_0>>'), '{KEYWORDS[1][0]}', '<<REDACTED_KEYWORD_1>>', 'gi') AS body FROM t3),
+n3 AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2),
+c4 AS (SELECT t4.session, t4.text, {_PAIRS} AS ps FROM t4 JOIN n3 ON t4.session = n3.session AND seen <= first_seq AND contains(body, original) GROUP BY t4.session, t4.text),
+z AS (SELECT session, text, {_in_turn("body", "coalesce(ps, [])")} AS redacted_text FROM t4 LEFT JOIN c4 USING (session, text))
+"""
 SQL = {
+    "session_redact": _WHOLE + "SELECT d.doc_id, redacted_text FROM documents AS d JOIN z ON d.source = z.session AND d.text = z.text",
+    "request_label_counts": _WHOLE + f""", l AS (SELECT session, text, unnest(list_distinct(regexp_extract_all(redacted_text, {_BETWEEN}))) AS label FROM z)
+SELECT d.source AS session, d.doc_id, regexp_extract(label, '_([A-Z]+)_', 1) AS kind, count(*) AS n_labels FROM documents AS d JOIN l ON d.source = l.session AND d.text = l.text GROUP BY ALL""",
     "session_label_numbering": _F + "SELECT session, original, '<<REDACTED_REGEX_' || CAST(n AS VARCHAR) || '>>' AS label, first_doc FROM n",
     "pii_label_numbering": f"""
 WITH f AS (SELECT source AS session, text, min(doc_id) AS first_seq FROM documents GROUP BY ALL),
