@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskweave.operators import profiles
 from maskweave.sources import settings, traffic, vault
+from maskweave.storage import fresh_path
 
 _SETTINGS = [
     (1, '{"start_on_boot":true,"verbose_logging":true,"app_language":"de","onnx_provider":"cpu"}'),
@@ -55,14 +56,30 @@ def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = vault.unwrap(spark, wrapped, "master", salt)
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     s = vault.sealed(d, ["text"], key)
-    return s.select("doc_id", vault.opened(F.col("text"), F.lit(key)).alias("opened"), vault.opened(F.col("text"), F.lit(b"x" * 32)).isNull().alias("locked"))
+    other = vault.key_column(spark, b"x" * 32)
+    return s.select("doc_id", vault.opened(F.col("text"), vault.key_column(spark, key)).alias("opened"), vault.opened(F.col("text"), other).isNull().alias("locked"))
 
 
+def settings_sealing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings document for each client, written sealed, and what its file's lines hold with and without the key."""
+    clients = spark.read.parquet(f"{sf_dir}/clients.parquet")
+    keyword = F.struct(F.col("name").alias("text"))
+    profile = F.struct(F.col("client_id").cast("string").alias("id"), F.col("email").alias("api_key"), F.array(keyword).alias("keywords"), F.col("city").alias("alias"))
+    path = fresh_path(spark, "settings")
+    settings.write(clients.select(F.to_json(F.struct(F.array(profile).alias("profiles"))).alias("value")), path, key=_KEY)
+    lines = settings.read_lines(spark, path).withColumn("opened", F.col("value"))
+    both = settings.opened(lines, _KEY, "opened")
+    of = lambda c, p: F.get_json_object(c, f"$.profiles[0].{p}")
+    return both.select(of("opened", "id").cast("long").alias("client_id"), of("opened", "api_key").alias("api_key"), of("opened", "keywords[0].text").alias("keyword"), of("opened", "alias").alias("alias"), of("value", "keywords._mode").alias("mode"), of("value", "api_key._mode").alias("key_mode"))
+
+
+_KEY = b"0123456789abcdef" * 2
 _ROWS = ", ".join(f"({i}::BIGINT, {str(c).lower()}, '{v}')" for i, c, v in _MIGRATED)
 SQL = {
     "settings_migrate": f"SELECT * FROM (VALUES {_ROWS}) AS s(id, corrupt, value)",
     "profile_parse": "SELECT * FROM (VALUES ('a', 'k', 8080::BIGINT, true, 1::BIGINT, true), ('b', '', 9000, false, 0, false)) AS p(id, api_key, port, enabled, n_keywords, first_cs)",
     "request_parse": "SELECT conv_id, turn, 'POST' AS method, '/v1/chat?x=1' AS path, 'HTTP/1.1' AS version, role AS x_role, '{\"t\":\"' || role || '\"}' AS body FROM conversations",
+    "settings_sealing": f"SELECT client_id, email AS api_key, name AS keyword, city AS alias, '{vault.MODE}' AS mode, CASE WHEN email IS NOT NULL THEN '{vault.MODE}' END AS key_mode FROM clients",
     "vault_roundtrip": "SELECT doc_id, text AS opened, true AS locked FROM documents",
 }
 QUERIES = {n: globals()[n] for n in SQL}

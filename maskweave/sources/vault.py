@@ -1,4 +1,7 @@
-"""Encrypted fields: AES-256-GCM by Spark's own functions, under a data key that a master password wraps."""
+"""Encrypted fields: AES-256-GCM by Spark's own functions, under a data key that a master password wraps.
+
+A key is never a literal: ``key_column`` makes it a scalar subquery over a table of
+one row, so plans name the subquery, and tasks get the key with their data."""
 from __future__ import annotations
 
 import hashlib
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 
 ITERATIONS, KEY_BYTES, IV_BYTES, TAG_BYTES = 100_000, 32, 12, 16
 MODE = "aes-256-gcm"
+#: Fields of an envelope, as they are written.
+ENVELOPE = ("_enc", "_mode", "_iv", "_tag")
 
 
 def password_key(password: str, salt: bytes, iterations: int = ITERATIONS) -> bytes:
@@ -16,6 +21,11 @@ def password_key(password: str, salt: bytes, iterations: int = ITERATIONS) -> by
     return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, iterations, KEY_BYTES)
 
 
+def key_column(spark: SparkSession, key: bytes) -> Column:
+    """A key for the functions below, which no plan shows."""
+    return spark.createDataFrame([(bytearray(key),)], "key binary").scalar()
+
+
 def opened(envelope: Column, key: Column) -> Column:
     """The text of an envelope; null if it was sealed under another key or changed."""
     packed = F.concat(F.unbase64(envelope["_iv"]), F.unbase64(envelope["_enc"]), F.unbase64(envelope["_tag"]))
@@ -27,7 +37,8 @@ def sealed(rows: DataFrame, columns: list[str], key: bytes) -> DataFrame:
     the result is written once before its parts are taken apart."""
     from maskweave.storage import stage
 
-    packed = rows.withColumns({c: F.aes_encrypt(F.col(c).cast("binary"), F.lit(key), F.lit("GCM")) for c in columns})
+    hidden = key_column(rows.sparkSession, key)
+    packed = rows.withColumns({c: F.aes_encrypt(F.col(c).cast("binary"), hidden, F.lit("GCM")) for c in columns})
     return stage(packed, "sealed").withColumns({c: envelope_of(F.col(c)) for c in columns})
 
 

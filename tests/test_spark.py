@@ -237,6 +237,37 @@ def test_vault(spark):
     assert {r.s._mode for r in sealed.collect() if r.s} == {vault.MODE}
 
 
+def test_keys_stay_out_of_plans(spark):
+    key = b"PlainKeyBytesThatNoPlanMayShow!!"
+    rows = spark.createDataFrame([(1, "é")], "id long, s string")
+    packed = rows.select(F.aes_encrypt(F.col("s").cast("binary"), vault.key_column(spark, key), F.lit("GCM")).alias("p"))
+    shut = vault.sealed(rows, ["s"], key)
+    back = shut.select(vault.opened(F.col("s"), vault.key_column(spark, key)).alias("s"))
+    assert back.first().s == "é" and packed.count() == 1
+    for df in (packed, shut, back):
+        plan = df._jdf.queryExecution()
+        text = plan.toString()
+        assert not any(shown in text for shown in (key.decode(), key.hex(), key.hex().upper(), str(list(key))[1:-1]))
+
+
+def test_settings_are_sealed_on_save(spark, tmp_path):
+    docs = [
+        {"profiles": [{"id": "a", "api_key": "sk-1é", "keywords": [{"text": "x"}], "regex_patterns": []}, {"id": "b", "api_key": ""}, "odd"], "app_language": "de"},
+        {"profiles": []}, {}, {"profiles": [{"keywords": "no list", "api_key": 5}]},
+    ]
+    rows = spark.createDataFrame([(json.dumps(d),) for d in docs] + [("{broken",)], "value string")
+    settings.write(rows, str(tmp_path / "s"), key=b"k" * 32)
+    text = "".join(p.read_text() for p in (tmp_path / "s").glob("part-*"))
+    assert "sk-1" not in text and text.count(vault.MODE) == 4 and "{broken" in text
+    back = [r.value for r in settings.read_lines(spark, str(tmp_path / "s"), b"k" * 32).collect()]
+    assert sorted(json.dumps(json.loads(v), sort_keys=True) for v in back if v != "{broken") == sorted(json.dumps(d, sort_keys=True) for d in docs)
+    shut = [json.loads(r.value) for r in settings.read_lines(spark, str(tmp_path / "s"), b"z" * 32).collect() if "sk" not in r.value and "app_language" in r.value]
+    assert set(shut[0]["profiles"][0]["api_key"]) == {"_enc", "_mode", "_iv", "_tag"}
+    settings.write(rows.limit(1), str(tmp_path / "one"), key=b"k" * 32)
+    (read,) = settings.read(spark, str(tmp_path / "one" / "part-*"), False, b"k" * 32).collect()
+    assert json.loads(read.value)["profiles"] == docs[0]["profiles"] and not read.corrupt
+
+
 def test_settings_quarantine(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"verbose_logging": true}')
     (tmp_path / "b.json").write_text('{"start')
