@@ -4,9 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.operators import profiles
+from maskweave.operators import profiles, ranks
 from maskweave.sources import settings, traffic, vault
 from maskweave.storage import fresh_path
+from maskweave.streaming.parts import run_parts
+from maskweave.streaming.requests import OUTPUT as REQUESTS
+from maskweave.streaming.requests import requests
+
+#: Bytes of a captured chunk.
+CAPTURED = 300
 
 _SETTINGS = [
     (1, '{"start_on_boot":true,"verbose_logging":true,"app_language":"de","onnx_provider":"cpu"}'),
@@ -50,6 +56,19 @@ def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("conv_id", "turn", "r.method", "r.path", "r.version", F.col("r.headers")["X-Role"].alias("x_role"), F.col("r.body").alias("body"))
 
 
+def captured_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests of their conversation's connection, captured in chunks that come out of order, framed by a stream and taken apart."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    raw = F.concat(F.lit("POST /v1/chat/completions?turn="), F.col("turn").cast("string"), F.lit(" HTTP/1.1\r\nHost: h\r\nContent-Length: "), F.octet_length("text").cast("string"), F.lit("\r\n\r\n"), F.col("text")).cast("binary")
+    n = F.ceil(F.octet_length("raw") / CAPTURED).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("raw", i * CAPTURED + 1, F.lit(CAPTURED)))
+    cut = t.select(F.col("conv_id").cast("string").alias("connection"), "turn", raw.alias("raw")).select("connection", "turn", F.posexplode(pieces).alias("piece", "data"))
+    chunks = ranks.numbered(cut, ["connection"], ["turn", "piece"], "seq").select("connection", "seq", "data", F.lit("2024-01-01").cast("timestamp").alias("sent"))
+    framed = run_parts([chunks.where("seq % 3 > 0"), chunks.where("seq % 3 = 0")], requests, REQUESTS, fresh_path(spark, "capture"))
+    r = framed.select(F.col("connection").cast("long").alias("conv_id"), "number", traffic.parsed_request(F.col("raw")).alias("r"))
+    return r.select("conv_id", "number", "r.method", "r.path", F.col("r.body").alias("body"))
+
+
 def vault_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts sealed under a wrapped key and opened again; another key opens none."""
     salt, wrapped = vault.wrap(spark, b"k" * 32, "master")
@@ -80,6 +99,7 @@ SQL = {
     "profile_parse": "SELECT * FROM (VALUES ('a', 'k', 8080::BIGINT, true, 1::BIGINT, true), ('b', '', 9000, false, 0, false)) AS p(id, api_key, port, enabled, n_keywords, first_cs)",
     "request_parse": "SELECT conv_id, turn, 'POST' AS method, '/v1/chat?x=1' AS path, 'HTTP/1.1' AS version, role AS x_role, '{\"t\":\"' || role || '\"}' AS body FROM conversations",
     "settings_sealing": f"SELECT client_id, email AS api_key, name AS keyword, city AS alias, '{vault.MODE}' AS mode, CASE WHEN email IS NOT NULL THEN '{vault.MODE}' END AS key_mode FROM clients",
+    "captured_requests": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS number, 'POST' AS method, '/v1/chat/completions?turn=' || turn AS path, text AS body FROM conversations WHERE text IS NOT NULL",
     "vault_roundtrip": "SELECT doc_id, text AS opened, true AS locked FROM documents",
 }
 QUERIES = {n: globals()[n] for n in SQL}

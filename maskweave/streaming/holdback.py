@@ -30,6 +30,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskweave.functions import events as E
 from maskweave.storage import fresh_path
+from maskweave.streaming.parts import run_parts
 
 OUTPUT = "stream_id string, out_seq long, body string"
 TIME_TO_LIVE = "30 minutes"
@@ -153,27 +154,6 @@ def restored(chunks: DataFrame, time_to_live: str = TIME_TO_LIVE, lateness: str
     return rows.transformWithStateInPandas(HoldBack(time_to_live), OUTPUT, "Append", "EventTime")
 
 
-def run_parts(parts: Iterable[DataFrame], root: str, time_to_live: str = TIME_TO_LIVE, lateness: str = "10 minutes") -> DataFrame:
-    """The bodies of chunks that come part by part: the query is started anew for each on one checkpoint."""
-    spark = None
-    for chunks in parts:
-        if spark is None:
-            spark = chunks.sparkSession
-            name = "spark.sql.streaming.stateStore.providerClass"
-            kept = spark.conf.get(name)
-            spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        try:
-            chunks.write.mode("append").parquet(f"{root}/in")
-            source = spark.readStream.schema(chunks.schema).parquet(f"{root}/in")
-            query = restored(source, time_to_live, lateness).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-            query.awaitTermination()
-        except BaseException:
-            spark.conf.set(name, kept)
-            raise
-    spark.conf.set(name, kept)
-    return spark.read.schema(OUTPUT).parquet(f"{root}/out")
-
-
 def run_once(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """Turns as redacted chat streams, whose odd chunks come before the even ones; their contents put together."""
     first = F.split_part("text", F.lit(" "), F.lit(1))
@@ -183,7 +163,7 @@ def run_once(spark: SparkSession, turns: DataFrame) -> DataFrame:
     pieces = marked.select("stream_id", "first", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("text", i * 9 + 1, F.lit(9)))).alias("seq", "piece"))
     body = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("piece").alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
     chunks = pieces.select("stream_id", F.col("seq").cast("long").alias("seq"), body.alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("last"), F.create_map(F.lit(label), F.col("first")).alias("labels"), F.lit("2024-01-01").cast("timestamp").alias("sent"))
-    bodies = run_parts([chunks.where("seq % 2 = 1"), chunks.where("seq % 2 = 0")], fresh_path(spark, "stream"))
+    bodies = run_parts([chunks.where("seq % 2 = 1"), chunks.where("seq % 2 = 0")], restored, OUTPUT, fresh_path(spark, "stream"))
     from maskweave.operators.sse import chat_content, event_payloads
 
     out = bodies.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("out_seq", "body"))).alias("bs"))

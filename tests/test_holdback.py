@@ -8,6 +8,7 @@ import pytest
 from maskweave.functions import events as E
 from maskweave.storage import fresh_path
 from maskweave.streaming import holdback
+from maskweave.streaming.parts import run_parts
 
 CHUNKS = "stream_id string, seq long, chunk string, last boolean, labels map<string,string>, sent timestamp"
 LABELS = {"<<REDACTED_PII_0>>": "a@b.de", "<<REDACTED_PII_1>>": "Ada"}
@@ -85,7 +86,7 @@ def test_streams_over_micro_batches(spark):
         rows("clock", pieces, much_later, skip=range(1, 99), ends=False),
     ]
     root = fresh_path(spark, "holdback-test")
-    out = holdback.run_parts([spark.createDataFrame(b, CHUNKS).repartition(2) for b in batches], root, "30 minutes", "1 minute").collect()
+    out = run_parts([spark.createDataFrame(b, CHUNKS).repartition(2) for b in batches], lambda s: holdback.restored(s, "30 minutes", "1 minute"), holdback.OUTPUT, root).collect()
     by = {}
     for r in sorted(out, key=lambda r: r.out_seq):
         by.setdefault(r.stream_id, []).append(r.body)
