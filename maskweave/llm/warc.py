@@ -2,12 +2,14 @@
 
 Headers (id, payload digest, length) are shuffled by digest: the smallest id of
 each digest, found by a map-side minimum, is the original, and the others become
-revisit records that refer to it. While the list of revisits is small (in bytes)
-it is broadcast and payloads stay where they were read; a longer list is joined
-by id and digest, and payloads are shuffled once. Either join has one row of its
-small side for each key, so Spark may split a digest that millions share. Tasks
-then write archives, a gzip member for each record, with record ids, dates,
-digests and lengths of their own.
+revisit records that refer to it. Payloads stay where they are read: while the
+list of revisits is small it is broadcast; a longer list is dealt to a table for
+each input file in the shared folder, and a task that reads a file looks up that
+file's revisits, as many as the file has rows at most. Only rows that come from
+no file (made by a join, say) are joined by id and digest instead. Joins have one
+row of their small side for each key, so Spark may split a digest that millions
+share. Tasks write archives, a gzip member for each record, with record ids,
+dates, digests and lengths of their own.
 
 Cases: a null payload is empty; equal empty payloads count as copies too; a null
 id is never an original unless nothing else is known of its digest, and then all
@@ -27,12 +29,14 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import small_batches, table
-from maskweave.llm.files import PartFile, open_input
-from maskweave.storage import compacted, few, fresh_path
+from maskweave.llm.files import PartFile, file_system, open_input
+from maskweave.storage import BROADCAST_BYTES, compacted, delete, few, fresh_path
 
 #: Bytes of archives that a task reads back, when files are small.
 READ_BYTES = 8 << 20
@@ -95,24 +99,58 @@ def read_record(member: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, sha, original) of the rows that repeat the payload of another."""
-    heads = pages.select("page_id", "sha").where(F.col("n_bytes") >= min_bytes)
+    """(page_id, sha, file, original) of the rows that repeat the payload of another."""
+    heads = pages.select("page_id", "sha", "file").where(F.col("n_bytes") >= min_bytes)
     firsts = heads.groupBy("sha").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return heads.join(firsts, "sha").where("page_id <> original").select("page_id", "sha", "original").distinct()
+    return heads.join(firsts, "sha").where("page_id <> original").select("page_id", "sha", "file", "original").distinct()
+
+
+def _key(uri: str) -> str:
+    return hashlib.sha1(uri.encode()).hexdigest()
+
+
+def side_tables(again: DataFrame, folder: str) -> None:
+    """The revisits of each input file as a table of its own below ``folder``."""
+    dealt = again.withColumn("key", F.sha1(F.col("file").cast("binary"))).repartition("key")
+    dealt.select("key", "page_id", "sha", "original").write.partitionBy("key").parquet(folder)
+
+
+def _originals(folder: str, uri: str) -> dict[tuple[int, str], int]:
+    """(page_id, sha) to original of an input file's revisits."""
+    where, path = file_system(f"{folder}/key={_key(uri)}")
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        return {}
+    rows = ds.dataset(path, filesystem=where, format="parquet").to_table(columns=["page_id", "sha", "original"])
+    return {(i, sha): first for i, sha, first in zip(*(c.to_pylist() for c in rows.columns))}
+
+
+def resolved(rows: DataFrame, again: DataFrame) -> tuple[DataFrame, str | None]:
+    """Rows (page_id, url, payload, sha, n_bytes, original, file) to write, and the folder of the side
+    tables that have the originals if the rows don't. Payloads of revisits are null in the first case."""
+    known = again.select("page_id", "sha", "original").distinct()
+    if again.count() * (56 + 32) // 4 <= BROADCAST_BYTES or not again.where("file = ''").isEmpty():
+        both = rows.join(few(known, 56), ["page_id", "sha"], "left")
+        return both.select("page_id", "url", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "sha", "n_bytes", "original", F.lit("").alias("file")), None
+    side = fresh_path(rows.sparkSession, "revisits-by-file")
+    side_tables(again, side)
+    return rows.select("page_id", "url", "payload", "sha", "n_bytes", F.lit(None).cast("long").alias("original"), "file"), side
 
 
 def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write a record for each row under ``folder``. A row (uri, n_records, n_bytes) for each archive."""
     html = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), html.alias("payload")).withColumns({"sha": F.sha1("payload"), "n_bytes": F.octet_length("payload")})
-    again = compacted(revisits(rows, min_bytes), "revisits")
-    rows = rows.join(few(again, 56), ["page_id", "sha"], "left")
-    rows = rows.select("page_id", "url", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"), "sha", "n_bytes", "original")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), html.alias("payload"), F.input_file_name().alias("file")).withColumns({"sha": F.sha1("payload"), "n_bytes": F.octet_length("payload")})
+    rows, side = resolved(rows, compacted(revisits(rows, min_bytes), "revisits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, n = None, 0
+        out, n, at, known = None, 0, None, {}
         for batch in batches:
-            for i, u, p, sha, size, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for i, u, p, sha, size, first, file in zip(*(c.to_pylist() for c in batch.columns)):
+                if side is not None:
+                    if file != at:
+                        at, known = file, _originals(side, file)
+                    first = known.get((i, sha))
+                    p = p if first is None else None
                 out = out or PartFile(folder, ".warc.gz")
                 out.write(write_record(i, u, p, base64.b32encode(bytes.fromhex(sha)).decode(), size, first))
                 n += 1
@@ -121,7 +159,10 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
             yield pa.RecordBatch.from_pydict({"uri": [out.uri], "n_records": [n], "n_bytes": [out.size]})
 
     with small_batches(pages.sparkSession):
-        return compacted(rows.mapInArrow(run, "uri string, n_records long, n_bytes long"), "archives")
+        written = compacted(rows.mapInArrow(run, "uri string, n_records long, n_bytes long"), "archives")
+    if side is not None:
+        delete(pages.sparkSession, [side])
+    return written
 
 
 def read_archives(archives: DataFrame) -> DataFrame:

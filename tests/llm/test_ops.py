@@ -172,6 +172,24 @@ def test_warc(spark):
         warc.read_record(bytes(damaged))
 
 
+def test_many_revisits_leave_payloads_where_they_are(spark, tmp_path, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, f"http://h/{i}", f"<p>{rnd.randrange(120)}</p>" * 20) for i in range(600)] + [(601, "u", None), (602, "u", ""), (7, "again", "<p>7</p>"), (None, "u", "<p>x</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    facts = lambda archives: sorted(map(tuple, warc.read_archives(archives).collect()), key=repr)
+    want = facts(warc.write_archives(pages, fresh_path(spark, "t-warc")))
+    assert sum(r[3] == "revisit" for r in want) > 400
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr("maskweave.storage.BROADCAST_BYTES", 0)
+    plans, kept = [], warc.resolved
+    monkeypatch.setattr(warc, "resolved", lambda *a: plans.append(out := kept(*a)) or out)
+    assert facts(warc.write_archives(pages, fresh_path(spark, "t-warc"))) == want
+    assert facts(warc.write_archives(pages.repartition(3), fresh_path(spark, "t-warc"))) == want
+    (by_file, side), (joined, none) = plans
+    assert side and not none and "Exchange" not in by_file._jdf.queryExecution().executedPlan().toString()
+
+
 # -- secrets --------------------------------------------------------------------
 
 
