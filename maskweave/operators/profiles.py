@@ -41,9 +41,9 @@ def config_hash(columns: list[str]) -> Column:
 
 
 def bind(requests: DataFrame, profiles: DataFrame, key: str = "port") -> DataFrame:
-    """Each request with the first enabled profile of its port; without one it stays, with nulls. Profiles are configuration, a row each."""
+    """Each request with the first enabled profile of its port; without one it stays, with nulls."""
     first = profiles.where("enabled").groupBy(key).agg(F.min_by(F.struct(*[c for c in profiles.columns if c != key]), "place").alias("_p"))
-    return requests.join(F.broadcast(first), key, "left").select(*requests.columns, "_p.*")
+    return requests.join(first, key, "left").select(*requests.columns, "_p.*")
 
 
 def broken_patterns(profiles: DataFrame) -> list[str]:
@@ -73,9 +73,15 @@ def problems(profiles: DataFrame) -> DataFrame:
 
 
 def port_conflicts(profiles: DataFrame) -> DataFrame:
-    """Pairs of profiles on one port."""
-    a, b = profiles.alias("a"), profiles.alias("b")
-    return a.join(b, (F.col("a.port") == F.col("b.port")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("a.port").alias("port"))
+    """(id, other, port) of the profiles whose port another one has; ``other``: the first of the others by id.
+
+    One row for each profile, however many share a port: the port's two least ids tell all."""
+    p = profiles.select("id", "port").distinct()
+    first = p.groupBy("port").agg(F.min("id").alias("_first"))
+    rest = p.join(first, "port").where("id <> _first")
+    second = rest.groupBy("port").agg(F.min("id").alias("_second"))
+    both = first.join(second, "port")
+    return p.join(both, "port").select("id", F.when(F.col("id") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("other"), "port")
 
 
 def free_port(spark: SparkSession, used: DataFrame, first: int = 8080, last: int = 65535) -> DataFrame:

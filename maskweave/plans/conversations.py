@@ -91,7 +91,7 @@ def sse_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fragment_whole_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies without messages are one fragment each."""
     t = _turns(spark, sf_dir)
-    bodies = t.select("conv_id", "turn", F.concat(F.lit('{"input":"'), "role", F.lit('","n":'), F.col("turn").cast("string"), F.lit("}")).alias("body"))
+    bodies = t.select("conv_id", "turn", F.to_json(F.struct(F.col("text").alias("input"), F.col("turn").alias("n"))).alias("body"))
     return P.exploded(bodies).select("conv_id", "turn", "frag_seq", "text")
 
 
@@ -143,7 +143,7 @@ def channel_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_type_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events get the line that names their type; the end marker goes."""
     t = _turns(spark, sf_dir)
-    body = F.concat(F.lit('data: {"type":"'), F.col("role"), F.lit('"}\n\ndata: plain\n\ndata: [DONE]\n\n'))
+    body = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("role").alias("type"), "text")), F.lit("\n\ndata: plain\n\ndata: [DONE]\n\n"))
     streams = t.select("conv_id", "turn", body.alias("body"), F.expr("map('', '')").alias("pairs"))
     return sse.rebuilt_streams(streams, ["conv_id", "turn"], with_events=True)
 
@@ -168,7 +168,7 @@ def response_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = "<<REDACTED_PII_0>>"
     event = F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), F.lit(label), F.lit('"}}]}\n\n'))
     kind = F.col("turn") % 3
-    body = F.when(kind == 0, F.concat(F.lit(" \n"), "role", F.lit(label))).otherwise(event)
+    body = F.when(kind == 0, F.concat(F.lit(" \n"), "text", F.lit(label))).otherwise(event)
     rows = t.select("conv_id", "turn", F.when(kind == 2, 500).otherwise(200).alias("status"), F.when(kind == 0, "application/json").otherwise("Text/Event-Stream; charset=utf-8").alias("content_type"), body.alias("body"), F.create_map(F.lit(label), F.lit("Bob")).alias("pairs"))
     return R.restored(rows, ["conv_id", "turn"])
 
@@ -180,7 +180,7 @@ FROM (SELECT conv_id, turn, unnest(CASE WHEN turn % 2 = 0 THEN [{{'k': 0, 't': t
 SQL = {
     "fragment_explode": _FRAGMENTS.format("t"),
     "fragment_reassemble": _FRAGMENTS.format("'x:' || t"),
-    "fragment_whole_body": "SELECT conv_id, turn, CAST(0 AS BIGINT) AS frag_seq, '{\"input\":\"' || role || '\",\"n\":' || turn || '}' AS text FROM conversations",
+    "fragment_whole_body": "SELECT conv_id, turn, CAST(0 AS BIGINT) AS frag_seq, '{\"input\":' || to_json(text) || ',\"n\":' || turn || '}' AS text FROM conversations",
     "channel_restore": f"SELECT conv_id, turn, {list(CHANNELS)}[(conv_id + turn) % {len(CHANNELS)} + 1] AS channel, role || ' ' || coalesce(text, '') AS text FROM conversations",
     "stream_flag": "SELECT DISTINCT conv_id, true AS stream FROM conversations",
     "sse_parse": """
@@ -192,8 +192,8 @@ FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM (SELECT *, CAST(greatest(1, ce
     "stream_unredact": "SELECT conv_id, turn, text AS content FROM conversations",
     "stream_eligibility": "SELECT DISTINCT conv_id, conv_id % 3 < 2 AS streams FROM conversations",
     "response_dispatch": """
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN role || 'Bob' WHEN 1 THEN 'data: {"choices":[{"delta":{"content":"Bob"}}]}' || chr(10) || chr(10)
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text || 'Bob' WHEN 1 THEN 'data: {"choices":[{"delta":{"content":"Bob"}}]}' || chr(10) || chr(10)
   ELSE 'data: {"choices":[{"delta":{"content":"<<REDACTED_PII_0>>"}}]}' || chr(10) || chr(10) END AS body FROM conversations""",
-    "event_type_normalise": "SELECT conv_id, turn, 'event: ' || role || chr(10) || 'data: {\"type\":\"' || role || '\"}' || chr(10) || chr(10) || 'data: plain' || chr(10) || chr(10) AS body FROM conversations",
+    "event_type_normalise": "SELECT conv_id, turn, 'event: ' || role || chr(10) || 'data: {\"text\":' || to_json(text) || ',\"type\":\"' || role || '\"}' || chr(10) || chr(10) || 'data: plain' || chr(10) || chr(10) AS body FROM conversations",
 }
 QUERIES = {n: globals()[n] for n in SQL}

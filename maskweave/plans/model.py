@@ -33,7 +33,7 @@ def softmax_assigned_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
         m = F.array_max(x)
         return let(m, lambda top: 1 / F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v.cast("double") - top.cast("double"))))
 
-    s = _scores(spark, sf_dir)
+    s = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("x"))
     return s.select("vec_id", (F.array_position("x", F.array_max("x")) - 1).alias("class"), F.round(prob(F.col("x")), 6).alias("prob"))
 
 
@@ -134,8 +134,8 @@ q AS (SELECT l.seq_id, l.t, CAST(exp(CAST(max(v) FILTER (WHERE l.c = p.c) AS DOU
 n AS (SELECT q.*, edge, type, sum(CASE WHEN edge IN ('B', 'S') THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY t) AS entity FROM q JOIN names USING (c))
 SELECT seq_id, type, substr('{" ".join("abcdefghij")}', CAST(2 * min(t) + 1 AS BIGINT), CAST(2 * (max(t) - min(t)) + 1 AS BIGINT)) AS matched, 2 * min(t) AS start_at, round(avg(prob), 4) AS confidence
 FROM n WHERE edge <> 'O' GROUP BY seq_id, type, entity""",
-    "softmax_assigned_prob": f"""
-WITH e AS (SELECT vec_id, embedding[1:{N_CLASSES}] AS x FROM embeddings), m AS (SELECT *, list_max(x) AS top FROM e)
+    "softmax_assigned_prob": """
+WITH e AS (SELECT vec_id, embedding AS x FROM embeddings), m AS (SELECT *, list_max(x) AS top FROM e)
 SELECT vec_id, CAST(list_position(x, top) - 1 AS BIGINT) AS class, round(1 / list_sum(list_transform(x, lambda v: exp(v::DOUBLE - top::DOUBLE))), 6) AS prob FROM m""",
 }
 QUERIES = {f.__name__: f for f in (softmax_assigned_prob, viterbi_decode, bioes_entities, bpe_encode)}

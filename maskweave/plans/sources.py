@@ -1,10 +1,10 @@
-"""Queries over literal settings and captured requests."""
+"""Queries over captured requests, sealed texts and sealed settings."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.operators import profiles, ranks
+from maskweave.operators import ranks
 from maskweave.sources import settings, traffic, vault
 from maskweave.storage import fresh_path
 from maskweave.streaming.parts import run_parts
@@ -14,43 +14,11 @@ from maskweave.streaming.requests import requests
 #: Bytes of a captured chunk.
 CAPTURED = 300
 
-_SETTINGS = [
-    (1, '{"start_on_boot":true,"verbose_logging":true,"app_language":"de","onnx_provider":"cpu"}'),
-    (2, '{"start_on_boot":false,"app_language":"fr","onnx_provider":"cpu"}'),
-    (3, '{"settings_version":2,"start_on_boot":true,"logging_enabled":true,"app_language":"en"}'),
-    (4, '{"start_on_boot": tr'),
-    (5, '{"start_on_boot":"yes"}'),
-    (6, '{"settings_version":9,"verbose_logging":true}'),
-    (7, "[1]"),
-    (8, '{"verbose_logging":false,"logging_enabled":true}'),
-]
-_MIGRATED = [
-    (1, False, '{"app_language":"de","logging_enabled":true,"onnx_provider":"cpu","settings_version":2,"start_on_boot":true}'),
-    (2, False, '{"app_language":"fr","logging_enabled":false,"onnx_provider":"cpu","settings_version":2,"start_on_boot":false}'),
-    (3, False, '{"app_language":"en","logging_enabled":true,"settings_version":2,"start_on_boot":true}'),
-    (4, True, '{"app_language":"","logging_enabled":false,"settings_version":2,"start_on_boot":true}'),
-    (5, False, '{"app_language":"","logging_enabled":false,"settings_version":2,"start_on_boot":"yes"}'),
-    (6, False, '{"app_language":"","logging_enabled":false,"settings_version":9,"start_on_boot":true,"verbose_logging":true}'),
-    (7, False, '{"app_language":"","logging_enabled":false,"settings_version":2,"start_on_boot":true}'),
-    (8, False, '{"app_language":"","logging_enabled":true,"settings_version":2,"start_on_boot":true}'),
-]
-
-
-def settings_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settings.migrated(spark.createDataFrame(_SETTINGS, "id long, value string")).select("id", "corrupt", "value")
-
-
-def profile_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles with what they leave out filled in."""
-    rows = [('{"id":"a","api_key":"k","keywords":[{"text":"x"}]}',), ('{"id":"b","port":9000,"api_key":{"_enc":"zz"},"enabled":false,"pii_confidence_threshold":0.5}',)]
-    p = profiles.parse_profiles(spark.createDataFrame(rows, "value string"))
-    return p.select("id", "api_key", F.col("port").cast("long").alias("port"), "enabled", F.size("keywords").cast("long").alias("n_keywords"), F.coalesce(F.get("keywords", F.lit(0))["case_sensitive"], F.lit(False)).alias("first_cs"))
-
 
 def request_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured requests of conversations' turns, taken apart."""
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    body = F.concat(F.lit('{"t":"'), F.col("role"), F.lit('"}'))
+    body = F.coalesce("text", F.lit(""))
     raw = F.concat(F.lit("POST /v1/chat?x=1 HTTP/1.1\r\nHost: h:1\r\nX-Role:  "), F.col("role"), F.lit("\r\ncontent-length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("rest"))
     r = t.select("conv_id", "turn", traffic.parsed_request(raw).alias("r"))
     return r.select("conv_id", "turn", "r.method", "r.path", "r.version", F.col("r.headers")["X-Role"].alias("x_role"), F.col("r.body").alias("body"))
@@ -93,11 +61,8 @@ def settings_sealing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = b"0123456789abcdef" * 2
-_ROWS = ", ".join(f"({i}::BIGINT, {str(c).lower()}, '{v}')" for i, c, v in _MIGRATED)
 SQL = {
-    "settings_migrate": f"SELECT * FROM (VALUES {_ROWS}) AS s(id, corrupt, value)",
-    "profile_parse": "SELECT * FROM (VALUES ('a', 'k', 8080::BIGINT, true, 1::BIGINT, true), ('b', '', 9000, false, 0, false)) AS p(id, api_key, port, enabled, n_keywords, first_cs)",
-    "request_parse": "SELECT conv_id, turn, 'POST' AS method, '/v1/chat?x=1' AS path, 'HTTP/1.1' AS version, role AS x_role, '{\"t\":\"' || role || '\"}' AS body FROM conversations",
+    "request_parse": "SELECT conv_id, turn, 'POST' AS method, '/v1/chat?x=1' AS path, 'HTTP/1.1' AS version, role AS x_role, coalesce(text, '') AS body FROM conversations",
     "settings_sealing": f"SELECT client_id, email AS api_key, name AS keyword, city AS alias, '{vault.MODE}' AS mode, CASE WHEN email IS NOT NULL THEN '{vault.MODE}' END AS key_mode FROM clients",
     "captured_requests": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS number, 'POST' AS method, '/v1/chat/completions?turn=' || turn AS path, text AS body FROM conversations WHERE text IS NOT NULL",
     "vault_roundtrip": "SELECT doc_id, text AS opened, true AS locked FROM documents",

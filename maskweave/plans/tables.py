@@ -1,10 +1,10 @@
-"""Queries over events, pages and literal tables: rings, logs, profiles, scalars."""
+"""Queries over events, pages and documents: rings, logs, profiles, scalars."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskweave.constants import PREVIEW_CHARS, RTL_LANGUAGES, UPDATE_CHANNEL, UPDATE_FILE
+from maskweave.constants import PREVIEW_CHARS, RTL_LANGUAGES
 from maskweave.functions import text as T
 from maskweave.operators import profiles, report, session
 
@@ -66,30 +66,6 @@ def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "port", F.col("id").alias("profile"))
 
 
-def port_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.port_conflicts(_profiles(spark))
-
-
-def free_port(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.free_port(spark, _profiles(spark))
-
-
-def profile_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = spark.createDataFrame([("b",), ("x",)], "id string")
-    return profiles.removed(_profiles(spark), gone).select("id", "port")
-
-
-def profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = spark.createDataFrame([("c", 9000), ("x", 9001)], "id string, port int")
-    return profiles.updated(_profiles(spark), changes).select("id", "port")
-
-
-def profile_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 80, "https://x", 0.9, ["a+", "(b"]), ("b", 8081, "", 0.5, []), ("c", 8081, "ftp://x", 1.5, [" "]), ("d", 9000, "HTTP://ok", 0.0, ["\\d{2}"])]
-    rows = [(*r[:4], [(p, True) for p in r[4]]) for r in rows]
-    return profiles.problems(spark.createDataFrame(rows, "id string, port int, upstream_url string, threshold double, regex_patterns array<struct<pattern:string,enabled:boolean>>"))
-
-
 def endpoint_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages' URLs with an API suffix by page id, classified."""
     suffix = F.element_at(F.array(*map(F.lit, ("/V1/messages?x=1", "/chat/completions", "/v1/models", ""))), (F.col("page_id") % 4 + 1).cast("int"))
@@ -143,27 +119,6 @@ def message_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.format_message(F.lit("{0} of {1} in {0}"), F.col("source"), F.col("lang")).alias("message"))
 
 
-_VERSIONS = [(1, "1.2.3", "1.2.2"), (2, "1.10.0", "1.9.9"), (3, "2.0", "2.0.0"), (4, "2", "1.99.99-beta"), (5, "x.1", "0.0.1"), (6, "1..2", "1.0.0"), (7, "1.2.3+b", "1.2.3"), (8, "3.0.0-rc1", "2.9.9")]
-
-
-def semver_newer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.createDataFrame(_VERSIONS, "id long, remote string, local string")
-    return v.select("id", T.is_newer(F.col("remote"), F.col("local")).alias("newer"))
-
-
-def latest_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "Full", "1.2.0", "a"), (2, "Delta", "9.0.0", "b"), (3, "1", "1.10.0", "c"), (4, "Full", "1.10.0", "d"), (5, "Full", "2.0.0", ""), (6, "Full", "", "f")]
-    return report.latest_release(spark.createDataFrame(rows, "place long, type string, version string, file_name string"))
-
-
-_PATHS = [("/api/v1", "/v1/chat/completions"), ("/", "/v1/messages"), ("/api", "/v1/models"), ("/v1", "/v1/v1/x"), ("/api/v1/", "/v1/chat"), ("", "/x"), ("/a/", "")]
-
-
-def path_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame(_PATHS, "base string, path string")
-    return p.select("base", "path", T.joined_path(F.col("base"), F.col("path")).alias("joined"))
-
-
 _HEADERS = "map('Host', 'h', 'Authorization', 'Bearer dummy', 'X-Api-Key', 'k', 'Accept-Encoding', 'gzip', 'Content-Encoding', 'br', 'X-Id', CAST(event_id AS STRING))"
 
 
@@ -200,12 +155,6 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.col("m").isNotNull().alias("fits"), F.col("m")["lang"].alias("lang"), F.col("m")["item"].alias("item"))
 
 
-def update_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("win", "releases.win.json"), ("win-arm64", "app-1.0-full.nupkg"), ("mac", "x-Setup.exe"), ("win", "a/b.nupkg"), ("win", "x-Portable.zip"), ("win", "Releases.win.json")]
-    f = spark.createDataFrame(rows, "channel string, file string")
-    return f.select("channel", "file", (F.col("channel").rlike(UPDATE_CHANNEL) & F.col("file").rlike(UPDATE_FILE)).alias("served"))
-
-
 _E = "(SELECT *, 'p' || CAST(user_id % 10 AS VARCHAR) AS alias, CAST(user_id % 7 + 8080 AS INT) AS port FROM events)"
 _P = "(VALUES " + ", ".join(f"('{i}', {p}, {o}, {str(e).lower()})" for i, p, o, e in _PROFILES) + ") AS p(id, port, place, enabled)"
 SQL = {
@@ -217,18 +166,6 @@ SQL = {
     "config_epoch": f"SELECT event_id, alias, CAST(sum(c) OVER (PARTITION BY alias ORDER BY event_id) AS BIGINT) AS epoch FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY alias ORDER BY event_id) <> event_type THEN 1 ELSE 0 END AS c FROM {_E})",
     "type_breakdown_map": f"SELECT alias, event_type, count(*) AS n FROM {_E} GROUP BY ALL",
     "profile_lookup": f"SELECT event_id, e.port, q.id AS profile FROM {_E} AS e LEFT JOIN (SELECT port, arg_min(id, place) AS id FROM {_P} WHERE enabled GROUP BY port) AS q ON e.port = q.port",
-    "port_conflicts": f"WITH x AS (SELECT * FROM {_P}) SELECT a.id, b.id AS other, CAST(a.port AS INT) AS port FROM x AS a JOIN x AS b ON a.port = b.port AND a.id < b.id",
-    "free_port": f"SELECT min(port) AS port FROM (SELECT unnest(range(8080, 65536)) AS port) WHERE port NOT IN (SELECT port FROM {_P})",
-    "profile_removal": f"SELECT id, CAST(port AS INT) AS port FROM {_P} WHERE id NOT IN ('b', 'x')",
-    "profile_update": f"SELECT id, CAST(CASE id WHEN 'c' THEN 9000 ELSE port END AS INT) AS port FROM {_P}",
-    "profile_problems": """
-WITH p(id, port, url, t) AS (VALUES ('a', 80, 'https://x', 0.9), ('b', 8081, '', 0.5), ('c', 8081, 'ftp://x', 1.5), ('d', 9000, 'HTTP://ok', 0.0))
-SELECT id, 'port out of range' AS error FROM p WHERE port NOT BETWEEN 1024 AND 65535
-UNION ALL SELECT id, 'port already used' FROM p WHERE port IN (SELECT port FROM p GROUP BY port HAVING count(*) > 1)
-UNION ALL SELECT id, 'upstream missing' FROM p WHERE url = ''
-UNION ALL SELECT id, 'upstream is not http' FROM p WHERE url <> '' AND NOT regexp_matches(lower(url), '^https?://')
-UNION ALL SELECT id, 'threshold out of range' FROM p WHERE t NOT BETWEEN 0 AND 1
-UNION ALL SELECT 'a', 'pattern does not compile'""",
     "endpoint_class": """
 SELECT page_id, CASE WHEN ends_with(p, '/v1/messages') THEN '/v1/messages' WHEN ends_with(p, '/v1/chat/completions') THEN '/v1/chat/completions' WHEN ends_with(p, '/v1/models') THEN '/v1/models'
   WHEN ends_with(p, '/messages') THEN '/messages' WHEN ends_with(p, '/chat/completions') THEN '/chat/completions' WHEN ends_with(p, '/models') THEN '/models' ELSE p END AS endpoint
@@ -246,9 +183,6 @@ FROM (SELECT doc_id, n_chars * n_chars * (doc_id + 1) AS n FROM documents)""",
 SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p, '|') AS joined
 FROM (SELECT doc_id, CASE WHEN q[-1] = '' THEN q[1:len(q) - 1] ELSE q END AS p FROM (SELECT doc_id, string_split(text, ' ') AS q FROM documents))""",
     "message_format": "SELECT doc_id, source || ' of ' || lang || ' in ' || source AS message FROM documents",
-    "semver_newer": "SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false), (4, true), (5, false), (6, false), (7, false), (8, true)) AS v(id, newer)",
-    "latest_release": "SELECT '1.10.0' AS version, 'c' AS file_name",
-    "path_concat": "SELECT * FROM (VALUES ('/api/v1', '/v1/chat/completions', '/api/v1/chat/completions'), ('/', '/v1/messages', '/v1/messages'), ('/api', '/v1/models', '/api/v1/models'), ('/v1', '/v1/v1/x', '/v1/v1/x'), ('/api/v1/', '/v1/chat', '/api/v1/chat'), ('', '/x', '/x'), ('/a/', '', '/a')) AS p(base, path, joined)",
     "config_identity": f"SELECT alias, count(DISTINCT event_type || (event_id % 7 = 0)) AS n_configs FROM {_E} GROUP BY alias",
     "header_filter": "SELECT event_id, 'Authorization,Content-Encoding,X-Api-Key,X-Id' AS request_headers, 'Accept-Encoding,Authorization,Host,X-Api-Key,X-Id' AS response_headers FROM events",
     "credential_mask": "SELECT event_id, 'Bearer <REDACTED>' AS authorization, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '<REDACTED>' END AS x_api_key FROM events",
@@ -258,6 +192,5 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN greatest(0, n_chars - 700) ELSE 10
     "route_match": r"""
 SELECT page_id, regexp_matches(p, '^/+[^/]+(/+[^/]+)?/*$') AS fits, nullif(regexp_extract(p, '^/+([^/]+)(?:/+([^/]+))?/*$', 1), '') AS lang, nullif(regexp_extract(p, '^/+([^/]+)(?:/+([^/]+))?/*$', 2), '') AS item
 FROM (SELECT page_id, regexp_extract(url, '://[^/]*(/[^?#]*)', 1) AS p FROM pages)""",
-    "update_files": "SELECT * FROM (VALUES ('win', 'releases.win.json', true), ('win-arm64', 'app-1.0-full.nupkg', true), ('mac', 'x-Setup.exe', false), ('win', 'a/b.nupkg', false), ('win', 'x-Portable.zip', true), ('win', 'Releases.win.json', false)) AS f(channel, file, served)",
 }
 QUERIES = {n: globals()[n] for n in SQL}
