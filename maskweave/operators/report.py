@@ -1,6 +1,10 @@
 """Rings, logs and statistics."""
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,6 +66,21 @@ def observed(df: DataFrame, name: str, text: str) -> tuple[DataFrame, Observatio
     return df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n_bytes")), seen
 
 
+@contextmanager
+def timed(name: str, into: dict[str, float] | None) -> Iterator[None]:
+    """Seconds that a step which runs jobs takes, added to ``into`` under its name."""
+    began = time.perf_counter()
+    yield
+    if into is not None:
+        into[name] = into.get(name, 0.0) + time.perf_counter() - began
+
+
+def last_written(rows: DataFrame, group: list[str], key: str, value: str, order: list[str]) -> DataFrame:
+    """The union of maps whose entries are ``rows``: of each group's key the value that was written last."""
+    last = F.max_by(F.struct(value), F.struct(*order)).alias("_last")
+    return rows.groupBy(*group, key).agg(last).select(*group, key, F.col("_last")[value].alias(value))
+
+
 def type_breakdown(found: DataFrame, key: list[str], kind: str) -> DataFrame:
     """A map of kind to count for each key."""
     per = found.groupBy(*key, kind).agg(F.count(F.lit(1)).alias("n"))

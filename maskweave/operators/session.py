@@ -27,6 +27,7 @@ from maskweave.constants import DEFAULT_THRESHOLD, LABEL_PATTERN
 from maskweave.functions import spans as S
 from maskweave.functions.labels import label, replace_keywords, replace_literals, unredact
 from maskweave.operators import ranks, stateless
+from maskweave.operators.report import timed
 from maskweave.storage import compacted, few, stage
 
 #: Words of an automaton, and bytes of a session's texts that go past it in one task.
@@ -121,27 +122,31 @@ def _occurring(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"session": rows["session"], "text": rows["text"], "known": pa.array([known for _, known in out], kind)})
 
 
-def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Redact ``fragments`` (session, seq, text). ``spans``: personal data in ``text``.
+def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Redact ``fragments`` (session, seq, text). ``spans``: personal data in ``text``. ``timings`` gets the seconds of each stage.
 
     Returns the fragments with ``redacted_text``, and the dictionary (session, kind, original, label)."""
     # each text is searched once: later steps read what was found
-    texts = stage(first_texts(fragments).withColumn("spans", spans if spans is not None else S.no_spans()), "session-spans")
-    pii = pii_dictionary(texts)
+    with timed("spans", timings):
+        texts = stage(first_texts(fragments).withColumn("spans", spans if spans is not None else S.no_spans()), "session-spans")
+        pii = pii_dictionary(texts)
     texts = _pairs(texts, F.transform("spans", lambda s: s["text"]), pii, "pii")
     found = lambda s: F.element_at(F.filter("pii", lambda p: p["original"] == s["text"]), 1)["label"]
     texts = texts.withColumn("body", F.when(F.size("spans") > 0, S.splice(F.col("text"), F.col("spans"), found)).otherwise(F.col("text")))
-    texts = stage(texts.select("session", "text", "first_seq", "body").withColumn("matches", stateless.matches(F.col("body"), patterns or [])), "session-matches")
-    regex = regex_dictionary(texts)
+    with timed("patterns", timings):
+        texts = stage(texts.select("session", "text", "first_seq", "body").withColumn("matches", stateless.matches(F.col("body"), patterns or [])), "session-matches")
+        regex = regex_dictionary(texts)
     texts = _pairs(texts, F.col("matches"), regex, "regex")
     texts = texts.withColumn("body", F.when(F.size("regex") > 0, replace_literals(F.col("body"), longest_pairs(F.col("regex")))).otherwise(F.col("body")))
     keyed = stateless.keyword_pairs(keywords or [])
     if keywords:
         texts = texts.withColumn("body", replace_keywords(F.col("body"), keyed))
-    texts = stage(texts.select("session", "text", "first_seq", "body"), "session-bodies")
+    with timed("keywords", timings):
+        texts = stage(texts.select("session", "text", "first_seq", "body"), "session-bodies")
     dictionary = pii.select("session", F.lit("PII").alias("kind"), "original", "label", "first_seq").unionByName(regex.select("session", F.lit("REGEX").alias("kind"), "original", "label", "first_seq"))
-    dictionary = stage(dictionary, "session-labels")
-    known = known_originals(texts, dictionary, "body")
+    with timed("forward propagation", timings):
+        dictionary = stage(dictionary, "session-labels")
+        known = compacted(known_originals(texts, dictionary, "body"), "session-known")
     texts = texts.join(known, ["session", "text"], "left")
     body = F.when(F.col("known").isNotNull(), replace_literals(F.col("body"), longest_pairs(F.col("known")))).otherwise(F.col("body"))
     out = fragments.join(texts.select("session", "text", body.alias("redacted_text")), ["session", "text"])
@@ -152,7 +157,7 @@ def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns:
     return out, dictionary
 
 
-def redact_for_profile(fragments: DataFrame, profile: dict) -> tuple[DataFrame, DataFrame]:
+def redact_for_profile(fragments: DataFrame, profile: dict, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """``redact_sessions`` by a profile's switches; a stage that is off is not in the plan."""
     from maskweave.operators import rules
 
@@ -160,7 +165,7 @@ def redact_for_profile(fragments: DataFrame, profile: dict) -> tuple[DataFrame,
     spans = rules.detect(F.col("text"), types, profile.get("pii_confidence_threshold", DEFAULT_THRESHOLD)) if types else None
     patterns = stateless.usable_patterns(fragments.sparkSession, [stateless.Pattern(p["pattern"], p.get("enabled", True)) for p in profile.get("regex_patterns") or ()])
     keywords = stateless.usable_keywords([stateless.Keyword(k["text"], k.get("case_sensitive", True), k.get("enabled", True)) for k in profile.get("keywords") or ()])
-    return redact_sessions(fragments, spans, patterns, keywords)
+    return redact_sessions(fragments, spans, patterns, keywords, timings)
 
 
 def profile_totals(redacted: DataFrame, n_keywords: int) -> DataFrame:

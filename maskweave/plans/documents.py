@@ -172,10 +172,10 @@ def _merged(spans: str) -> str:
       ELSE list_transform(acc, lambda k, i: CASE WHEN i = {meets} AND x[1].b - x[1].a > k.b - k.a THEN x[1] ELSE k END) END)"""
 
 
-def found_sql(types: tuple[str, ...] = PII_TYPES) -> str:
+def found_sql(types: tuple[str, ...] = PII_TYPES, threshold: float = 0.9) -> str:
     """``f`` (doc_id, text, ss): the spans of each document, merged and held against the threshold."""
     return spans_sql(types) + f""", m AS (SELECT doc_id, {_merged("list(x ORDER BY x.a, x.nb, x.r)")} AS m FROM s GROUP BY doc_id),
-f AS (SELECT d.doc_id, text, list_filter(coalesce(m, []), lambda k: k.c >= CAST(0.9 AS FLOAT)) AS ss FROM documents AS d LEFT JOIN m USING (doc_id))"""
+f AS (SELECT d.doc_id, text, list_filter(coalesce(m, []), lambda k: k.c >= CAST({threshold} AS FLOAT)) AS ss FROM documents AS d LEFT JOIN m USING (doc_id))"""
 
 
 _SPANS, _FOUND = spans_sql(), found_sql()

@@ -46,6 +46,24 @@ def session_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all(spark, sf_dir)[0].select(F.col("seq").alias("doc_id"), "redacted_text")
 
 
+def session_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all classes of each session, with what they stand for."""
+    return _all(spark, sf_dir)[1].select("session", "kind", "original", "label", F.col("first_seq").alias("first_doc"))
+
+
+#: A profile with a pattern that doesn't compile, one that is off, a blank one, and keywords to trim and to leave out.
+PROFILE = {
+    "use_openai_model": True, "enabled_pii_types": ["private_email", "private_phone"], "pii_confidence_threshold": 0.95,
+    "regex_patterns": [{"pattern": "("}, {"pattern": WORDS}, {"pattern": " "}, {"pattern": "[a-z]+", "enabled": False}],
+    "keywords": [{"text": " blere\t", "case_sensitive": False}, {"text": "thble"}, {"text": "the", "enabled": False}, {"text": " "}],
+}
+
+
+def profile_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents redacted by a profile's switches."""
+    return session.redact_for_profile(fragments(spark, sf_dir), PROFILE)[0].select(F.col("seq").alias("doc_id"), "redacted_text")
+
+
 def forward_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that hold originals that their session has met by then, and the texts with their labels."""
     texts = session.first_texts(fragments(spark, sf_dir))
@@ -107,8 +125,14 @@ def _in_turn(text: str, pairs: str) -> str:
 
 _PAIRS = "coalesce(list({'o': original, 'l': label} ORDER BY length(original) DESC, original), [])"
 _BETWEEN = sql_string(LABEL_PATTERN)
-#: ``z``: each text of a session once, through all stages: spans from the right, patterns, keywords, what the session knows by then.
-_WHOLE = found_sql(TYPES) + f""",
+
+
+def _whole(types: tuple[str, ...], keywords: tuple[tuple[str, bool], ...], threshold: float = 0.9) -> str:
+    """``z``: each text of a session once, through all stages: spans from the right, patterns, keywords, what the session knows by then."""
+    replaced = "body"
+    for i, (word, ci) in enumerate(keywords):
+        replaced = f"regexp_replace({replaced}, '{word}', '<<REDACTED_KEYWORD_{i}>>', 'gi')" if ci else f"replace({replaced}, '{word}', '<<REDACTED_KEYWORD_{i}>>')"
+    return found_sql(types, threshold) + f""",
 t0 AS (SELECT source AS session, d.text, min(d.doc_id) AS first_seq FROM documents AS d GROUP BY ALL),
 t1 AS (SELECT t0.session, t0.text, first_seq, ss FROM t0 JOIN f ON first_seq = doc_id),
 e1 AS (SELECT session, text, first_seq, unnest(ss) AS k FROM t1),
@@ -123,13 +147,19 @@ d2 AS (SELECT session, original, min(first_seq) AS seen FROM e2 GROUP BY ALL),
 n2 AS (SELECT session, original, seen, '<<REDACTED_REGEX_' || CAST(row_number() OVER (PARTITION BY session ORDER BY seen, -length(original), original) - 1 AS VARCHAR) || '>>' AS label FROM d2),
 c2 AS (SELECT e2.session, e2.text, {_PAIRS.replace("original", "e2.original")} AS ps FROM e2 JOIN n2 ON e2.session = n2.session AND e2.original = n2.original GROUP BY e2.session, e2.text),
 t3 AS (SELECT session, text, first_seq, {_in_turn("body", "coalesce(ps, [])")} AS body FROM t2 LEFT JOIN c2 USING (session, text)),
-t4 AS (SELECT session, text, first_seq, regexp_replace(replace(body, '{KEYWORDS[0][0]}', '<<REDACTED_KEYWORD_0>>'), '{KEYWORDS[1][0]}', '<<REDACTED_KEYWORD_1>>', 'gi') AS body FROM t3),
+t4 AS (SELECT session, text, first_seq, {replaced} AS body FROM t3),
 n3 AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2),
 c4 AS (SELECT t4.session, t4.text, {_PAIRS} AS ps FROM t4 JOIN n3 ON t4.session = n3.session AND seen <= first_seq AND contains(body, original) GROUP BY t4.session, t4.text),
 z AS (SELECT session, text, {_in_turn("body", "coalesce(ps, [])")} AS redacted_text FROM t4 LEFT JOIN c4 USING (session, text))
 """
+
+
+_WHOLE = _whole(TYPES, KEYWORDS)
 SQL = {
     "session_redact": _WHOLE + "SELECT d.doc_id, redacted_text FROM documents AS d JOIN z ON d.source = z.session AND d.text = z.text",
+    "profile_redact": _whole(("private_email", "private_phone"), (("blere", True), ("thble", False)), 0.95) + "SELECT d.doc_id, redacted_text FROM documents AS d JOIN z ON d.source = z.session AND d.text = z.text",
+    "session_dictionary": _WHOLE + """SELECT session, 'PII' AS kind, original, label, seen AS first_doc FROM n1 UNION ALL SELECT session, 'REGEX', original, label, seen FROM n2
+UNION ALL SELECT session, 'KEYWORD', unnest(['""" + "', '".join(k for k, _ in KEYWORDS) + """']), unnest(['<<REDACTED_KEYWORD_0>>', '<<REDACTED_KEYWORD_1>>']), NULL FROM (SELECT DISTINCT source AS session FROM documents)""",
     "request_label_counts": _WHOLE + f""", l AS (SELECT session, text, unnest(list_distinct(regexp_extract_all(redacted_text, {_BETWEEN}))) AS label FROM z)
 SELECT d.source AS session, d.doc_id, regexp_extract(label, '_([A-Z]+)_', 1) AS kind, count(*) AS n_labels FROM documents AS d JOIN l ON d.source = l.session AND d.text = l.text GROUP BY ALL""",
     "session_label_numbering": _F + "SELECT session, original, '<<REDACTED_REGEX_' || CAST(n AS VARCHAR) || '>>' AS label, first_doc FROM n",
@@ -154,4 +184,4 @@ SELECT session, text, len(ps) AS n_known, array_to_string(list_transform(ps, lam
     "profile_stats": _F + """, r AS (SELECT m.session, m.text, count(DISTINCT n.original) AS k FROM m JOIN n ON m.session = n.session AND list_contains(m.ms, n.original) GROUP BY ALL)
 SELECT source AS profile, count(*) AS n_requests, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_regex FROM documents LEFT JOIN r ON source = r.session AND documents.text = r.text GROUP BY source""",
 }
-QUERIES = {f.__name__: f for f in (session_label_numbering, pii_label_numbering, session_redact, forward_propagation, fragment_cache_first, unredact_roundtrip, profile_stats, profile_totals, match_listing, request_label_counts)}
+QUERIES = {f.__name__: f for f in (session_label_numbering, pii_label_numbering, session_redact, session_dictionary, profile_redact, forward_propagation, fragment_cache_first, unredact_roundtrip, profile_stats, profile_totals, match_listing, request_label_counts)}

@@ -14,6 +14,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,17 +146,23 @@ def opened(documents: DataFrame, key: bytes, body: str = "value") -> DataFrame:
     return rows.withColumn(body, _over(_with_texts, "string")(body, "_texts")).drop("_texts", "_found", "_vault_key")
 
 
+def _copied(batches: Iterator[pa.RecordBatch], suffix: str) -> Iterator[pa.RecordBatch]:
+    """Files copied beside themselves, by the tasks that have found them."""
+    for batch in batches:
+        for uri in batch.column("path").to_pylist():
+            where, name = fs.FileSystem.from_uri(uri)
+            where.copy_file(name, name + suffix)
+        yield batch
+
+
 def read(spark: SparkSession, path: str, quarantine: bool = True, key: bytes | None = None) -> DataFrame:
     """Settings files under a path as (path, value), migrated, and opened if there is a key. A file that
     doesn't parse is copied beside itself as ``<name>.corrupt-<time>.bak`` and read as empty."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     if quarantine:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for (bad,) in raw.where(F.try_parse_json("value").isNull()).select("path").toLocalIterator():
-            src = jvm.org.apache.hadoop.fs.Path(bad)
-            fs = src.getFileSystem(conf)
-            fs_copy = jvm.org.apache.hadoop.fs.FileUtil.copy
-            fs_copy(fs, src, fs, jvm.org.apache.hadoop.fs.Path(f"{bad}.corrupt-{int(time.time())}.bak"), False, conf)
+        kept = f".corrupt-{int(time.time())}.bak"
+        broken = raw.where(F.try_parse_json("value").isNull()).select("path")
+        broken.mapInArrow(lambda batches: _copied(batches, kept), "path string").write.format("noop").mode("overwrite").save()
     return migrated(raw if key is None else opened(raw, key))
 
 

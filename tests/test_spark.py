@@ -400,3 +400,17 @@ def test_labels_of_one_session_that_holds_nearly_all(spark):
             first.setdefault(o, (i, -len(o), o))
     want = {("big", o): n for n, o in enumerate(sorted(first, key=first.get))}
     assert got == want | {("small", "x"): 0, ("small", "y"): 1}
+
+
+def test_stages_are_timed(spark):
+    took = {}
+    rows = spark.createDataFrame([("s", 1, "a@b.de x"), ("s", 2, "a@b.de")], "session string, seq long, text string")
+    out, _ = session.redact_sessions(rows, rules.candidates(F.col("text"), ("private_email",)), ["x"], [("k", False)], took)
+    assert list(took) == ["spans", "patterns", "keywords", "forward propagation"] and all(v > 0 for v in took.values())
+    assert sorted(r.redacted_text for r in out.collect()) == ["<<REDACTED_PII_0>>", "<<REDACTED_PII_0>> <<REDACTED_REGEX_0>>"]
+
+
+def test_the_last_value_written_wins(spark):
+    rows = [("g", "k", "a", 1), ("g", "k", None, 3), ("g", "k", "b", 2), ("g", "l", "c", 1), (None, "k", "d", 1)]
+    got = report.last_written(spark.createDataFrame(rows, "g string, k string, v string, n long"), ["g"], "k", "v", ["n"]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([("g", "k", None), ("g", "l", "c"), (None, "k", "d")], key=repr)
