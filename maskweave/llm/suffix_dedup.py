@@ -2,18 +2,22 @@
 
 A shard must hold all places of a string that it judges. The least hash among
 the 16-byte grams of a ``LENGTH``-byte window is the same wherever the window
-stands, so windows go by that gram, their anchor. Neighbouring windows of one
-anchor form a segment; each window is in exactly one segment, and equal windows
-have equal anchors. Segments therefore settle most of the work by counting:
-
-- an anchor met once: none of its windows is repeated;
+stands, so windows go by that gram, their anchor. Neighbouring windows whose
+anchors are equal grams form a segment; each window is in exactly one segment,
+and equal windows have equal anchors. A stretch that repeats itself with a short
+period (a run of one character, say) is one segment, whatever its length, and is
+marked as having its anchor at several places. Segments therefore settle most of
+the work by counting:
+
+- an anchor met once, at one place: none of its windows is repeated;
 - a segment met twice or more, byte for byte: all of its windows are repeated;
-- an anchor with several different segments: its windows are contested. One copy
-  of each such segment goes to the anchor's shard.
+- an anchor with several different segments, or with one that has it at several
+  places: its windows are contested. One copy of each such segment goes to the
+  anchor's shard.
 
 A shard is joined to one text, its suffix array is built by induced sorting, and
 the permuted common prefixes tell which windows of a segment stand elsewhere in
-the shard too. An anchor with more than ``HOT`` segments is dealt over several
+the shard too. An anchor with more bytes than ``HOT`` segments have is dealt over several
 shards; their distinct windows then meet by hash in buckets of bounded size.
 Every group is bounded, whatever the number of copies, and nothing is dropped.
 
@@ -68,8 +72,8 @@ def _windows(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (least & _U((1 << 21) - 1)).astype(np.int64), grams.view(np.int64)
 
 
-def segments(data: np.ndarray, bounds: np.ndarray, size: int = LENGTH) -> Iterator[tuple[int, int, int, int]]:
-    """(text, start, end, anchor) for the segments of the texts data[bounds[i]:bounds[i+1]]."""
+def segments(data: np.ndarray, bounds: np.ndarray, size: int = LENGTH) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(text, start, end, anchor, at several places) for the segments of the texts data[bounds[i]:bounds[i+1]]."""
     i = 0
     while i < len(bounds) - 1:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _SLICE, "right")) - 1)
@@ -81,14 +85,14 @@ def segments(data: np.ndarray, bounds: np.ndarray, size: int = LENGTH) -> Iterat
         i = j
 
 
-def _segments(data: np.ndarray, origin: int, bounds: np.ndarray, first: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+def _segments(data: np.ndarray, origin: int, bounds: np.ndarray, first: int, size: int) -> Iterator[tuple[int, int, int, int, bool]]:
     places, grams = _windows(data, size)
-    n = len(places)
+    n, anchors = len(places), grams[places]
     at = np.arange(n) + origin
     text = np.searchsorted(bounds, at, "right") - 1
     inside = at + size <= bounds[text + 1]
     new = np.ones(n, bool)
-    new[1:] = (places[1:] != places[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
+    new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1]) | ~inside[:-1]
     starts = np.flatnonzero(new & inside)
     if not len(starts):
         return
@@ -97,7 +101,8 @@ def _segments(data: np.ndarray, origin: int, bounds: np.ndarray, first: int, siz
     ends = np.append(breaks, n)[np.searchsorted(breaks, starts, "right")] - 1
     own = text[starts]
     base = bounds[own]
-    yield from zip((own + first).tolist(), (starts + origin - base).tolist(), (ends + origin - base + size).tolist(), grams[places[starts]].tolist())
+    several = places[starts] != places[ends]
+    yield from zip((own + first).tolist(), (starts + origin - base).tolist(), (ends + origin - base + size).tolist(), anchors[starts].tolist(), several.tolist())
 
 
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +114,7 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-_SEGMENTS = pa.schema([("text_key", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("anchor", pa.int64()), ("digest", pa.binary())])
+_SEGMENTS = pa.schema([("text_key", pa.binary()), ("start", pa.int32()), ("stop", pa.int32()), ("anchor", pa.int64()), ("digest", pa.binary()), ("inner", pa.bool_())])
 
 
 def segment_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -123,14 +128,14 @@ def segment_rows(docs: DataFrame, size: int) -> DataFrame:
                 rows = list(segments(data, bounds, size))
                 if not rows:
                     continue
-                own, start, stop, anchor = map(list, zip(*rows))
+                own, start, stop, anchor, inner = map(list, zip(*rows))
                 view = memoryview(data)
                 first = bounds.tolist()
                 digests = [hashlib.blake2b(view[first[o] + a : first[o] + b], digest_size=16).digest() for o, a, b in zip(own, start, stop)]
                 keys = batch.column(0).take(pa.array(own, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(anchor, pa.int64()), pa.array(digests, pa.binary())], schema=_SEGMENTS)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(anchor, pa.int64()), pa.array(digests, pa.binary()), pa.array(inner, pa.bool_())], schema=_SEGMENTS)
 
-    return docs.select("text_key", "text").mapInArrow(run, "text_key binary, start int, stop int, anchor long, digest binary")
+    return docs.select("text_key", "text").mapInArrow(run, "text_key binary, start int, stop int, anchor long, digest binary, inner boolean")
 
 
 # -- shards ---------------------------------------------------------------------
@@ -261,16 +266,18 @@ def repeated_spans(docs: DataFrame, size: int = LENGTH) -> DataFrame:
     windows: runs of window places within the segment, start and stop by turns; null: all."""
     with small_batches(docs.sparkSession):
         found = stage(segment_rows(docs, size), "segments")
-    live = compacted(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    live = compacted(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 OR inner").select("anchor"), "anchors")
     # live anchors grow with the corpus: joined by shuffle at every size
     rows = compacted(found.join(live, "anchor", "left_semi"), "live-segments")
-    kinds = compacted(rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "start", "stop")).alias("at")), "kinds")
-    several = compacted(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "several")
-    windows = F.col("d") * (size - GRAM + 1)
+    kinds = compacted(rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_key", "start", "stop")).alias("at"), F.max("inner").alias("inner")), "kinds")
+    length = F.col("at.stop") - F.col("at.start")
+    several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.max("inner").alias("inner"), F.sum(length).alias("bytes"), F.sum(length - (size - 1)).alias("windows"))
+    several = compacted(several.where("d > 1 OR inner").drop("inner"), "several")
+    full = HOT * 2 * size  # bytes: a segment around one place has twice ``size`` at most
     contested = kinds.join(several, "anchor").select(
         "anchor", "digest", "at.*",
-        F.when(F.col("d") > HOT, F.pmod(F.xxhash64("digest"), F.ceil(F.col("d") / HOT))).otherwise(0).alias("salt"),
-        F.when(F.col("d") > HOT, F.ceil(windows / BUCKET_WINDOWS)).otherwise(0).cast("int").alias("buckets"),
+        F.when(F.col("bytes") > full, F.pmod(F.xxhash64("digest"), F.ceil(F.col("bytes") / full))).otherwise(0).alias("salt"),
+        F.when(F.col("bytes") > full, F.ceil(F.col("windows") / BUCKET_WINDOWS)).otherwise(0).cast("int").alias("buckets"),
     )
     contested = compacted(contested, "contested")
     total = contested.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]

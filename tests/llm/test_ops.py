@@ -370,6 +370,27 @@ def test_repeats(spark, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == plain_removal(texts, 64)
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_runs_and_periods(spark, monkeypatch, hot):
+    """Stretches with short periods, alone, beside each other, cut off, and in several texts."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_WINDOWS", 300)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    rnd = random.Random(12)
+    odd = sentence(rnd, 30)
+    texts = ["-" * 3000, "-" * 64, "-" * 65, "abc" * 700, "x" + "abc" * 300 + "y", "=" * 64, "=" * 63 + "!", odd + "-" * 200 + odd[:50], sentence(rnd, 20) + "ab" * 31, "ab" * 33 + sentence(rnd, 20), "line\n" * 40 + "other\n" + "line\n" * 40, "z" * 100, "é" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, 64).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_removal(texts, 64)
+
+
+@pytest.mark.parametrize("text", ["-" * 1_000_000, "abc" * 300_000, "a line of a table\n" * 50_000])
+def test_a_stretch_with_a_period_is_few_segments(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    found = list(suffix_dedup.segments(data, np.array([0, len(data)]), 400))
+    assert len(found) <= 3 and any(several for *_, several in found)
+
+
 def test_repeats_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "short")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()) == [(1, 0, 0), (2, 5, 0)]
@@ -665,7 +686,7 @@ def test_texts_longer_than_a_slice(spark, monkeypatch):
     for size in (64, 400):
         bounds = np.cumsum([0, *(len(t) for t in texts)])
         data = np.frombuffer("".join(texts).encode(), np.uint8)
-        seen = [p for t, lo, hi, _ in suffix_dedup.segments(data, bounds, size) for p in [(t, i) for i in range(lo, hi - size + 1)]]
+        seen = [p for t, lo, hi, *_ in suffix_dedup.segments(data, bounds, size) for p in [(t, i) for i in range(lo, hi - size + 1)]]
         assert sorted(seen) == [(t, i) for t, x in enumerate(texts) for i in range(len(x) - size + 1)]
     monkeypatch.setattr(shingles, "_SLICE", 1000)
     sets = [len(s) for s in shingles.shingle_sets(pa.array(texts), 4)]
