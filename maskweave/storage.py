@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +40,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Paths staged since each open scope began, innermost last.
-_scopes: list[list[str]] = []
+#: Paths staged since each open scope of this thread began, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there,
     so a lost executor costs a re-read and never a re-computation."""
     path = fresh_path(df.sparkSession, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    for scope in _scopes.get()[-1:]:
+        scope.append(path)
     spark = df.sparkSession
     if path.startswith("file:"):  # java.io makes the writer's folders without a process for each
         spark._jvm.java.io.File(path.removeprefix("file:") + "/_temporary/0").mkdirs()
@@ -99,17 +100,17 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
 def collected() -> Iterator[list[str]]:
     """The paths that are staged meanwhile, in a list for whoever deletes them."""
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield paths
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
 
 
 def handed_on(paths: list[str]) -> None:
     """Paths that ``collected`` found become the scope's around."""
-    if _scopes:
-        _scopes[-1].extend(paths)
+    for scope in _scopes.get()[-1:]:
+        scope.extend(paths)
 
 
 @contextmanager

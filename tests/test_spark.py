@@ -414,3 +414,21 @@ def test_the_last_value_written_wins(spark):
     rows = [("g", "k", "a", 1), ("g", "k", None, 3), ("g", "k", "b", 2), ("g", "l", "c", 1), (None, "k", "d", 1)]
     got = report.last_written(spark.createDataFrame(rows, "g string, k string, v string, n long"), ["g"], "k", "v", ["n"]).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([("g", "k", None), ("g", "l", "c"), (None, "k", "d")], key=repr)
+
+
+def test_scopes_of_threads_are_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from maskweave import storage
+
+    def run(name):
+        with storage.collected() as outer:
+            storage.stage(spark.range(3), f"{name}-a")
+            with storage.collected() as inner:
+                storage.stage(spark.range(3), f"{name}-b")
+            storage.handed_on(inner)
+        return outer
+
+    with ThreadPoolExecutor(3) as pool:
+        for name, paths in zip("xyz", pool.map(run, "xyz")):
+            assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in paths] == [f"{name}-a", f"{name}-b"]
