@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskweave.llm.common import Positions, table
+from maskweave.storage import compacted
 
 #: (verdict, host, path prefix)
 RULES = (
@@ -103,7 +104,7 @@ def may_be_listed(urls: DataFrame, filter_rows: DataFrame, n_blocks: int, key: s
 
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, listed and verdict. ``listed`` has one column of URLs."""
-    keys = listed.select(canonical(F.col(listed.columns[0])).alias("_url_key")).where("_url_key <> ''").distinct()
+    keys = compacted(listed.select(canonical(F.col(listed.columns[0])).alias("_url_key")).where("_url_key <> ''").distinct(), "listed")
     filter_rows, n_blocks = bloom(keys)
     held = Positions(pages)
     url = F.col(held[url])
