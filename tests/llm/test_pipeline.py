@@ -34,6 +34,6 @@ def test_stages(spark, tmp_path):
     assert set(seen[1]) == set(range(40)) | {300} and max(seen[1].values()) == 1
     assert set(seen[2]) == set(range(40))
     assert set(seen[3]) <= set(range(40)) and len(seen[3]) > 20 and seen[4] == seen[3]
-    assert quality.prior(0.0, 0.0)[1] == 0.0
+    assert quality.prior(3, 60, 0, 0.0)[1] == 0.0
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(r.doc_id for r in run.collect()) == seen[4]
