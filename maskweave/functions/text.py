@@ -33,16 +33,27 @@ def replace_ignoring_case(s: Column, needle: Column, label: Column) -> Column:
     return F.when(needle == "", s).otherwise(F.regexp_replace(s, pattern, safe_replacement(label)))
 
 
+def format_fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, as C's printf has it: ties by the exact binary value go to the even digit.
+    Java's formatter rounds the shortest decimal form up. Spark's number formats print no more than 17 digits
+    exactly, so whole numbers beyond them are printed as such."""
+    x = x.cast("double")
+    pattern = F.lit("0." + "0" * digits if digits else "0")
+    number = F.call_function("format_number", x, pattern)
+    long = F.concat(x.cast("bigint").cast("string"), F.lit("." + "0" * digits if digits else ""))
+    return F.when(F.abs(x).between(2.0**53, 2.0**62), long).when(F.isnan(x) | (F.abs(x) > 2.0**62), F.format_string(f"%.{digits}f", x)).otherwise(number)
+
+
 def format_size(n: Column) -> Column:
     """Bytes as B, KB, MB or GB with one decimal."""
     power = F.when(n < 1024, 0).when(n < 1024**2, 1).when(n < 1024**3, 2).otherwise(3)
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), power + 1)
-    return F.format_string("%.1f %s", n / F.pow(F.lit(1024.0), power), unit)
+    return F.concat(format_fixed(n / F.pow(F.lit(1024.0), power), 1), F.lit(" "), unit)
 
 
 def format_float(x: Column, digits: int = 1, comma: bool = False) -> Column:
     """A number with so many decimals, and a decimal comma where the language has one."""
-    out = F.format_string(f"%.{digits}f", x.cast("double"))
+    out = format_fixed(x, digits)
     return F.replace(out, F.lit("."), F.lit(",")) if comma else out
 
 

@@ -432,3 +432,12 @@ def test_scopes_of_threads_are_apart(spark):
     with ThreadPoolExecutor(3) as pool:
         for name, paths in zip("xyz", pool.map(run, "xyz")):
             assert [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in paths] == [f"{name}-a", f"{name}-b"]
+
+
+def test_sizes_and_floats_round_as_printf_does(spark):
+    n = [1280, 1792, 877824, -5, 0, 1023, 742652928, 5 * 1024**4]
+    got = [r.s for r in spark.createDataFrame([(i, x) for i, x in enumerate(n)], "i int, n long").orderBy("i").select(T.format_size(F.col("n")).alias("s")).collect()]
+    assert got == ["1.2 KB", "1.8 KB", "857.2 KB", "-5.0 B", "0.0 B", "1023.0 B", "708.2 MB", "5120.0 GB"]
+    x = [0.25, 0.35, 1.005, 2.675, 0.125, -0.04, 9.95, 1e15, 2.0**60 + 4096, -(2.0**55)]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select("x", *[T.format_float(F.col("x"), d).alias(f"d{d}") for d in (1, 2, 3)]).collect()
+    assert all(r[d] == f"{r.x:.{d}f}" for r in rows for d in (1, 2, 3))
