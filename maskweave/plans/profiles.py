@@ -83,7 +83,10 @@ def settings_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 4 > 0, _pick(n, 0, 1, 2, 9)).alias("settings_version"), F.when(n % 3 < 2, n % 3 == 0).alias("verbose_logging"), F.when(n % 5 == 0, F.lit(True)).alias("logging_enabled"),
         F.when(n % 7 > 0, F.col("city")).alias("app_language"), (F.col("balance") > 2000).alias("start_on_boot"),
     )
-    text = F.when(n % 11 == 5, F.substring(F.to_json(some), 1, 9)).otherwise(F.to_json(some))
+    whole = F.to_json(some)
+    # a document without any field is {}, shorter than what is left of others
+    broken = F.substring(whole, F.lit(1), F.least(F.lit(9), F.length(whole) - 1))
+    text = F.when(n % 11 == 5, broken).otherwise(whole)
     return settings.migrated(_read(spark, sf_dir, "clients").select(n.alias("id"), text.alias("value"))).select("id", "corrupt", "value")
 
 

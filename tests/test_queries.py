@@ -81,3 +81,12 @@ def test_all_kinds_are_redacted_summarised_and_held_against_the_threshold(run):
 def test_previews_have_the_production_limit(run):
     cut = lambda t: t[:PREVIEW_CHARS] + "...[truncated]" if t and len(t) > PREVIEW_CHARS else t
     assert {r.doc_id: r.preview for r in run("preview_truncate")} == {i: cut(t) for i, t in enumerate(TEXTS)}
+
+
+def test_broken_settings_are_broken_also_without_fields(spark, tmp_path):
+    from maskweave.plans import profiles
+
+    # 28616 has none of the fields: its document is {}
+    rows = [(28616, None, None), (5, "Aril", 3000.0), (4, "Aril", None)]
+    spark.createDataFrame(rows, "client_id long, city string, balance double").write.parquet(f"{tmp_path}/clients.parquet")
+    assert {r.id: r.corrupt for r in profiles.settings_migrate(spark, str(tmp_path)).collect()} == {28616: True, 5: True, 4: False}
