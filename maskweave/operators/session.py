@@ -16,6 +16,9 @@ levels (``ranks``), so a session may hold most of all originals:
 
 Distinct originals of a session are aggregated before they are numbered, and the
 fold over a fragment reads only the originals that occur in it.
+
+Between the steps a text goes by its session and its SHA-256 (``_id``): joins carry
+texts only where their originals are put in, and only texts that hold some.
 """
 from __future__ import annotations
 
@@ -30,8 +33,11 @@ from maskweave.operators import ranks, stateless
 from maskweave.operators.report import timed
 from maskweave.storage import compacted, few, stage
 
-#: Words of an automaton, and bytes of a session's texts that go past it in one task.
-ORIGINALS, SLICE_BYTES = 20_000, 32 << 20
+#: Words of an automaton, automata that a task builds one after another, and bytes of a session's texts that go past them there.
+ORIGINALS, AUTOMATA, SLICE_BYTES = 100_000, 8, 64 << 20
+#: A text of a session.
+_KEY = ["session", "_id"]
+_PAIRS = "array<struct<original:string,label:string>>"
 
 
 def session_epochs(requests: DataFrame, profile: str, seq: str, config: str) -> DataFrame:
@@ -68,94 +74,124 @@ def regex_dictionary(texts: DataFrame) -> DataFrame:
     return numbered(found, "REGEX", (-F.length("original")).alias("len"), F.col("original").alias("o"))
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def _pairs(texts: DataFrame, originals: Column, dictionary: DataFrame, name: str) -> DataFrame:
-    """``texts`` with ``name``: the (original, label) pairs of the array ``originals``."""
-    wanted = texts.select("session", "text", F.explode(F.array_distinct(originals)).alias("original"))
-    got = wanted.join(dictionary.select("session", "original", "label"), ["session", "original"]).groupBy("session", "text").agg(F.collect_list(F.struct("original", "label")).alias(name))
-    return texts.join(got, ["session", "text"], "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<original:string,label:string>>")))
+    """``texts``, which have been stored, with ``name``: the (original, label) pairs of the array ``originals``."""
+    wanted = texts.select(*_KEY, F.explode(F.array_distinct(originals)).alias("original"))
+    got = wanted.join(dictionary.select("session", "original", "label"), ["session", "original"]).groupBy(*_KEY).agg(F.collect_list(F.struct("original", "label")).alias(name))
+    n, none = F.coalesce(F.size(originals), F.lit(0)), F.array().cast(_PAIRS)
+    held = texts.where(n > 0).join(got, _KEY, "left").withColumn(name, F.coalesce(name, none))
+    return held.unionByName(texts.where(n <= 0).withColumn(name, none))
 
 
 def longest_pairs(pairs: Column) -> Column:
     return F.array_sort(pairs, lambda a, b: F.when(F.length(a["original"]) != F.length(b["original"]), F.length(b["original"]) - F.length(a["original"])).when(a["original"] < b["original"], -1).when(a["original"] > b["original"], 1).otherwise(0))
 
 
-def known_originals(texts: DataFrame, dictionary: DataFrame, body: str) -> DataFrame:
+def known_originals(texts: DataFrame, dictionary: DataFrame, body: str, by: str = "text") -> DataFrame:
     """(session, text, known): originals of the session that first appeared no later and occur in ``body``.
+    Texts go by the column ``by``.
 
-    A session's originals become automata of at most ``ORIGINALS`` words, and its texts go past each of
-    them in slices of about ``SLICE_BYTES``, so neither pairs of texts and originals nor a whole session
-    stand anywhere. Most sessions have one automaton and one slice."""
+    A session's originals become automata of at most ``ORIGINALS`` words, and its texts go past them in
+    slices of about ``SLICE_BYTES``, so neither pairs of texts and originals nor a whole session stand
+    anywhere. A task builds up to ``AUTOMATA`` of them in turn, so texts are sent once for that many."""
     n_words = dictionary.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     n_bytes = texts.groupBy("session").agg(F.sum(F.octet_length(body)).alias("b"))
-    parts = n_words.join(n_bytes, "session").select("session", F.ceil(F.col("n") / ORIGINALS).cast("int").alias("chunks"), F.greatest(F.ceil(F.col("b") / SLICE_BYTES), F.lit(1)).cast("int").alias("slices"))
+    parts = n_words.join(n_bytes, "session").select("session", F.ceil(F.col("n") / (ORIGINALS * AUTOMATA)).cast("int").alias("chunks"), F.greatest(F.ceil(F.col("b") / SLICE_BYTES), F.lit(1)).cast("int").alias("slices"))
     parts = compacted(parts, "session-parts")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = texts.join(few(parts), "session").where(F.col(body) != "").select("session", F.pmod(F.xxhash64("text"), "slices").cast("int").alias("slice"), each("chunks").alias("chunk"), "text", F.col(body).alias("_body"), F.col("first_seq").alias("_seq"))
+    held = texts.join(few(parts), "session").where(F.col(body) != "").select("session", F.pmod(F.xxhash64(by), "slices").cast("int").alias("slice"), each("chunks").alias("chunk"), F.col(by).alias("_by"), F.col(body).alias("_body"), F.col("first_seq").alias("_seq"))
     words = dictionary.join(few(parts), "session").where("original <> ''").select("session", each("slices").alias("slice"), F.pmod(F.xxhash64("original"), "chunks").cast("int").alias("chunk"), "original", "label", F.col("first_seq").alias("_seen"))
     key = ["session", "slice", "chunk"]
     of = {f.name: f.dataType.simpleString() for f in texts.schema}
-    found = held.groupBy(*key).cogroup(words.groupBy(*key)).applyInArrow(_occurring, f"session {of['session']}, text string, known array<struct<original:string,label:string>>")
-    return found.groupBy("session", "text").agg(F.flatten(F.collect_list("known")).alias("known"))
+    n = ORIGINALS
+    found = held.groupBy(*key).cogroup(words.groupBy(*key)).applyInArrow(lambda texts, words: _occurring(texts, words, n), f"session {of['session']}, _by {of[by]}, known {_PAIRS}")
+    return found.groupBy("session", F.col("_by").alias(by)).agg(F.flatten(F.collect_list("known")).alias("known"))
 
 
-def _occurring(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-    """Texts of a slice with the words of an automaton that they hold."""
+def _occurring(texts: pa.Table, words: pa.Table, most: int) -> pa.Table:
+    """Texts of a slice with the words that they hold, by automata of ``most`` words."""
     import ahocorasick
 
-    originals, labels, seen = (words[c].to_pylist() for c in ("original", "label", "_seen"))
-    at: dict[str, list[int]] = {}
-    for i, word in enumerate(originals):
-        at.setdefault(word, []).append(i)
-    automaton = ahocorasick.Automaton()
-    for word, places in at.items():
-        automaton.add_word(word, places)
-    automaton.make_automaton()
-    out: list[tuple[int, list[dict]]] = []
-    if at:
+    out: dict[int, list[dict]] = {}
+    for start in range(0, len(words), most):
+        part = words[start : start + most]
+        originals, labels, seen = (part[c].to_pylist() for c in ("original", "label", "_seen"))
+        at: dict[str, list[int]] = {}
+        for i, word in enumerate(originals):
+            at.setdefault(word, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for word, places in at.items():
+            automaton.add_word(word, places)
+        automaton.make_automaton()
         for row, (body, seq) in enumerate(zip(texts["_body"], texts["_seq"])):
             found, first = {i for _, places in automaton.iter(body.as_py()) for i in places}, seq.as_py()
             known = [{"original": originals[i], "label": labels[i]} for i in sorted(found) if seen[i] <= first]
             if known:
-                out.append((row, known))
-    rows = texts.take(pa.array([row for row, _ in out], pa.int64()))
+                out.setdefault(row, []).extend(known)
+    rows = texts.take(pa.array(list(out), pa.int64()))
     kind = pa.list_(pa.struct([("original", pa.string()), ("label", pa.string())]))
-    return pa.table({"session": rows["session"], "text": rows["text"], "known": pa.array([known for _, known in out], kind)})
+    return pa.table({"session": rows["session"], "_by": rows["_by"], "known": pa.array(list(out.values()), kind)})
 
 
-def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Redact ``fragments`` (session, seq, text). ``spans``: personal data in ``text``. ``timings`` gets the seconds of each stage.
-
-    Returns the fragments with ``redacted_text``, and the dictionary (session, kind, original, label)."""
+def _patterned(fragments: DataFrame, spans: Column | None, patterns: list[str] | None, timings: dict[str, float] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each text once (session, _id, first_seq, body, matches) with its spans replaced, stored, and the labels of spans and of matches."""
+    texts = first_texts(fragments).withColumn("_id", _digest("text"))
     # each text is searched once: later steps read what was found
     with timed("spans", timings):
-        texts = stage(first_texts(fragments).withColumn("spans", spans if spans is not None else S.no_spans()), "session-spans")
-        pii = pii_dictionary(texts)
-    texts = _pairs(texts, F.transform("spans", lambda s: s["text"]), pii, "pii")
-    found = lambda s: F.element_at(F.filter("pii", lambda p: p["original"] == s["text"]), 1)["label"]
-    texts = texts.withColumn("body", F.when(F.size("spans") > 0, S.splice(F.col("text"), F.col("spans"), found)).otherwise(F.col("text")))
+        if spans is None:
+            pii, texts = None, texts.withColumn("body", F.col("text"))
+        else:
+            texts = stage(texts.withColumn("spans", spans), "session-spans")
+            pii = pii_dictionary(texts)
+            texts = _pairs(texts, F.transform("spans", lambda s: s["text"]), pii, "pii")
+            found = lambda s: F.element_at(F.filter("pii", lambda p: p["original"] == s["text"]), 1)["label"]
+            texts = texts.withColumn("body", F.when(F.size("spans") > 0, S.splice(F.col("text"), F.col("spans"), found)).otherwise(F.col("text")))
     with timed("patterns", timings):
-        texts = stage(texts.select("session", "text", "first_seq", "body").withColumn("matches", stateless.matches(F.col("body"), patterns or [])), "session-matches")
+        texts = stage(texts.select(*_KEY, "first_seq", "body").withColumn("matches", stateless.matches(F.col("body"), patterns or [])), "session-matches")
         regex = regex_dictionary(texts)
-    texts = _pairs(texts, F.col("matches"), regex, "regex")
-    texts = texts.withColumn("body", F.when(F.size("regex") > 0, replace_literals(F.col("body"), longest_pairs(F.col("regex")))).otherwise(F.col("body")))
-    keyed = stateless.keyword_pairs(keywords or [])
-    if keywords:
-        texts = texts.withColumn("body", replace_keywords(F.col("body"), keyed))
+    columns = ["session", "original", "label", "first_seq"]
+    labels = [d.select("session", F.lit(kind).alias("kind"), *columns[1:]) for d, kind in ((pii, "PII"), (regex, "REGEX")) if d is not None]
+    return texts, regex, labels[0] if len(labels) == 1 else labels[0].unionByName(labels[1])
+
+
+def _with_keywords(fragments: DataFrame, dictionary: DataFrame, keyed: Column | None) -> DataFrame:
+    """``dictionary`` with the keywords of every session."""
+    if keyed is None:
+        return dictionary
+    words = fragments.select("session").distinct().select("session", F.explode(keyed).alias("k"))
+    return dictionary.unionByName(words.select("session", F.lit("KEYWORD").alias("kind"), F.col("k.original").alias("original"), F.col("k.label").alias("label"), F.lit(None).cast(dictionary.schema["first_seq"].dataType).alias("first_seq")))
+
+
+def session_labels(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None) -> DataFrame:
+    """The dictionary that ``redact_sessions`` returns, without the texts: labels don't depend on the steps after patterns."""
+    _, _, dictionary = _patterned(fragments, spans, patterns, None)
+    return _with_keywords(fragments, dictionary, stateless.keyword_pairs(keywords) if keywords else None)
+
+
+def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Redact ``fragments`` (session, seq, text). ``spans``: personal data in ``text``. ``timings`` gets the seconds of each stage.
+
+    Returns the fragments with ``redacted_text``, and the dictionary (session, kind, original, label)."""
+    texts, regex, dictionary = _patterned(fragments, spans, patterns, timings)
     with timed("keywords", timings):
-        texts = stage(texts.select("session", "text", "first_seq", "body"), "session-bodies")
-    dictionary = pii.select("session", F.lit("PII").alias("kind"), "original", "label", "first_seq").unionByName(regex.select("session", F.lit("REGEX").alias("kind"), "original", "label", "first_seq"))
+        texts = _pairs(texts, F.col("matches"), regex, "regex")
+        texts = texts.withColumn("body", F.when(F.size("regex") > 0, replace_literals(F.col("body"), longest_pairs(F.col("regex")))).otherwise(F.col("body")))
+        keyed = stateless.keyword_pairs(keywords) if keywords else None
+        if keyed is not None:
+            texts = texts.withColumn("body", replace_keywords(F.col("body"), keyed))
+        texts = stage(texts.select(*_KEY, "first_seq", "body"), "session-bodies")
     with timed("forward propagation", timings):
         dictionary = stage(dictionary, "session-labels")
-        known = known_originals(texts, dictionary, "body")
+        known = known_originals(texts, dictionary, "body", "_id")
         known = known if timings is None else compacted(known, "session-known")  # to be timed it must run
-    texts = texts.join(known, ["session", "text"], "left")
+    texts = texts.join(known, _KEY, "left")
     body = F.when(F.col("known").isNotNull(), replace_literals(F.col("body"), longest_pairs(F.col("known")))).otherwise(F.col("body"))
-    out = fragments.join(texts.select("session", "text", body.alias("redacted_text")), ["session", "text"])
-    if keywords:
-        sessions = fragments.select("session").distinct()
-        words = sessions.select("session", F.explode(keyed).alias("k")).select("session", F.lit("KEYWORD").alias("kind"), F.col("k.original").alias("original"), F.col("k.label").alias("label"), F.lit(None).cast(dictionary.schema["first_seq"].dataType).alias("first_seq"))
-        dictionary = dictionary.unionByName(words)
-    return out, dictionary
+    out = fragments.withColumn("_id", _digest("text")).join(texts.select(*_KEY, body.alias("redacted_text")), _KEY).drop("_id")
+    return out, _with_keywords(fragments, dictionary, keyed)
 
 
 def redact_for_profile(fragments: DataFrame, profile: dict, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -171,23 +207,47 @@ def redact_for_profile(fragments: DataFrame, profile: dict, timings: dict[str, f
 
 def profile_totals(redacted: DataFrame, n_keywords: int) -> DataFrame:
     """Requests and labels of each session: distinct ones by request, summed; every keyword counts in every request."""
-    n = redacted.groupBy("session").agg(F.count(F.lit(1)).alias("n_requests"))
-    per = request_counts(redacted, ["session", "seq"]).where("kind <> 'KEYWORD'").groupBy("session").pivot("kind", ["PII", "REGEX"]).agg(F.sum("n_labels"))
+    held = held_labels(redacted, ["session", "seq"])
+    n = held.groupBy("session").agg(F.count(F.lit(1)).alias("n_requests"))
+    per = _counts(held, ["session", "seq"]).where("kind <> 'KEYWORD'").groupBy("session").pivot("kind", ["PII", "REGEX"]).agg(F.sum("n_labels"))
     zero = F.lit(0).cast("long")
     return n.join(per, "session", "left").select("session", "n_requests", F.coalesce("PII", zero).alias("n_pii"), F.coalesce("REGEX", zero).alias("n_regex"), (F.col("n_requests") * n_keywords).alias("n_keyword"))
 
 
+def profile_counts(redacted: DataFrame) -> DataFrame:
+    """(session, n_requests, n_labels): requests of each session, and distinct labels by request and class, summed."""
+    held = held_labels(redacted, ["session", "seq"])
+    n = held.groupBy("session").agg(F.count(F.lit(1)).alias("n_requests"))
+    per = _counts(held, ["session", "seq"]).groupBy("session").agg(F.sum("n_labels").alias("n_labels"))
+    return n.join(per, "session", "left").select("session", "n_requests", F.coalesce("n_labels", F.lit(0).cast("long")).alias("n_labels"))
+
+
 def restore_sessions(redacted: DataFrame, dictionary: DataFrame, body: str = "redacted_text") -> DataFrame:
     """``redacted`` with ``restored_text``: the labels in each text are looked up by a hash join, not tried one by one."""
-    keyed = redacted.withColumn("_row", F.monotonically_increasing_id())
-    held = keyed.select("_row", "session", F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(LABEL_PATTERN), F.lit(0)))).alias("label"))
+    # rows are numbered once, as they are stored; texts without labels go nowhere
+    keyed = stage(redacted.withColumns({"_row": F.monotonically_increasing_id(), "_labels": _labels(body)}), "session-redacted")
+    held = keyed.select("_row", "session", F.explode("_labels").alias("label"))
     pairs = held.join(dictionary.select("session", "label", "original").distinct(), ["session", "label"]).groupBy("_row").agg(F.collect_list(F.struct("original", "label")).alias("_pairs"))
-    out = keyed.join(pairs, "_row", "left")
-    return out.withColumn("restored_text", F.when(F.col("_pairs").isNotNull(), unredact(F.col(body), F.col("_pairs"))).otherwise(F.col(body))).drop("_pairs", "_row")
+    some = F.coalesce(F.size("_labels"), F.lit(0)) > 0
+    out = keyed.where(some).join(pairs, "_row", "left").withColumn("restored_text", F.when(F.col("_pairs").isNotNull(), unredact(F.col(body), F.col("_pairs"))).otherwise(F.col(body))).drop("_pairs")
+    return out.unionByName(keyed.where(~some).withColumn("restored_text", F.col(body))).drop("_row", "_labels")
+
+
+def _labels(body: str) -> Column:
+    """The distinct labels of a text."""
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(LABEL_PATTERN), F.lit(0)))
+
+
+def held_labels(redacted: DataFrame, key: list[str], body: str = "redacted_text") -> DataFrame:
+    """(key, labels) of each row, stored: what is counted from it doesn't redact again."""
+    return stage(redacted.select(*key, _labels(body).alias("labels")), "session-held")
 
 
 def request_counts(redacted: DataFrame, key: list[str], body: str = "redacted_text") -> DataFrame:
     """Distinct labels of each class for each key."""
-    held = redacted.select(*key, F.explode(F.regexp_extract_all(body, F.lit(LABEL_PATTERN), F.lit(0))).alias("label"))
+    return _counts(redacted.select(*key, _labels(body).alias("labels")), key)
+
+
+def _counts(held: DataFrame, key: list[str]) -> DataFrame:
     kind = F.regexp_extract("label", "_([A-Z]+)_", 1)
-    return held.groupBy(*key, kind.alias("kind")).agg(F.countDistinct("label").alias("n_labels"))
+    return held.select(*key, F.explode("labels").alias("label")).groupBy(*key, kind.alias("kind")).agg(F.countDistinct("label").alias("n_labels"))

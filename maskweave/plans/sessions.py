@@ -30,9 +30,13 @@ def _plain(spark: SparkSession, sf_dir: str):
     return session.redact_sessions(fragments(spark, sf_dir), None, [_EMAIL, _CARD], None)
 
 
+def _plain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session.session_labels(fragments(spark, sf_dir), None, [_EMAIL, _CARD])
+
+
 def session_label_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of pattern matches in order of first appearance."""
-    return _plain(spark, sf_dir)[1].select("session", "original", "label", F.col("first_seq").alias("first_doc"))
+    return _plain_labels(spark, sf_dir).select("session", "original", "label", F.col("first_seq").alias("first_doc"))
 
 
 def pii_label_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,8 @@ def session_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of all classes of each session, with what they stand for."""
-    return _all(spark, sf_dir)[1].select("session", "kind", "original", "label", F.col("first_seq").alias("first_doc"))
+    labels = session.session_labels(fragments(spark, sf_dir), rules.detect(F.col("text"), TYPES), [WORDS], list(KEYWORDS))
+    return labels.select("session", "kind", "original", "label", F.col("first_seq").alias("first_doc"))
 
 
 #: A profile with a pattern that doesn't compile, one that is off, a blank one, and keywords to trim and to leave out.
@@ -82,15 +87,12 @@ def fragment_cache_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unredact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted and restored: the texts as they were."""
     out, dictionary = session.redact_sessions(fragments(spark, sf_dir), rules.detect(F.col("text"), TYPES), [WORDS], [(k, False) for k, _ in KEYWORDS])
-    return session.restore_sessions(out, dictionary).select(F.col("seq").alias("doc_id"), "restored_text")
+    return session.restore_sessions(out.drop("text"), dictionary).select(F.col("seq").alias("doc_id"), "restored_text")
 
 
 def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests and distinct labels of each profile (source)."""
-    out, _ = _plain(spark, sf_dir)
-    per = session.request_counts(out, ["session", "seq"]).groupBy("session").agg(F.sum("n_labels").alias("n_regex"))
-    n = out.groupBy("session").agg(F.count(F.lit(1)).alias("n_requests"))
-    return n.join(per, "session", "left").select(F.col("session").alias("profile"), "n_requests", F.coalesce("n_regex", F.lit(0)).alias("n_regex"))
+    return session.profile_counts(_plain(spark, sf_dir)[0]).select(F.col("session").alias("profile"), "n_requests", F.col("n_labels").alias("n_regex"))
 
 
 def request_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +109,7 @@ def profile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of each session by label text, with the kind of what they stand for."""
     found = fragments(spark, sf_dir).select(F.explode(rules.candidates(F.col("text"), ("private_email",))).alias("s")).select(F.col("s.text").alias("original"), "s.type")
-    return report.match_listing(_plain(spark, sf_dir)[1], found, "unknown").select("session", "label", "original", "type", "place")
+    return report.match_listing(_plain_labels(spark, sf_dir), found, "unknown").select("session", "label", "original", "type", "place")
 
 
 _F = """

@@ -441,3 +441,29 @@ def test_sizes_and_floats_round_as_printf_does(spark):
     x = [0.25, 0.35, 1.005, 2.675, 0.125, -0.04, 9.95, 1e15, 2.0**60 + 4096, -(2.0**55)]
     rows = spark.createDataFrame([(v,) for v in x], "x double").select("x", *[T.format_float(F.col("x"), d).alias(f"d{d}") for d in (1, 2, 3)]).collect()
     assert all(r[d] == f"{r.x:.{d}f}" for r in rows for d in (1, 2, 3))
+
+
+def test_labels_and_counts_do_not_redact_again(spark, tmp_path, monkeypatch):
+    from maskweave.plans import sessions
+
+    rows = [(1, "a", "thinging a@b.de thble"), (2, "a", "a@b.de thinging"), (3, "b", "none"), (4, "b", "none")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    staged, stage = [], session.stage
+    monkeypatch.setattr(session, "stage", lambda df, name: staged.append((name, df.columns)) or stage(df, name))
+    labels = {(r.session, r.kind, r.original): r.label for r in sessions.session_dictionary(spark, str(tmp_path)).collect()}
+    assert labels["a", "PII", "a@b.de"] == "<<REDACTED_PII_0>>" and ("b", "KEYWORD", "thble") in labels
+    assert "session-bodies" not in [name for name, _ in staged]
+    counts = sessions.profile_stats(spark, str(tmp_path))
+    assert "FlatMapCoGroups" not in counts._jdf.queryExecution().toString()
+    assert {tuple(r) for r in counts.collect()} == {("a", 2, 2), ("b", 2, 0)}
+    assert all("text" not in columns for name, columns in staged if name in ("session-matches", "session-bodies"))
+
+
+def test_several_automata_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(session, "ORIGINALS", 2)
+    monkeypatch.setattr(session, "AUTOMATA", 2)
+    words = [f"w{i}x" for i in range(9)]
+    texts = spark.createDataFrame([("s", "t", 5, " ".join(words)), ("s", "u", 3, "w1x w7x"), ("s", "v", 9, "none")], "session string, _id string, first_seq long, body string")
+    known = spark.createDataFrame([("s", w, f"<{i}>", i) for i, w in enumerate(words)], "session string, original string, label string, first_seq long")
+    got = {r._id: {k.original for k in r.known} for r in session.known_originals(texts, known, "body", "_id").collect()}
+    assert got == {"t": set(words[:6]), "u": {"w1x"}}
