@@ -13,6 +13,8 @@ from maskweave.functions import decode as D
 from maskweave.functions.core import let
 
 N_CLASSES, ROW = 33, 10
+#: Characters of texts whose pieces are counted at a time.
+COUNTED = 1 << 20
 MERGES = [("t", "h"), ("th", "e"), ("e", "r"), ("i", "n"), ("Ġ", "the"), ("a", "n"), ("in", "g"), ("Ã", "©")]
 
 
@@ -84,8 +86,10 @@ def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = small_bpe()
         for s in batches:
-            lengths = [bpe.lengths(t) for t in s]
-            yield pd.DataFrame({"n_pieces": [len(x) for x in lengths], "n_bytes": [int(x.sum()) for x in lengths], "n_merged": [int((x > 1).sum()) for x in lengths]})
+            # as many texts at a time as have about so many characters
+            size = s.str.len().fillna(0).cumsum().to_numpy(float) // COUNTED
+            parts = [bpe.counted(list(g)) for g in np.split(s.to_numpy(object), np.flatnonzero(np.diff(size)) + 1)]
+            yield pd.DataFrame(np.concatenate(parts), columns=["n_pieces", "n_bytes", "n_merged"])
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", count("text").alias("c"))
     return d.select("doc_id", "c.n_pieces", "c.n_bytes", "c.n_merged")

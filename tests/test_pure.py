@@ -1,5 +1,6 @@
 """Cores that need no Spark, against hand-computed results and plain loops."""
 import json
+import random
 
 import numpy as np
 import pytest
@@ -177,3 +178,30 @@ def test_model_spans_do_not_depend_on_windows():
 ])
 def test_migrate(given_, expected):
     assert cfg.migrate(given_) == expected
+
+
+def test_pieces_counted_at_once_are_those_of_a_merge_at_a_time():
+    from maskweave.functions.bpe import Bpe, byte_letters
+
+    def one_by_one(bpe, word):
+        parts = list(word)
+        while True:
+            found = [(bpe.ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in bpe.ranks]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    rnd = random.Random(3)
+    merges = [("a", "a"), ("t", "h"), ("aa", "a"), ("th", "e"), ("Ġ", "the"), ("aa", "aa"), ("Ã", "©")]
+    other = Bpe({p: i for i, p in enumerate(byte_letters().values())}, merges)
+    for bpe in (small_bpe(), other):
+        assert bpe.in_rank_order()
+        for n in range(40):
+            texts = ["".join(rnd.choice(["a", "a", "the", "th", "e", " ", "  ", "é", "er", "ing", "\n", "😀"]) for _ in range(rnd.randint(0, 60))) for _ in range(rnd.randint(0, 6))] + [None, "", " ", "   ", "aaaaa  "][: n % 6]
+            lengths = [bpe.lengths(t) for t in texts]
+            assert [tuple(r) for r in bpe.counted(texts)] == [(len(x), x.sum(), (x > 1).sum()) for x in lengths]
+            for t in filter(None, texts):
+                word = "".join(byte_letters()[b] for b in t.encode())
+                assert bpe.merge(word) == one_by_one(bpe, word)
+    assert not Bpe({}, [("ab", "c"), ("a", "b")]).in_rank_order()
