@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +11,9 @@ from maskweave.constants import LABEL_MARK
 from maskweave.functions import events as E
 from maskweave.functions.core import fold
 
+#: Streams of an Arrow batch that are texts in Python at a time.
+AT_A_TIME = 200
+
 
 def event_payloads(body: Column) -> Column:
     """Payloads of a whole stream's events: data lines joined, blank events dropped."""
@@ -43,17 +46,19 @@ def redistributed(text: Column, lengths: Column) -> Column:
 def rebuilt_streams(streams: DataFrame, key: list[str], body: str = "body", pairs: str = "pairs", with_events: bool = False) -> DataFrame:
     """(key, body) with restored texts. ``pairs``: a map of label to original. Streams that can't hold a label pass as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text, held in zip(b[body], b[pairs]):
-                payloads, rest = E.frame(text)
-                done = E.rebuild([*payloads, *E.flushed(rest)], E.restorer(dict(held or {})))
-                out.append(E.with_event_lines(done) if with_events else E.serialise(done))
-            yield b[key].assign(**{body: out})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_A_TIME):
+                b = whole.slice(at, AT_A_TIME)
+                out = []
+                for text, held in zip(b.column(body), b.column(pairs)):
+                    payloads, rest = E.frame(text.as_py())
+                    done = E.rebuild([*payloads, *E.flushed(rest)], E.restorer(dict(held.as_py() or ())))
+                    out.append(E.with_event_lines(done) if with_events else E.serialise(done))
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], pa.array(out, pa.string())], names=[*key, body])
 
     schema = ", ".join(f"`{k}` {streams.schema[k].dataType.simpleString()}" for k in key) + f", `{body}` string"
     marked = F.contains(body, F.lit(LABEL_MARK[0])) | F.contains(body, F.lit("\\u003"))  # a label may be split anywhere, or escaped
     changed = streams if with_events else streams.where(marked)
-    out = changed.select(*key, body, pairs).mapInPandas(run, schema)
+    out = changed.select(*key, body, pairs).mapInArrow(run, schema)
     return out if with_events else out.unionByName(streams.where(~marked).select(*key, body))

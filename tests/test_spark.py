@@ -467,3 +467,14 @@ def test_several_automata_in_a_task(spark, monkeypatch):
     known = spark.createDataFrame([("s", w, f"<{i}>", i) for i, w in enumerate(words)], "session string, original string, label string, first_seq long")
     got = {r._id: {k.original for k in r.known} for r in session.known_originals(texts, known, "body", "_id").collect()}
     assert got == {"t": set(words[:6]), "u": {"w1x"}}
+
+
+def test_streams_are_rebuilt_a_slice_at_a_time(spark, monkeypatch):
+    body = lambda i: "".join(f'data: {{"choices":[{{"delta":{{"content":"{p}"}}}}]}}\n\n' for p in (f"{i} <<REDA", "CTED_PII_0>> é"))
+    monkeypatch.setattr(sse, "AT_A_TIME", 3)
+    rows = spark.createDataFrame([(i, body(i), {"<<REDACTED_PII_0>>": f"n{i}"}) for i in range(10)], "id int, body string, pairs map<string,string>").coalesce(1)
+    out = sse.rebuilt_streams(rows, ["id"])
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    seen = out.collect()
+    text = lambda b: "".join(json.loads(line[6:])["choices"][0]["delta"]["content"] for line in b.split("\n") if line)
+    assert {r.id: text(r.body) for r in seen} == {i: f"{i} n{i} é" for i in range(10)}
