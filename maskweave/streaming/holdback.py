@@ -6,8 +6,8 @@ knows them. State is kept for each stream: the unfinished end of what was
 received, the payloads held back, and chunks that came before their turn.
 
 *Order.* Chunks are taken by number, whichever micro-batch brings them: one that
-comes early waits in a map keyed by its number, and one that came before is left
-out. So shuffled and repeated chunks give the same texts.
+comes early waits in a list, and one that came before is left out. A call of the
+state costs more than a chunk, so what a micro-batch brings a stream is one call. So shuffled and repeated chunks give the same texts.
 
 *Lifetime.* A stream ends with its last chunk; its state is dropped then. One
 that is abandoned ends ``time_to_live`` after its latest chunk, by event time: a
@@ -93,34 +93,42 @@ class HoldBack(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getValueState("open", _fields(rest=T.StringType(), out_seq=T.LongType(), next=T.LongType(), labels=T.StringType(), ends=T.LongType(), n_early=T.LongType()))
+        self._open = handle.getValueState("open", _fields(rest=T.StringType(), out_seq=T.LongType(), next=T.LongType(), labels=T.StringType(), ends=T.LongType(), n_held=T.LongType(), n_early=T.LongType()))
         self._held = handle.getListState("held", _fields(payload=T.StringType()))
-        self._early = handle.getMapState("early", _fields(seq=T.LongType()), _fields(chunk=T.StringType(), last=T.BooleanType(), labels=T.StringType()))
-
-    def _load(self) -> tuple[Open, int | None, set[int]]:
-        """The stream, when its timer ends it, and the early chunks that the state holds."""
-        if not self._open.exists():
-            return Open(), None, set()
-        rest, out_seq, following, labels, ends, n_early = self._open.get()
-        held = [p for (p,) in self._held.get()] if self._held.exists() else []
-        early = {seq: (chunk, last, json.loads(some)) for (seq,), (chunk, last, some) in self._early.iterator()} if n_early else {}
-        return Open(rest, out_seq, following, json.loads(labels), held, early), ends, set(early)
-
-    def _store(self, o: Open, ends: int, before: set[int]) -> None:
-        self._open.update((o.rest, o.out_seq, o.next, json.dumps(o.labels), ends, len(o.early)))
-        self._held.put([(p,) for p in o.held]) if o.held else self._held.clear()
-        for seq in before - o.early.keys():
-            self._early.removeKey((seq,))
-        for seq in o.early.keys() - before:
-            chunk, last, labels = o.early[seq]
-            self._early.updateValue((seq,), (chunk, last, json.dumps(labels)))
-
-    def _drop(self) -> None:
-        for state in (self._open, self._held, self._early):
-            state.clear()
+        self._early = handle.getListState("early", _fields(seq=T.LongType(), chunk=T.StringType(), last=T.BooleanType(), labels=T.StringType()))
+
+    def _load(self) -> tuple[Open, int | None, int, set[int]]:
+        """The stream, when its timer ends it, and the number of held payloads and the early chunks that the state has."""
+        found = self._open.get()
+        if found is None:
+            return Open(), None, 0, set()
+        rest, out_seq, following, labels, ends, n_held, n_early = found
+        held = [p for (p,) in self._held.get()] if n_held else []
+        early = {seq: (chunk, last, json.loads(some)) for seq, chunk, last, some in self._early.get()} if n_early else {}
+        return Open(rest, out_seq, following, json.loads(labels), held, early), ends, n_held, set(early)
+
+    def _store(self, o: Open, ends: int, n_held: int, before: set[int]) -> None:
+        self._open.update((o.rest, o.out_seq, o.next, json.dumps(o.labels), ends, len(o.held), len(o.early)))
+        if o.held:
+            self._held.put([(p,) for p in o.held])
+        elif n_held:
+            self._held.clear()
+        gone, new = before - o.early.keys(), o.early.keys() - before
+        rows = [(seq, chunk, last, json.dumps(labels)) for seq, (chunk, last, labels) in o.early.items() if gone or seq in new]
+        if gone and not rows:
+            self._early.clear()
+        elif rows:
+            (self._early.put if gone else self._early.appendList)(rows)
+
+    def _drop(self, n_held: int, before: set[int]) -> None:
+        self._open.clear()
+        if n_held:
+            self._held.clear()
+        if before:
+            self._early.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        o, ends, before = self._load()
+        o, ends, n_held, before = self._load()
         latest, out = ends or 0, []
         for frame in rows:
             latest = max(latest, int(frame["sent"].max().timestamp() * 1000) + self._ms)
@@ -128,16 +136,18 @@ class HoldBack(StatefulProcessor):
         if ends is not None and (o.ended or latest != ends):
             self._handle.deleteTimer(ends)
         if o.ended:
-            self._drop()
+            if ends is not None:
+                self._drop(n_held, before)
         else:
             if latest != ends:
                 self._handle.registerTimer(latest)
-            self._store(o, latest, before)
-        yield _bodies(key, out)
+            self._store(o, latest, n_held, before)
+        if out:  # an empty frame costs as much as a full one
+            yield _bodies(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        o = self._load()[0]
-        self._drop()
+        o, _, n_held, before = self._load()
+        self._drop(n_held, before)
         yield _bodies(key, o.flush())
 
     def close(self) -> None:

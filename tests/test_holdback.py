@@ -3,6 +3,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from maskweave.functions import events as E
@@ -97,3 +98,64 @@ def test_streams_over_micro_batches(spark):
     assert "slow" in by and "clock" not in by
     left = spark.read.format("statestore").option("stateVarName", "open").load(f"{root}/state").selectExpr("key.stream_id").collect()
     assert {r.stream_id for r in left} == {"clock"}
+
+
+class Counted:
+    """A state of one stream that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = None, 0
+
+    def _call(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+    def get(self):
+        self.calls += 1
+        return self.rows
+
+    def update(self, row):
+        self._call(row)
+
+    def put(self, rows):
+        self._call(list(rows))
+
+    def appendList(self, rows):
+        self._call([*(self.rows or []), *rows])
+
+    def clear(self):
+        self._call(None)
+
+
+class Handle(dict):
+    timers = 0
+
+    def getValueState(self, name, _):
+        return self.setdefault(name, Counted())
+
+    getListState = getValueState
+
+    def registerTimer(self, _):
+        self.timers += 1
+
+    def deleteTimer(self, _):
+        self.timers -= 1
+
+
+def test_calls_of_the_state_do_not_grow_with_the_chunks():
+    from maskweave.streaming.holdback import HoldBack
+
+    def run(n):
+        handle, out = Handle(), []
+        held = HoldBack()
+        held.init(handle)
+        at = pd.Timestamp("2024-01-01")
+        chunk = lambda i: f'data: {{"choices":[{{"delta":{{"content":"c{i} "}}}}]}}\n\n'
+        for part in (range(1, n, 2), range(2, n, 4), range(0, n, 4)):
+            frame = pd.DataFrame([(i, chunk(i), i == n - 1, {"<<REDACTED_PII_0>>": "x"}, at) for i in part], columns=["seq", "chunk", "last", "labels", "sent"])
+            out += [b for f in held.handleInputRows(("s",), iter([frame]), None) for b in f["body"]]
+        assert all(s.rows is None for s in handle.values()) and handle.timers == 0
+        assert [p.split('"content":"')[1].split('"')[0] for p in "".join(out).split("\n\n") if p] == [f"c{i} " for i in range(n)]
+        return sum(s.calls for s in handle.values())
+
+    assert run(8) == run(200) <= 14
