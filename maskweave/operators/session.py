@@ -17,8 +17,10 @@ levels (``ranks``), so a session may hold most of all originals:
 Distinct originals of a session are aggregated before they are numbered, and the
 fold over a fragment reads only the originals that occur in it.
 
-Between the steps a text goes by its session and its SHA-256 (``_id``): joins carry
-texts only where their originals are put in, and only texts that hold some.
+Between the steps a text goes by its session and its SHA-256 (``_id``). Texts are
+stored once, in buckets by that key, and never moved again but past the automata:
+what is found in them is small and is brought to them, and bodies are worked out
+anew from it wherever they are read.
 """
 from __future__ import annotations
 
@@ -31,7 +33,7 @@ from maskweave.functions import spans as S
 from maskweave.functions.labels import label, replace_keywords, replace_literals, unredact
 from maskweave.operators import ranks, stateless
 from maskweave.operators.report import timed
-from maskweave.storage import compacted, few, stage
+from maskweave.storage import beside, bucketed, compacted, few, stage
 
 #: Words of an automaton, automata that a task builds one after another, and bytes of a session's texts that go past them there.
 ORIGINALS, AUTOMATA, SLICE_BYTES = 100_000, 8, 64 << 20
@@ -78,32 +80,38 @@ def _digest(text: str) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _pairs(texts: DataFrame, originals: Column, dictionary: DataFrame, name: str) -> DataFrame:
-    """``texts``, which have been stored, with ``name``: the (original, label) pairs of the array ``originals``."""
-    wanted = texts.select(*_KEY, F.explode(F.array_distinct(originals)).alias("original"))
-    got = wanted.join(dictionary.select("session", "original", "label"), ["session", "original"]).groupBy(*_KEY).agg(F.collect_list(F.struct("original", "label")).alias(name))
-    n, none = F.coalesce(F.size(originals), F.lit(0)), F.array().cast(_PAIRS)
-    held = texts.where(n > 0).join(got, _KEY, "left").withColumn(name, F.coalesce(name, none))
-    return held.unionByName(texts.where(n <= 0).withColumn(name, none))
+def _distinct(fragments: DataFrame) -> DataFrame:
+    """(session, _id, text, first_seq, n_bytes): ``first_texts`` by the texts' digests."""
+    rows = fragments.withColumn("_id", _digest("text")).groupBy(*_KEY).agg(F.first("text").alias("text"), F.min("seq").alias("first_seq"))
+    return rows.withColumn("n_bytes", F.octet_length("text"))
+
+
+def _with_pairs(texts: DataFrame, wanted: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
+    """``texts`` with ``name``: the (original, label) pairs of their originals in ``wanted`` (session, _id, original)."""
+    got = wanted.distinct().join(dictionary.select("session", "original", "label"), ["session", "original"]).groupBy(*_KEY).agg(F.collect_list(F.struct("original", "label")).alias(name))
+    got = compacted(got, "session-" + name)
+    return texts.join(beside(got), _KEY, "left").withColumn(name, F.coalesce(name, F.array().cast(_PAIRS)))
 
 
 def longest_pairs(pairs: Column) -> Column:
     return F.array_sort(pairs, lambda a, b: F.when(F.length(a["original"]) != F.length(b["original"]), F.length(b["original"]) - F.length(a["original"])).when(a["original"] < b["original"], -1).when(a["original"] > b["original"], 1).otherwise(0))
 
 
-def known_originals(texts: DataFrame, dictionary: DataFrame, body: str, by: str = "text") -> DataFrame:
+def known_originals(texts: DataFrame, dictionary: DataFrame, body: str, by: str = "text", n_bytes: DataFrame | None = None) -> DataFrame:
     """(session, text, known): originals of the session that first appeared no later and occur in ``body``.
-    Texts go by the column ``by``.
+    Texts go by the column ``by``. ``n_bytes``: about how many bytes (session, b) each session's bodies have.
 
     A session's originals become automata of at most ``ORIGINALS`` words, and its texts go past them in
     slices of about ``SLICE_BYTES``, so neither pairs of texts and originals nor a whole session stand
     anywhere. A task builds up to ``AUTOMATA`` of them in turn, so texts are sent once for that many."""
     n_words = dictionary.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    n_bytes = texts.groupBy("session").agg(F.sum(F.octet_length(body)).alias("b"))
+    if n_bytes is None:
+        n_bytes = texts.groupBy("session").agg(F.sum(F.octet_length(body)).alias("b"))
     parts = n_words.join(n_bytes, "session").select("session", F.ceil(F.col("n") / (ORIGINALS * AUTOMATA)).cast("int").alias("chunks"), F.greatest(F.ceil(F.col("b") / SLICE_BYTES), F.lit(1)).cast("int").alias("slices"))
     parts = compacted(parts, "session-parts")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    held = texts.join(few(parts), "session").where(F.col(body) != "").select("session", F.pmod(F.xxhash64(by), "slices").cast("int").alias("slice"), each("chunks").alias("chunk"), F.col(by).alias("_by"), F.col(body).alias("_body"), F.col("first_seq").alias("_seq"))
+    # no filter on the body: it would be worked out twice
+    held = texts.join(few(parts), "session").select("session", F.pmod(F.xxhash64(by), "slices").cast("int").alias("slice"), each("chunks").alias("chunk"), F.col(by).alias("_by"), F.coalesce(F.col(body), F.lit("")).alias("_body"), F.col("first_seq").alias("_seq"))
     words = dictionary.join(few(parts), "session").where("original <> ''").select("session", each("slices").alias("slice"), F.pmod(F.xxhash64("original"), "chunks").cast("int").alias("chunk"), "original", "label", F.col("first_seq").alias("_seen"))
     key = ["session", "slice", "chunk"]
     of = {f.name: f.dataType.simpleString() for f in texts.schema}
@@ -137,25 +145,31 @@ def _occurring(texts: pa.Table, words: pa.Table, most: int) -> pa.Table:
     return pa.table({"session": rows["session"], "_by": rows["_by"], "known": pa.array(list(out.values()), kind)})
 
 
-def _patterned(fragments: DataFrame, spans: Column | None, patterns: list[str] | None, timings: dict[str, float] | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each text once (session, _id, first_seq, body, matches) with its spans replaced, stored, and the labels of spans and of matches."""
-    texts = first_texts(fragments).withColumn("_id", _digest("text"))
+def _patterned(fragments: DataFrame, spans: Column | None, patterns: list[str] | None, timings: dict[str, float] | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each text once (session, _id, first_seq, n_bytes, body) with its spans replaced, its matches (session, _id, first_seq,
+    matches), stored, and the labels of matches and of both."""
+    texts = _distinct(fragments)
+    found = lambda body: stateless.matches(F.col(body), patterns or []).alias("matches")
     # each text is searched once: later steps read what was found
     with timed("spans", timings):
         if spans is None:
-            pii, texts = None, texts.withColumn("body", F.col("text"))
+            pii = None
         else:
-            texts = stage(texts.withColumn("spans", spans), "session-spans")
+            texts = bucketed(texts.withColumn("spans", spans), _KEY, "session-texts")
             pii = pii_dictionary(texts)
-            texts = _pairs(texts, F.transform("spans", lambda s: s["text"]), pii, "pii")
-            found = lambda s: F.element_at(F.filter("pii", lambda p: p["original"] == s["text"]), 1)["label"]
-            texts = texts.withColumn("body", F.when(F.size("spans") > 0, S.splice(F.col("text"), F.col("spans"), found)).otherwise(F.col("text")))
+            texts = _with_pairs(texts, texts.select(*_KEY, F.explode("spans.text").alias("original")), pii, "pii")
+            of = lambda s: F.element_at(F.filter("pii", lambda p: p["original"] == s["text"]), 1)["label"]
+            texts = texts.withColumn("body", F.when(F.size("spans") > 0, S.splice(F.col("text"), F.col("spans"), of)).otherwise(F.col("text")))
     with timed("patterns", timings):
-        texts = stage(texts.select(*_KEY, "first_seq", "body").withColumn("matches", stateless.matches(F.col("body"), patterns or [])), "session-matches")
-        regex = regex_dictionary(texts)
+        if spans is None:
+            matched = bucketed(texts.withColumn("matches", found("text")), _KEY, "session-texts")
+            texts = matched.withColumn("body", F.col("text"))
+        else:
+            matched = stage(texts.select(*_KEY, "first_seq", found("body")), "session-matches")
+        regex = regex_dictionary(matched)
     columns = ["session", "original", "label", "first_seq"]
     labels = [d.select("session", F.lit(kind).alias("kind"), *columns[1:]) for d, kind in ((pii, "PII"), (regex, "REGEX")) if d is not None]
-    return texts, regex, labels[0] if len(labels) == 1 else labels[0].unionByName(labels[1])
+    return texts.select(*_KEY, "first_seq", "n_bytes", "body"), matched, regex, labels[0] if len(labels) == 1 else labels[0].unionByName(labels[1])
 
 
 def _with_keywords(fragments: DataFrame, dictionary: DataFrame, keyed: Column | None) -> DataFrame:
@@ -168,30 +182,31 @@ def _with_keywords(fragments: DataFrame, dictionary: DataFrame, keyed: Column |
 
 def session_labels(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None) -> DataFrame:
     """The dictionary that ``redact_sessions`` returns, without the texts: labels don't depend on the steps after patterns."""
-    _, _, dictionary = _patterned(fragments, spans, patterns, None)
+    dictionary = _patterned(fragments, spans, patterns, None)[-1]
     return _with_keywords(fragments, dictionary, stateless.keyword_pairs(keywords) if keywords else None)
 
 
-def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+def redact_sessions(fragments: DataFrame, spans: Column | None = None, patterns: list[str] | None = None, keywords: list[tuple[str, bool]] | None = None, timings: dict[str, float] | None = None, digest: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Redact ``fragments`` (session, seq, text). ``spans``: personal data in ``text``. ``timings`` gets the seconds of each stage.
 
-    Returns the fragments with ``redacted_text``, and the dictionary (session, kind, original, label)."""
-    texts, regex, dictionary = _patterned(fragments, spans, patterns, timings)
+    Returns the fragments with ``redacted_text``, and with the SHA-256 of their texts if ``digest`` names a column for it,
+    and the dictionary (session, kind, original, label)."""
+    texts, matched, regex, dictionary = _patterned(fragments, spans, patterns, timings)
     with timed("keywords", timings):
-        texts = _pairs(texts, F.col("matches"), regex, "regex")
+        n_bytes = matched if "n_bytes" in matched.columns else texts
+        texts = _with_pairs(texts, matched.select(*_KEY, F.explode("matches").alias("original")), regex, "regex")
         texts = texts.withColumn("body", F.when(F.size("regex") > 0, replace_literals(F.col("body"), longest_pairs(F.col("regex")))).otherwise(F.col("body")))
         keyed = stateless.keyword_pairs(keywords) if keywords else None
         if keyed is not None:
             texts = texts.withColumn("body", replace_keywords(F.col("body"), keyed))
-        texts = stage(texts.select(*_KEY, "first_seq", "body"), "session-bodies")
     with timed("forward propagation", timings):
         dictionary = stage(dictionary, "session-labels")
-        known = known_originals(texts, dictionary, "body", "_id")
-        known = known if timings is None else compacted(known, "session-known")  # to be timed it must run
-    texts = texts.join(known, _KEY, "left")
+        n_bytes = n_bytes.groupBy("session").agg(F.sum("n_bytes").alias("b"))
+        known = compacted(known_originals(texts, dictionary, "body", "_id", n_bytes), "session-known")
+    texts = texts.join(beside(known), _KEY, "left")
     body = F.when(F.col("known").isNotNull(), replace_literals(F.col("body"), longest_pairs(F.col("known")))).otherwise(F.col("body"))
-    out = fragments.withColumn("_id", _digest("text")).join(texts.select(*_KEY, body.alias("redacted_text")), _KEY).drop("_id")
-    return out, _with_keywords(fragments, dictionary, keyed)
+    out = fragments.withColumn("_id", _digest("text")).join(texts.select(*_KEY, body.alias("redacted_text")), _KEY)
+    return out.withColumnRenamed("_id", digest) if digest else out.drop("_id"), _with_keywords(fragments, dictionary, keyed)
 
 
 def redact_for_profile(fragments: DataFrame, profile: dict, timings: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -222,15 +237,24 @@ def profile_counts(redacted: DataFrame) -> DataFrame:
     return n.join(per, "session", "left").select("session", "n_requests", F.coalesce("n_labels", F.lit(0).cast("long")).alias("n_labels"))
 
 
-def restore_sessions(redacted: DataFrame, dictionary: DataFrame, body: str = "redacted_text") -> DataFrame:
-    """``redacted`` with ``restored_text``: the labels in each text are looked up by a hash join, not tried one by one."""
-    # rows are numbered once, as they are stored; texts without labels go nowhere
-    keyed = stage(redacted.withColumns({"_row": F.monotonically_increasing_id(), "_labels": _labels(body)}), "session-redacted")
-    held = keyed.select("_row", "session", F.explode("_labels").alias("label"))
-    pairs = held.join(dictionary.select("session", "label", "original").distinct(), ["session", "label"]).groupBy("_row").agg(F.collect_list(F.struct("original", "label")).alias("_pairs"))
-    some = F.coalesce(F.size("_labels"), F.lit(0)) > 0
-    out = keyed.where(some).join(pairs, "_row", "left").withColumn("restored_text", F.when(F.col("_pairs").isNotNull(), unredact(F.col(body), F.col("_pairs"))).otherwise(F.col(body))).drop("_pairs")
-    return out.unionByName(keyed.where(~some).withColumn("restored_text", F.col(body))).drop("_row", "_labels")
+def restore_sessions(redacted: DataFrame, dictionary: DataFrame, body: str = "redacted_text", by: str | None = None) -> DataFrame:
+    """``redacted`` with ``restored_text``: the labels in each text are looked up by a hash join, not tried one by one.
+
+    With ``by``, a column by which a session's texts go, texts that are stored in buckets by it are read twice and not moved;
+    without it rows are numbered as they are stored, and texts with labels go to theirs."""
+    if by is None:
+        redacted = stage(redacted.withColumns({"_row": F.monotonically_increasing_id(), "_labels": _labels(body)}), "session-redacted")
+        some = F.coalesce(F.size("_labels"), F.lit(0)) > 0
+        out = _restored(redacted.where(some), redacted.select("session", "_row", F.explode("_labels").alias("label")), dictionary, body, "_row")
+        return out.unionByName(redacted.where(~some).withColumn("restored_text", F.col(body))).drop("_row", "_labels")
+    return _restored(redacted, redacted.select("session", by, F.explode(_labels(body)).alias("label")).distinct(), dictionary, body, by)
+
+
+def _restored(redacted: DataFrame, held: DataFrame, dictionary: DataFrame, body: str, by: str) -> DataFrame:
+    """``redacted`` with ``restored_text``; ``held`` (session, by, label): the labels in its texts."""
+    pairs = held.join(dictionary.select("session", "label", "original").distinct(), ["session", "label"]).groupBy("session", by).agg(F.collect_list(F.struct("original", "label")).alias("_pairs"))
+    pairs = compacted(pairs, "session-pairs")
+    return redacted.join(beside(pairs), ["session", by], "left").withColumn("restored_text", F.when(F.col("_pairs").isNotNull(), unredact(F.col(body), F.col("_pairs"))).otherwise(F.col(body))).drop("_pairs")
 
 
 def _labels(body: str) -> Column:

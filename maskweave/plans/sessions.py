@@ -86,8 +86,8 @@ def fragment_cache_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unredact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted and restored: the texts as they were."""
-    out, dictionary = session.redact_sessions(fragments(spark, sf_dir), rules.detect(F.col("text"), TYPES), [WORDS], [(k, False) for k, _ in KEYWORDS])
-    return session.restore_sessions(out.drop("text"), dictionary).select(F.col("seq").alias("doc_id"), "restored_text")
+    out, dictionary = session.redact_sessions(fragments(spark, sf_dir), rules.detect(F.col("text"), TYPES), [WORDS], [(k, False) for k, _ in KEYWORDS], digest="_id")
+    return session.restore_sessions(out.drop("text"), dictionary, by="_id").select(F.col("seq").alias("doc_id"), "restored_text")
 
 
 def profile_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -459,6 +459,24 @@ def test_labels_and_counts_do_not_redact_again(spark, tmp_path, monkeypatch):
     assert all("text" not in columns for name, columns in staged if name in ("session-matches", "session-bodies"))
 
 
+def test_stored_texts_are_not_shuffled_again(spark, tmp_path, monkeypatch):
+    from maskweave import storage
+    from maskweave.plans import sessions
+
+    monkeypatch.setattr(storage, "BUCKET_BYTES", 0)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", -1)
+    rows = [(i, "ab"[i % 2], f"thinging u{i % 9}@b.de thble {i % 30} tail") for i in range(80)] + [(90, "b", "thinging"), (91, "b", ""), (92, "a", "none")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    out = sessions.unredact_roundtrip(spark, str(tmp_path))
+    assert {tuple(r) for r in out.collect()} == {(i, t) for i, _, t in rows}
+    assert {t.name for t in spark.catalog.listTables()} == before
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted").split("\n\n")
+    moved = [x for x in plan if ") Exchange" in x or ") ShuffleQueryStage" in x]
+    assert moved and not any(re.search(r"\b(text|body|redacted_text)#", x) for x in moved)
+    assert any("Bucketed: true" in x and "text#" in x for x in plan)
+
+
 def test_several_automata_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(session, "ORIGINALS", 2)
     monkeypatch.setattr(session, "AUTOMATA", 2)
